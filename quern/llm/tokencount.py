@@ -142,8 +142,10 @@ class Merges:
 
     def clear(self) -> None:
         #: A state: (longest vocabulary prefix that ends here, for each of its start positions (last token, tokens since)).
-        self.start = (b"", ((b"", 0),))
-        self.moves: dict[tuple, dict[int, tuple]] = {}
+        start = (b"", ((b"", 0),))
+        #: Each state's node: by byte the next node and the tokens added; at -1 the state itself.
+        self.start: dict = {-1: start}
+        self.nodes: dict[tuple, dict] = {start: self.start}
         self.counts: dict[str, int] = {}
 
     def merge(self, text: bytes) -> list[bytes]:
@@ -183,16 +185,14 @@ class Merges:
     def count(self, word: str) -> int:
         found = self.counts.get(word)
         if found is None:
-            if len(self.counts) > self.LIMIT or len(self.moves) > self.LIMIT:
+            if len(self.counts) > self.LIMIT or len(self.nodes) > self.LIMIT:
                 self.clear()
-            state, found = self.start, 0
+            node, found = self.start, 0
             for byte in word.encode():
-                row = self.moves.get(state)
-                if row is None:
-                    row = self.moves[state] = {}
-                if byte not in row:
-                    row[byte] = self.move(state, byte)
-                state, added = row[byte]
+                if byte not in node:
+                    state, added = self.move(node[-1], byte)
+                    node[byte] = self.nodes.setdefault(state, {-1: state}), added
+                node, added = node[byte]
                 found += added
             self.counts[word] = found
         return found
@@ -220,9 +220,11 @@ def _cut(texts: list[str], special: list[str]) -> tuple[list[str], np.ndarray, n
 
 def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
     """Tokens of each text."""
+    if not texts:
+        return np.zeros(0, np.int64)
     m = merges(tokenizer)
-    parts, rows, total = _cut(texts, m.special)
-    joined = "\0".join([*parts, ""])  # a place for the end of each
+    parts, rows, extra = _cut(texts, m.special)
+    joined = "\0".join([*parts, ""])  # a byte for the end of each
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(x) + 1 for x in parts]) - 1
     classes = _classes()[codes]
@@ -232,23 +234,19 @@ def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
     begins[:-1] |= (marks[1:] & BACK).astype(bool)
     begins[ends] = True  # closes the last of each text
     at = np.flatnonzero(begins)
-    owner = np.searchsorted(ends, at[:-1] if len(at) else at)
+    owner = np.searchsorted(ends, at[:-1])
     bounds = at.tolist()
     known, count = m.counts, m.count
-    got = np.zeros(max(0, len(bounds) - 1), np.int64)
-    stops = set(ends.tolist())
-    for k in range(len(bounds) - 1):
-        a = bounds[k]
-        if a in stops:
-            continue
-        word = joined[a : bounds[k + 1]]
+    got = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        word = joined[a:b]
         found = known.get(word)
         if found is None:
             found = count(word)
             known = m.counts
-        got[k] = found
-    np.add.at(total, rows[owner], got)
-    return total
+        got.append(found)
+    total = extra + np.bincount(rows[owner], got, len(texts)).astype(np.int64)
+    return total - np.bincount(rows[:-1], minlength=len(texts))  # each end but the last is a word of one byte
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
