@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, fingerprint, packing, quality, substring, suffix, tokencount, toxicity, url_filter
+from quern.llm import decontam, fingerprint, jaccard, packing, quality, substring, suffix, tokencount, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality, op3_substring_dedup, op4_toxicity, op5_fingerprints, op7_token_counts, op8_suffix_array_dedup, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality, op3_substring_dedup, op4_toxicity, op5_fingerprints, op6_jaccard_join, op7_token_counts, op8_suffix_array_dedup, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

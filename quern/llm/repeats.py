@@ -124,7 +124,7 @@ def _settle(table: pa.Table, spec: Spec) -> pa.Table:
     return pa.table({"__id": ids[document[at]], "__th": hashes[document[at]], "span": (low[at].astype(np.int64) << 16) | count[at], "anchor": anchor[at].astype(np.int32), "asked": ask})
 
 
-def _compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
+def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, the identity and the text, compressed."""
     rows = docs.select(*identity(docs), *(docs[c] for c in keep), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
@@ -183,7 +183,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     known = written(rows.mapInArrow(ship, blob).groupBy("shard").applyInArrow(settle, "`__id` bigint, `__th` bigint, span bigint, anchor int, asked bigint"))
 
     asked = known.where("asked is not null").groupBy("__id", "__th").agg(F.collect_list(F.struct("span", "anchor", "asked")).alias("asked"))
-    wanted = _compressed(docs, []).join(asked, ["__id", "__th"])
+    wanted = compressed(docs, []).join(asked, ["__id", "__th"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["low", "count", "anchor"], ["<u4", "<u2", "<u2"]
@@ -263,5 +263,5 @@ def covered(packed: list[int] | None, n: int, length: int) -> np.ndarray:
 
 def applied(docs: DataFrame, spec: Spec, keep: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """run over all rows: the kept columns, __z (compressed text) and __spans (null: none)."""
-    rows = _compressed(docs, keep).join(spans(docs, spec), ["__id", "__th"], "left").drop("__id", "__th")
+    rows = compressed(docs, keep).join(spans(docs, spec), ["__id", "__th"], "left").drop("__id", "__th")
     return rows.mapInArrow(run, schema)
