@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import pieces, shingle_hashes, texts, word_hashes, words
+from quern.llm.anchors import NO_ID
+from quern.llm.arrow import shingle_hashes, texts, word_hashes, words
+from quern.llm.repeats import compressed, identity, unpacked
 from quern.llm.spread import partitions
 
 SHINGLE = 5
@@ -91,60 +93,69 @@ SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, echo: consecutive runs of documents by id, one or more to a partition, in order.
+    """run, echo, doc_id, __z (compressed text): documents by id in consecutive runs, some to a partition.
 
     Each run ends with a copy (echo) of the document after it, the last with one of the first. Runs are
-    ranges of ids between quantiles, so that only their number, not the table, bounds what the driver
-    holds; text is shuffled once.
+    ranges of ids between quantiles, so what the driver holds is a row for each run; text is shuffled
+    once. Equal ids are ordered by a hash of the text; a null id comes first.
     """
-    spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    n = 2 * partitions(spark)
-    cuts = rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    below = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    run = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(below, lambda c: c < F.col("doc_id"))))
-    rows = rows.withColumn("run", run)
-    heads = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nulls")).orderBy("run").collect()  # a row for each run
-    if not heads:
-        return rows.select("doc_id", "text", F.lit(False).alias("echo"), "run")
-    # the run before each head; the first head closes the last run
-    before = {heads[i]["run"]: heads[i - 1]["run"] for i in range(len(heads))}
-    target = F.lit(None).cast("int")
-    for h in heads:
-        same = (F.col("run") == h["run"]) & (F.col("doc_id").isNull() if h["nulls"] else F.col("doc_id") == h["id"])
-        target = F.when(same, F.lit(before[h["run"]])).otherwise(target)
-    copies = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("echo")), F.struct(target.alias("run"), F.lit(True).alias("echo")))
-    rows = rows.select("doc_id", "text", F.explode(F.filter(copies, lambda x: x["run"].isNotNull())).alias("c")).select("doc_id", "text", "c.run", "c.echo")
-    return rows.repartition(len(heads), "run").sortWithinPartitions("run", "echo", F.col("doc_id").asc_nulls_first(), "text")
+    n = 2 * partitions(docs.sparkSession)
+    name, th = identity(docs)
+    ids = docs.select(name, th)
+    cuts = sorted({int(c) for c in ids.stat.approxQuantile("__id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
+    bounds = np.array(cuts, np.int64)
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, batch.column("__id").to_numpy())), batch.column("__id"), batch.column("__th")], names=["run", "__id", "__th"])
+
+    heads = ids.mapInArrow(runs_of, "run bigint, `__id` bigint, `__th` bigint").groupBy("run").agg(F.min(F.struct("__id", "__th")).alias("head")).orderBy("run").collect()
+    # the run before each head's takes the echo; the first head closes the last run
+    target = {(h["head"]["__id"], h["head"]["__th"]): heads[i - 1]["run"] for i, h in enumerate(heads)}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(batch.column("__id").to_pylist(), batch.column("__th").to_pylist(), strict=True))
+            again = [i for i, k in enumerate(keys) if k in target]
+            own = np.searchsorted(bounds, batch.column("__id").to_numpy())
+            pick = np.concatenate((np.arange(len(keys)), np.array(again, np.int64)))
+            run = np.concatenate((own, np.array([target[keys[i]] for i in again], np.int64)))
+            rows = batch.take(pa.array(pick))
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(np.arange(len(pick)) >= len(keys)), *(rows.column(c) for c in ("__id", "__th", "__z"))], names=["run", "echo", "__id", "__th", "__z"])
+
+    rows = compressed(docs, []).mapInArrow(deal, "run bigint, echo boolean, `__id` bigint, `__th` bigint, `__z` binary")
+    rows = rows.repartition(max(1, len(heads)), "run").sortWithinPartitions("run", "echo", "__id", "__th")
+    return rows.select("run", "echo", F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id"), "__z")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, and the likeness to the edited and the next text.
 
-    Null texts count as empty. The next document is the next row by (doc_id, text), null ids first, so
-    rows of equal id follow each other; a table of one row has itself as next. Other columns are not
+    Null texts count as empty. The next document is the next row by doc_id and a hash of the text, null ids
+    first, so rows of equal id follow each other; a table of one row has itself as next. Other columns are not
     looked at; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int | None, str] | None = None  # run, id and text of the row before, whose next isn't known yet
         closed = None
-        for piece in pieces(batches, "text", 1 << 20):
-            pairs = []
-            columns = (piece.column(c).to_pylist() for c in ("run", "echo", "doc_id", "text"))
-            for at, echo, name, text in zip(*columns, strict=True):
-                if echo and closed == at:
-                    continue  # a further row of the head's id
-                if held is not None and held[0] == at:
-                    pairs.append((held[1], held[2], text))
-                held = None if echo else (at, name, text)
-                closed = at if echo else closed
-            if pairs:
-                yield described(pairs)
-
-    rows = in_order(docs).select("run", "echo", "doc_id", "text")
-    return rows.mapInArrow(run, SCHEMA)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 300):
+                part = batch.slice(begin, 300)
+                pairs = []
+                columns = (part.column(c).to_pylist() for c in ("run", "echo", "doc_id"))
+                for at, echo, name, raw in zip(*columns, unpacked(part.column("__z")), strict=True):
+                    if echo and closed == at:
+                        continue  # a further row with the head's id and text
+                    text = raw.decode()
+                    if held is not None and held[0] == at:
+                        pairs.append((held[1], held[2], text))
+                    held = None if echo else (at, name, text)
+                    closed = at if echo else closed
+                if pairs:
+                    yield described(pairs)
+
+    return in_order(docs).mapInArrow(run, SCHEMA)
 
 
 def described(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
