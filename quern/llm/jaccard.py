@@ -2,16 +2,17 @@
 
 Sets are compared by size band: a band's sets lie within the similarity of its lowest size, so linked
 sets are in one band or in neighbours, and each set takes part in its own band's instance and in
-the next one's. In an instance, linked sets differ in at most k elements. The domain is hashed into
-n1 = ceil((k + 1) / 2) partitions of two halves: some partition differs in one element at most, so
-one of its halves not at all, and the sets share the signature (partition, half, the half's elements).
-A half without elements says little; the signature is then taken of the other half, whole and with
-each element left out (it differs in one element at most), and where that says nothing either, of
-each half under a second partitioning.
+the next one's. In an instance, linked sets differ in at most k elements. The domain is hashed into blocks
+of about ``BLOCK`` elements, so in some block linked sets differ in at most k' = k / blocks. A block is
+hashed into n1 = ceil((k' + 1) / 2) partitions of two halves: some partition differs in one element at
+most, so one of its halves not at all, and the sets share the signature (block, partition, half, the
+half's elements). A half without elements says little; the signature is then taken of the other half,
+whole and with each element left out (it differs in one element at most), and where that says
+nothing either, of each half of the block under a second partitioning.
 
 Equal sets are one set from the start. Sets that share a signature are candidates; they are
 discarded by size and by the parities of hashed element counts (which differ in no more places than
-the sets do), and what is left is compared element by element, along forests: in each round every
+the sets do, and of which there are two for each element), and what is left is compared element by element, along forests: in each round every
 component tries its lowest untried neighbours, so a class of n alike sets costs about n comparisons,
 not all its pairs. Rounds go on until no untried candidate joins two components.
 """
@@ -33,8 +34,9 @@ from quern.llm.spread import partitions, written
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # linked: intersection / union >= 4/5
-PARITIES = 1024
-FLUSH_SETS, FLUSH_SIGNATURES = 1 << 15, 2 << 20
+BLOCK = 128
+LEAST_PARITIES = 1024
+FLUSH_SIGNATURES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -67,12 +69,23 @@ def keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * ODD) >> np.uint64(1)).astype(np.int64)
 
 
-def _halves(h: np.ndarray, owner: np.ndarray, offset: np.ndarray, halves: np.ndarray, salt: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The half that each element falls in (numbered over all sets), each half's sum of hashes and its size."""
-    where = offset[owner] + (mix(h ^ salt[owner]) % halves[owner].astype(np.uint64)).astype(np.int64)
-    total = np.zeros(n, np.uint64)
-    np.add.at(total, where, mix(h + ODD))
-    return where, total, np.bincount(where, minlength=n)
+class Plan:
+    """How an instance's sets are cut: places of halves, numbered over all sets."""
+
+    def __init__(self, band: np.ndarray, owner: np.ndarray) -> None:
+        top = _bands()[band + 1] - 1
+        self.owner = owner
+        self.blocks = np.maximum(1, top // BLOCK)
+        self.halves = 2 * -(-(_bound(top, top) // self.blocks + 1) // 2)  # of a block
+        self.code = mix(band.astype(np.uint64) * ODD + np.uint64(11))
+        self.offset = np.concatenate(([0], np.cumsum(self.blocks * self.halves)))
+        self.holder = np.repeat(np.arange(len(band)), self.blocks * self.halves)
+
+    def hashed(self, h: np.ndarray, owner: np.ndarray, salt: int) -> np.ndarray:
+        """The half that each element falls in."""
+        block = mix(h ^ self.code[owner]) % self.blocks[owner].astype(np.uint64)
+        half = mix((h ^ self.code[owner]) + np.uint64(salt)) % self.halves[owner].astype(np.uint64)
+        return self.offset[owner] + (block.astype(np.int64) * self.halves[owner] + half.astype(np.int64))
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,62 +95,69 @@ def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     live = np.flatnonzero(size)
     if not len(live):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bands = _bands()
-    own = np.searchsorted(bands, size[live], "right") - 1
+    own = np.searchsorted(_bands(), size[live], "right") - 1
     owner = np.repeat(np.arange(len(live)), size[live])  # empty sets have no elements
+    weight = mix(h + ODD)
+
+    def put(signature: np.ndarray, of: np.ndarray) -> None:
+        out.append(mix(signature))
+        sets_of.append(of)
+
     for ahead in (0, 1):
-        band = own + ahead
-        top = bands[band + 1] - 1
-        halves = 2 * -(-(_bound(top, top) + 1) // 2)
-        code = mix(band.astype(np.uint64) * ODD + np.uint64(11))
-        offset = np.concatenate(([0], np.cumsum(halves)))
-        n = int(offset[-1])
-        where, total, count = _halves(h, owner, offset, halves, code, n)
-        holder = np.repeat(np.arange(len(live)), halves)
-        inner = np.arange(n) - offset[holder]
-        place = mix(code[holder] + inner.astype(np.uint64) * ODD)
+        plan = Plan(own + ahead, owner)
+        n, holder = int(plan.offset[-1]), plan.holder
+        where = plan.hashed(h, owner, 1)
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, where, weight)
+        count = np.bincount(where, minlength=n)
+        inner = np.arange(n) - plan.offset[holder]
+        place = mix(plan.code[holder] + inner.astype(np.uint64) * ODD)
         full = count > 0
-        out.append(mix(place[full] + total[full]))
-        sets_of.append(holder[full])
+        put(place[full] + total[full], holder[full])
         # halves without elements: what their partners hold, whole and less one element
         bare = np.flatnonzero(~full)
-        partner = offset[holder[bare]] + (inner[bare] ^ 1)
-        some = count[partner] > 1
-        out.append(mix((place[bare] ^ np.uint64(0x5555)) + total[partner])[some])
-        sets_of.append(holder[bare][some])
+        partner = plan.offset[holder[bare]] + (inner[bare] ^ 1)
+        other = place ^ np.uint64(0x5555)
+        some = count[partner] > 0
+        put(other[bare[some]] + total[partner[some]], holder[bare[some]])
         reached = np.zeros(n, bool)
-        reached[partner[count[partner] > 0]] = True
+        reached[partner[count[partner] > 1]] = True
         each = np.flatnonzero(reached[where])
-        twin = offset[owner[each]] + ((where[each] - offset[owner[each]]) ^ 1)
-        less = total[where[each]] - mix(h[each] + ODD)
-        say = count[where[each]] > 1
-        out.append(mix((place[twin] ^ np.uint64(0x5555)) + less)[say])
-        sets_of.append(holder[twin][say])
-        single = np.flatnonzero(count[partner] == 1)
-        out.append(mix((place[bare[single]] ^ np.uint64(0x5555)) + total[partner[single]]))
-        sets_of.append(holder[bare[single]])
-        # the partner has one element or none: the second partitioning, once for each such half
+        twin = plan.offset[owner[each]] + ((where[each] - plan.offset[owner[each]]) ^ 1)
+        put(other[twin] + total[where[each]] - weight[each], holder[twin])
+        # the partner has one element or none: every half of the block under the second partitioning
         vague = bare[count[partner] <= 1]
         if len(vague):
-            who = np.unique(holder[vague])
-            again = np.flatnonzero(np.isin(owner, who))
-            _, total2, _ = _halves(h[again], owner[again], offset, halves, mix(code + ODD), n)
-            wide = halves[holder[vague]]
+            used = np.zeros(len(live), bool)
+            used[holder[vague]] = True
+            again = np.flatnonzero(used[owner])
+            second = np.zeros(n, np.uint64)
+            np.add.at(second, plan.hashed(h[again], owner[again], 2), weight[again])
+            wide = plan.halves[holder[vague]]
             v = np.repeat(np.arange(len(vague)), wide)
-            second = np.arange(len(v)) - np.repeat(np.cumsum(wide) - wide, wide)
-            mine = holder[vague][v]
-            out.append(mix(mix((place[vague][v] ^ np.uint64(0xAAAA)) + second.astype(np.uint64) * ODD) + total2[offset[mine] + second]))
-            sets_of.append(mine)
+            k = np.arange(len(v)) - np.repeat(np.cumsum(wide) - wide, wide)
+            mine = holder[vague[v]]
+            begin = inner[vague[v]] // plan.halves[mine] * plan.halves[mine]
+            put(mix((place[vague[v]] ^ np.uint64(0xAAAA)) + k.astype(np.uint64) * ODD) + second[plan.offset[mine] + begin + k], mine)
     return np.concatenate(out), live[np.concatenate(sets_of)]
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """Whether an odd number of elements falls in each of PARITIES places, as bytes."""
-    return np.packbits(np.bincount((mix(h ^ ODD) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1)
+    """Whether an odd number of elements falls in each of two places an element or more, a power of two, as bytes."""
+    n = max(LEAST_PARITIES, 1 << (2 * len(h) - 1).bit_length() if len(h) else 0)
+    return np.packbits(np.bincount((mix(h ^ ODD) & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1, bitorder="little")
+
+
+def folded(parity: bytes, size: int) -> np.ndarray:
+    """The parities over fewer places."""
+    out = np.frombuffer(parity, np.uint64)
+    while out.nbytes > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
 
 
 def _candidates(rows: DataFrame, shards: int) -> DataFrame:
-    """grp, key: the sets that share a signature, where several do. rows: text."""
+    """grp, key: the sets that share a signature, where several do; groups of the same sets are one. rows: text."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys: list[np.ndarray] = []
@@ -150,15 +170,15 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
                 return
             sig, owner = (np.concatenate(x) for x in zip(*held, strict=True))
             names = np.concatenate(held_keys)
-            shard = (sig % np.uint64(shards)).astype(np.int64)
+            shard = (sig % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            rest = (sig // np.uint64(shards)) & np.uint64(0xFFFFFFFF)
+            rest = ((sig // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype("<u4")
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                 own, local = np.unique(owner[part], return_inverse=True)
-                packed = (names[own].astype("<i8"), local.astype("<u2"), rest[part].astype("<u4"))
+                packed = (names[own].astype("<i8"), local.astype("<u2"), rest[part])
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["shard", "keys", "owner", "sig"])
 
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text", 1 << 19):
             h, at = sets(piece.column("text"))
             name = keys(h, at)
             fresh = []
@@ -166,19 +186,15 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
                 if k not in seen and at[i + 1] > at[i]:
                     seen.add(k)
                     fresh.append(i)
-            if not fresh:
-                continue
-            pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in fresh])
-            own_at = np.concatenate(([0], np.cumsum(np.diff(at)[fresh])))
-            for begin in range(0, len(fresh), FLUSH_SETS):
-                end = min(begin + FLUSH_SETS, len(fresh))
-                sig, owner = signatures(h[pick[own_at[begin] : own_at[end]]], own_at[begin : end + 1] - own_at[begin])
-                if n + end - begin > 1 << 16 or entries + len(sig) > FLUSH_SIGNATURES:
+            if fresh:
+                pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in fresh])
+                sig, owner = signatures(h[pick], np.concatenate(([0], np.cumsum(np.diff(at)[fresh]))))
+                if held and (n + len(fresh) > 1 << 16 or entries + len(sig) > FLUSH_SIGNATURES):
                     yield from flush()
                     held, held_keys, n, entries = [], [], 0, 0
-                held.append((sig, owner + n))
-                held_keys.append(name[fresh[begin:end]])
-                n += end - begin
+                held.append((sig, (owner + n).astype(np.int32)))
+                held_keys.append(name[fresh])
+                n += len(fresh)
                 entries += len(sig)
             if len(seen) > 1 << 20:
                 seen.clear()
@@ -187,6 +203,11 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), "<u4")
         key = np.concatenate([np.frombuffer(k.as_py(), "<i8")[np.frombuffer(o.as_py(), "<u2")] for k, o in zip(table.column("keys"), table.column("owner"), strict=True)])
+        order = np.argsort(sig, kind="stable")
+        twice = np.zeros(len(sig), bool)
+        same = np.diff(sig[order]) == 0
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        sig, key = sig[twice], key[twice]
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
         new = np.ones(len(sig), bool)
@@ -194,24 +215,24 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
         sig, key = sig[new], key[new]
         head = np.ones(len(sig), bool)
         head[1:] = np.diff(sig) != 0
-        number = np.cumsum(head) - 1
-        size = np.bincount(number)
-        several = size[number] > 1
-        sig, key, number, head = sig[several], key[several], number[several], head[several]
-        # groups with the same members say the same
-        if len(key):
-            begin = np.flatnonzero(head)
-            content = np.add.reduceat(mix(key.astype(np.uint64)), begin)
-            _, once = np.unique(content, return_index=True)
-            keep = np.zeros(len(begin), bool)
-            keep[once] = True
-            chosen = keep[np.cumsum(head) - 1]
-            sig, key = sig[chosen], key[chosen]
-        shard = int(table.column("shard")[0].as_py())
-        return pa.table({"grp": (shard << 32) | sig.astype(np.int64), "key": key})
+        begin = np.flatnonzero(head)
+        size = np.diff(np.append(begin, len(sig)))
+        if not (size > 1).any():
+            return pa.table({"grp": pa.array([], pa.int64()), "members": pa.array([], pa.binary())})
+        content = (mix(np.add.reduceat(mix(key.astype(np.uint64)), begin) + size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        content, once = np.unique(np.where(size > 1, content, -1), return_index=True)
+        content, once = content[content >= 0], once[content >= 0]
+        members = [key[begin[i] : begin[i] + size[i]].tobytes() for i in once.tolist()]
+        return pa.table({"grp": content, "members": pa.array(members, pa.binary())})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x.as_py(), "<i8") for x in batch.column("members")]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("grp").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["grp", "key"])
 
     blobs = rows.mapInArrow(ship, "shard int, keys binary, owner binary, sig binary")
-    return blobs.groupBy("shard").applyInArrow(meet, "grp bigint, key bigint")
+    return blobs.groupBy("shard").applyInArrow(meet, "grp bigint, members binary").dropDuplicates(["grp"]).mapInArrow(spread, "grp bigint, key bigint")
 
 
 def _untried(members: DataFrame, shards: int, stars: bool) -> DataFrame:
@@ -222,19 +243,20 @@ def _untried(members: DataFrame, shards: int, stars: bool) -> DataFrame:
 
     def pairs(table: pa.Table) -> pa.Table:
         grp, key, size, root = (table.column(c).to_numpy() for c in ("grp", "key", "n", "root"))
-        parity = np.frombuffer(b"".join(x.as_py() for x in table.column("parity")), np.uint64).reshape(len(grp), -1)
+        raw = table.column("parity").to_pylist()
         order = np.lexsort((key, grp))
         cuts = np.flatnonzero(np.diff(grp[order])) + 1
         out: list[np.ndarray] = []
         for part in np.split(order, cuts):
-            if (root[part] == root[part[0]]).all():
+            if len(part) < 2 or (root[part] == root[part[0]]).all():
                 continue
+            width = min(len(raw[i]) for i in part)
+            parity = np.stack([folded(raw[i], width) for i in part])
             for i in range(1 if stars else len(part) - 1):
                 a, b = part[i], part[i + 1 :]
-                b = b[root[b] != root[a]]
-                most = _bound(size[a], size[b])
                 small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                ok = (large * NUMERATOR <= small * DENOMINATOR) & (np.bitwise_count(parity[b] ^ parity[a]).sum(1) <= most)
+                ok = (root[b] != root[a]) & (large * NUMERATOR <= small * DENOMINATOR)
+                ok[ok] = np.bitwise_count(parity[i + 1 :][ok] ^ parity[i]).sum(1) <= _bound(size[a], size[b[ok]])
                 if ok.any():
                     out.append(np.stack((np.full(int(ok.sum()), key[a]), key[b[ok]])))
         found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -243,6 +265,18 @@ def _untried(members: DataFrame, shards: int, stars: bool) -> DataFrame:
     return members.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, "a bigint, b bigint").distinct()
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """The upper 40 bits of ascending hashes."""
+    return (h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(x: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
+
+
 def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The pairs whose sets are linked, by all their elements. pairs: a, b and more; elements: key, elements."""
     kept = pairs.columns
@@ -251,7 +285,7 @@ def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                x, y = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both * DENOMINATOR >= NUMERATOR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept], names=kept).filter(pa.array(ok, pa.bool_()))
@@ -287,7 +321,6 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _grown(roots: DataFrame, pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """roots after trying pairs until none joins two components: each round tries 1, 8, 64 ... of each component's."""
-    pairs = written(pairs)
     most = 1
     while True:
         one, two = (roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
@@ -312,30 +345,36 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 1 << 20):
             h, at = sets(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("__id"), piece.column("__th"), pa.array(keys(h, at)), pa.array(np.diff(at))], names=["__id", "__th", "key", "n"])
+            parity = pa.array([parities(h[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("__id"), piece.column("__th"), pa.array(keys(h, at)), pa.array(np.diff(at)), parity], names=["__id", "__th", "key", "n", "parity"])
 
-    info = written(rows.mapInArrow(name, "`__id` bigint, `__th` bigint, key bigint, n bigint"))
+    info = written(rows.mapInArrow(name, "`__id` bigint, `__th` bigint, key bigint, n bigint, parity binary"))
     groups = written(_candidates(rows.select("text"), shards))
     wanted = groups.select("key").distinct()
-    chosen = info.where("n > 0").groupBy("key").agg(F.min(F.struct("__id", "__th")).alias("at")).join(wanted, "key").select("key", "at.*")
-    found = compressed(docs, []).join(chosen, ["__id", "__th"]).dropDuplicates(["__id", "__th"])
+    known = info.where("n > 0").groupBy("key").agg(F.min(F.struct("__id", "__th")).alias("at"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    known = written(known.join(wanted, "key", "left_semi").select("key", "at.*", "n", "parity"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for begin in range(0, batch.num_rows, 256):
-                h, at = sets(pa.array(unpacked(batch.column("__z").slice(begin, 256)), pa.large_binary()))
-                out += [h[a:b] for a, b in zip(at, at[1:], strict=False)]
-            columns = [batch.column("key"), pa.array([len(x) for x in out], pa.int64()), pa.array([parities(x).tobytes() for x in out], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in out], pa.binary())]
-            if out:
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "parity", "elements"])
-
-    elements = written(found.mapInArrow(read, "key bigint, n bigint, parity binary, elements binary"))
-    roots = elements.select("key", F.col("key").alias("root"))
-    members = groups.join(elements.select("key", "n", "parity"), "key")
-    roots = _grown(roots, _untried(members.withColumn("root", F.col("key")), shards, stars=True), elements)
-    roots = _grown(roots, _untried(members.join(roots, "key"), shards, stars=False), elements)
-    return info, roots
+                part = batch.slice(begin, 256)
+                h, at = sets(pa.array(unpacked(part.column("__z")), pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([_packed(h[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "elements"])
+
+    def elements_of(pairs: DataFrame) -> DataFrame:
+        """key, elements of the sets in pairs, read from a document of each."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        chosen = known.join(ends, "key", "left_semi").select("key", "__id", "__th")
+        return written(compressed(docs, []).join(chosen, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).mapInArrow(read, "key bigint, elements binary"))
+
+    roots = known.select("key", F.col("key").alias("root"))
+    members = groups.join(known.select("key", "n", "parity"), "key")
+    for stars in (True, False):
+        own = members.withColumn("root", F.col("key")) if stars else members.join(roots, "key")
+        pairs = written(_untried(own, shards, stars))
+        if not pairs.isEmpty():
+            roots = _grown(roots, pairs, elements_of(pairs))
+    return info.drop("parity"), roots
 
 
 def components(docs: DataFrame) -> DataFrame:
