@@ -49,6 +49,11 @@ def from_unix(x) -> Column:
     return F.round(_c(x).cast("double") * 1000).cast("bigint")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _date(ms: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / DAY).cast("int"))
 
@@ -91,6 +96,7 @@ def modify(ms: Column, modifier: str) -> Column:
 def instant(x, *modifiers: str) -> Column:
     """The instant of a text or number after its modifiers; unixepoch and julianday first say how to read a number."""
     rest = list(modifiers)
+    # each step is bound, so that expressions grow with the number of modifiers and not as a power of it
     if rest and rest[0].strip().lower() == "unixepoch":
         ms = from_unix(x)
         rest = rest[1:]
@@ -98,10 +104,14 @@ def instant(x, *modifiers: str) -> Column:
         rest = rest[1:] if rest and rest[0].strip().lower() == "julianday" else rest
         ms = from_text(x)
     for m in rest:
-        ms = modify(ms, m)
+        ms = _bound(ms, m)
     return ms
 
 
+def _bound(ms: Column, modifier: str) -> Column:
+    return let(ms, lambda v: modify(v, modifier))
+
+
 def date(x, *modifiers: str) -> Column:
     return _format(instant(x, *modifiers), "%F")
 
@@ -136,6 +146,10 @@ def _pad(x: Column, n: int, fill: str = "0") -> Column:
 
 
 def _format(ms: Column, pattern: str) -> Column:
+    return let(ms, lambda v: _formatted(v, pattern))
+
+
+def _formatted(ms: Column, pattern: str) -> Column:
     day, rest = _date(ms), _of_day(ms)
     hour, minute, second = (F.floor(rest / k).cast("int") % m for k, m in ((3_600_000, 24), (60_000, 60), (1000, 60)))
     week_day = F.dayofweek(day) - 1
@@ -167,20 +181,28 @@ def _format(ms: Column, pattern: str) -> Column:
 
 def timediff(a, b) -> Column:
     """(+|-)YYYY-MM-DD HH:MM:SS.SSS: years, months and days of the difference counted from the earlier instant."""
-    x, y = instant(a), instant(b)
+    return let(F.struct(instant(a).alias("x"), instant(b).alias("y")), _difference)
+
+
+def _difference(pair: Column) -> Column:
+    x, y = pair["x"], pair["y"]
     low, high = F.least(x, y), F.greatest(x, y)
     d1, d2 = _date(low), _date(high)
-    months = (F.year(d2) - F.year(d1)) * 12 + F.month(d2) - F.month(d1)
 
     def moved(k: Column) -> Column:
         first = F.add_months(F.trunc(d1, "month"), k)
         return _at(F.date_add(first, F.dayofmonth(d1) - 1), _of_day(low))
 
-    months = F.when(moved(months) > high, months - 1).otherwise(months)
-    rest = high - moved(months)
-    clock = rest % DAY
-    text = F.concat(
-        F.when(x < y, "-").otherwise("+"), _pad(F.floor(months / 12).cast("int"), 4), F.lit("-"), _pad(months % 12, 2), F.lit("-"), _pad(F.floor(rest / DAY).cast("int"), 2), F.lit(" "),
-        _pad(F.floor(clock / 3_600_000).cast("int"), 2), F.lit(":"), _pad(F.floor(clock / 60_000).cast("int") % 60, 2), F.lit(":"), _pad(F.floor(clock / 1000).cast("int") % 60, 2), F.lit("."), _pad(clock % 1000, 3),
-    )
-    return F.when(x.isNotNull() & y.isNotNull(), text)
+    months = (F.year(d2) - F.year(d1)) * 12 + F.month(d2) - F.month(d1)
+    months = let(months, lambda m: F.when(moved(m) > high, m - 1).otherwise(m))
+
+    def text(s: Column) -> Column:
+        k, rest = s["k"], s["rest"]
+        clock = rest % DAY
+        return F.concat(
+            F.when(x < y, "-").otherwise("+"), _pad(F.floor(k / 12).cast("int"), 4), F.lit("-"), _pad(k % 12, 2), F.lit("-"), _pad(F.floor(rest / DAY).cast("int"), 2), F.lit(" "),
+            _pad(F.floor(clock / 3_600_000).cast("int"), 2), F.lit(":"), _pad(F.floor(clock / 60_000).cast("int") % 60, 2), F.lit(":"), _pad(F.floor(clock / 1000).cast("int") % 60, 2), F.lit("."), _pad(clock % 1000, 3),
+        )
+
+    both = let(months, lambda m: F.struct(m.alias("k"), (high - moved(m)).alias("rest")))
+    return F.when(x.isNotNull() & y.isNotNull(), let(both, text))

@@ -55,7 +55,7 @@ def char(*codes) -> Column:
     for code in codes:
         n = F.coalesce(_c(code).cast("int"), F.lit(0))
         n = F.when((n < 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
-        out.append(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE"))
+        out.append(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "utf-32"))
     return F.concat(*out)
 
 
