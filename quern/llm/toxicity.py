@@ -271,5 +271,12 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, th
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """The rows that are not predicted toxic, with their own columns."""
-    rows = tagged(docs, labels, folds, held, threshold, sample)
-    return rows.where("predicted = 0").drop("score", "predicted", "spans")
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held, sample).values.astype("<f4"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field(model.value)
+        for piece in pieces(batches, "text"):
+            w, p = field.tag(texts(piece.column("text")))
+            yield piece.filter(pa.array(field.score(p, w) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
