@@ -12,7 +12,7 @@ nothing either, of each half of the block under a second partitioning.
 
 Equal sets are one set from the start. Sets that share a signature are candidates; they are
 discarded by size and by the parities of hashed element counts (which differ in no more places than
-the sets do, and of which there are two for each element), and what is left is compared element by element, along forests: in each round every
+the sets do, and of which there is one for each element), and what is left is compared element by element, along forests: in each round every
 component tries its lowest untried neighbours, so a class of n alike sets costs about n comparisons,
 not all its pairs. Rounds go on until no untried candidate joins two components.
 """
@@ -35,7 +35,9 @@ from quern.llm.spread import partitions, written
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # linked: intersection / union >= 4/5
 BLOCK = 128
-LEAST_PARITIES = 1024
+LEAST_PARITIES = 512
+SHARD_ROWS = 1 << 15  # group members that a task compares
+WHOLE_GROUP = 2048  # members up to which a group is looked through at once
 FLUSH_SIGNATURES = 1 << 20
 
 
@@ -143,8 +145,8 @@ def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """Whether an odd number of elements falls in each of two places an element or more, a power of two, as bytes."""
-    n = max(LEAST_PARITIES, 1 << (2 * len(h) - 1).bit_length() if len(h) else 0)
+    """Whether an odd number of elements falls in each of as many places or more, a power of two, as bytes."""
+    n = max(LEAST_PARITIES, 1 << (len(h) - 1).bit_length() if len(h) else 0)
     return np.packbits(np.bincount((mix(h ^ ODD) & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1, bitorder="little")
 
 
@@ -236,9 +238,10 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def _untried(members: DataFrame, shards: int, stars: bool) -> DataFrame:
-    """a, b (a < b): pairs of group members in different components that size and parities allow.
+    """a, b (a < b): pairs of group members in different components that size and parities allow; and grp.
 
-    members: grp, key, n, parity, root. With stars, each group gives pairs with its lowest member alone.
+    members: grp, key, n, parity, root. With stars, each group gives pairs with its lowest member alone,
+    and its number, without a pair, if it may have others.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -247,22 +250,33 @@ def _untried(members: DataFrame, shards: int, stars: bool) -> DataFrame:
         order = np.lexsort((key, grp))
         cuts = np.flatnonzero(np.diff(grp[order])) + 1
         out: list[np.ndarray] = []
+        more: list[int] = []
         for part in np.split(order, cuts):
             if len(part) < 2 or (root[part] == root[part[0]]).all():
                 continue
             width = min(len(raw[i]) for i in part)
             parity = np.stack([folded(raw[i], width) for i in part])
-            for i in range(1 if stars else len(part) - 1):
+
+            def allowed(i: int, part: np.ndarray = part, parity: np.ndarray = parity) -> np.ndarray:
                 a, b = part[i], part[i + 1 :]
                 small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
                 ok = (root[b] != root[a]) & (large * NUMERATOR <= small * DENOMINATOR)
                 ok[ok] = np.bitwise_count(parity[i + 1 :][ok] ^ parity[i]).sum(1) <= _bound(size[a], size[b[ok]])
+                return ok
+
+            for i in range(1 if stars else len(part) - 1):
+                ok = allowed(i)
                 if ok.any():
-                    out.append(np.stack((np.full(int(ok.sum()), key[a]), key[b[ok]])))
+                    out.append(np.stack((np.full(int(ok.sum()), key[part[i]]), key[part[i + 1 :][ok]])))
+            if stars and len(part) > 2 and (len(part) > WHOLE_GROUP or any(allowed(i).any() for i in range(1, len(part) - 1))):
+                more.append(int(grp[part[0]]))
         found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": found[0], "b": found[1]})
+        n, k = found.shape[1], len(more)
+        lone = np.arange(n + k) >= n
+        columns = [pa.array(np.concatenate((x, np.zeros(k, np.int64))), mask=lone) for x in found]
+        return pa.table({"a": columns[0], "b": columns[1], "grp": pa.array(np.concatenate((np.zeros(n, np.int64), np.array(more, np.int64))), mask=~lone)})
 
-    return members.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, "a bigint, b bigint").distinct()
+    return members.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, "a bigint, b bigint, grp bigint").distinct()
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -361,20 +375,30 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 h, at = sets(pa.array(unpacked(part.column("__z")), pa.large_binary()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([_packed(h[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "elements"])
 
-    def elements_of(pairs: DataFrame) -> DataFrame:
-        """key, elements of the sets in pairs, read from a document of each."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        chosen = known.join(ends, "key", "left_semi").select("key", "__id", "__th")
+    def elements_of(wanted: DataFrame) -> DataFrame:
+        """key, elements of the sets wanted, read from a document of each."""
+        chosen = known.join(wanted, "key", "left_semi").select("key", "__id", "__th")
         return written(compressed(docs, []).join(chosen, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).mapInArrow(read, "key bigint, elements binary"))
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
     roots = known.select("key", F.col("key").alias("root"))
+    parts = 1 + groups.count() // SHARD_ROWS
     members = groups.join(known.select("key", "n", "parity"), "key")
-    for stars in (True, False):
-        own = members.withColumn("root", F.col("key")) if stars else members.join(roots, "key")
-        pairs = written(_untried(own, shards, stars))
-        if not pairs.isEmpty():
-            roots = _grown(roots, pairs, elements_of(pairs))
-    return info.drop("parity"), roots
+    stars = written(_untried(members.withColumn("root", F.col("key")), parts, stars=True))
+    pairs = stars.where("a is not null").select("a", "b")
+    if stars.isEmpty():
+        return info.drop("parity"), roots
+    elements = elements_of(ends(pairs))
+    roots = _grown(roots, pairs, elements)
+    # groups with further pairs, as far as these lead from one component to another
+    members = members.join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(roots, "key")
+    pairs = written(_untried(members, parts, stars=False).select("a", "b"))
+    missing = written(ends(pairs).join(elements.select("key"), "key", "left_anti"))
+    if not missing.isEmpty():
+        elements = elements.unionAll(elements_of(missing))
+    return info.drop("parity"), _grown(roots, pairs, elements)
 
 
 def components(docs: DataFrame) -> DataFrame:
