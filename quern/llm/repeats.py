@@ -1,11 +1,14 @@
 """Windows that a corpus repeats: the passes that substring and suffix-array dedup share.
 
-1. Each task cuts its documents into runs (``anchors``) and ships them, packed, to shards by
-   gram. A shard settles the runs of equal content by their number and order, and asks for
-   one run of each content where a gram has several.
+1. Each task cuts its documents into runs (``anchors``), settles what repeats among its own, and ships
+   one run of each content, packed, to shards by gram: a content that a third of all documents have
+   comes to its shard once a task, not once a document. A shard settles the runs of equal content by
+   their number and order, and asks for one run of each content where a gram has several.
 2. The runs asked for are read from their documents and shipped to the gram's shard, which
-   builds its index over them and finds the repeated windows among them.
-3. What both steps found is joined to the documents.
+   builds its index over them and finds the repeated windows among them. Where a gram has more
+   than ``Spec.hot`` contents, its windows are dealt by their own hash instead, again once a task, and equal
+   hashes are repeats: no gram, however frequent, fills a shard's index.
+3. What all steps found is joined to the documents.
 
 Texts travel compressed, twice. A shard holds what one of the session's shuffle partitions is
 meant to hold. What passes between the steps is written to the shared folder.
@@ -18,15 +21,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.anchors import NO_ID, runs
-from quern.llm.arrow import Texts, pieces, texts, word_hashes, words
+from quern.llm.arrow import ODD, Texts, mix, pieces, prefix_sums, range_hash, texts, word_hashes, words
 from quern.llm.spread import partitions, written
 
 FLUSH = 1 << 20  # runs that a task holds before it ships them
+PLAIN, SEVERAL, DONE = 0, 1, 2  # an entry to settle; one that stands for several; one that is settled
 
 
 class Contexts(NamedTuple):
@@ -46,6 +51,7 @@ class Spec(NamedTuple):
     by_words: bool
     keep_first: bool
     solve: Callable[[Contexts], np.ndarray]  # flags of all windows, run by run
+    hot: int = 4096  # contents of a gram up to which its windows are compared by the index
 
 
 def identity(docs: DataFrame) -> tuple[Column, Column]:
@@ -60,8 +66,33 @@ def _units(t: Texts, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(t, w), w.first
 
 
-_BLOB = ("ids", "hashes", "owner", "low", "count", "anchor", "gram", "whole")
-_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u2", "<u2", "<u4", "<u8")
+_BLOB = ("ids", "hashes", "owner", "low", "count", "anchor", "gram", "whole", "state")
+_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u2", "<u2", "<u4", "<u8", "u1")
+
+
+def _ranks(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each document in the order of ids and hashes; equal ones share theirs."""
+    order = np.lexsort((hashes, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(hashes[order]) != 0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def settled_here(document: np.ndarray, low: np.ndarray, key: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of one task: those to ship, whether each stands for several, and those that are repeats for certain."""
+    order = np.lexsort((low, document, key))
+    same = np.zeros(len(order), bool)
+    same[1:] = np.diff(key[order]) == 0
+    again = same.copy()
+    again[1:] &= (np.diff(document[order]) == 0) & (np.diff(low[order]) == 0)
+    order, same = order[~again], same[~again]
+    head = np.flatnonzero(~same)
+    several = np.diff(np.append(head, len(order))) > 1
+    if keep_first:
+        return order[head], np.zeros(len(head), bool), order[same]
+    return order[head], several, order[np.repeat(several, np.diff(np.append(head, len(order))))]
 
 
 def _blobs(shard: np.ndarray, ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, rest: list[np.ndarray], names: list[str], kinds: list[str], sizes: np.ndarray | None = None, content: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
@@ -101,27 +132,36 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _settle(table: pa.Table, spec: Spec) -> pa.Table:
     """What is known of a shard's runs by content alone: asked is null for those settled as repeated."""
     ids, hashes, document = _documents(table)
-    low, count, anchor, gram, whole = (_read(table, n, k) for n, k in zip(_BLOB[3:], _KINDS[3:], strict=True))
+    low, count, anchor, gram, whole, state = (_read(table, n, k) for n, k in zip(_BLOB[3:], _KINDS[3:], strict=True))
+    done = state == DONE
+    before = {"__id": ids[document[done]], "__th": hashes[document[done]], "span": (low[done].astype(np.int64) << 16) | count[done]}
+    document, low, count, anchor, gram, whole, state = (x[~done] for x in (document, low, count, anchor, gram, whole, state))
     order = np.lexsort((low, document, whole, gram))
-    document, low, count, anchor, gram, whole = (x[order] for x in (document, low, count, anchor, gram, whole))
+    document, low, count, anchor, gram, whole, state = (x[order] for x in (document, low, count, anchor, gram, whole, state))
     same = np.zeros(len(order), bool)
     same[1:] = (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])
     again = same.copy()
     again[1:] &= (document[1:] == document[:-1]) & (low[1:] == low[:-1])
-    document, low, count, anchor, gram, same = (x[~again] for x in (document, low, count, anchor, gram, same))
+    document, low, count, anchor, gram, state, same = (x[~again] for x in (document, low, count, anchor, gram, state, same))
     n = len(same)
     head = np.flatnonzero(~same)
     size = np.diff(np.append(head, n))
+    repeats = (size > 1) | (np.maximum.reduceat(state, head) == SEVERAL) if n else size > 1
     new_gram = np.ones(len(head), bool)
     new_gram[1:] = gram[head[1:]] != gram[head[:-1]]
     which = np.cumsum(new_gram) - 1
-    several = np.bincount(which)[which] > 1 if len(which) else new_gram
-    settled = same.copy() if spec.keep_first else np.repeat(size > 1, size)
+    contents = np.bincount(which)[which] if len(which) else which
+    several = contents > 1
+    settled = same.copy() if spec.keep_first else np.repeat(repeats, size)
     asked = head[several]
     shard = int(table.column("shard")[0].as_py())
     at = np.concatenate((np.flatnonzero(settled), asked))
-    ask = pa.array(np.concatenate((np.zeros(int(settled.sum()), np.int64), (shard << 32) | gram[asked].astype(np.int64))), mask=np.arange(len(at)) < int(settled.sum()))
-    return pa.table({"__id": ids[document[at]], "__th": hashes[document[at]], "span": (low[at].astype(np.int64) << 16) | count[at], "anchor": anchor[at].astype(np.int32), "asked": ask})
+    where = np.where(contents[several] > spec.hot, -1, shard)
+    k = len(before["span"])
+    ask = pa.array(np.concatenate((np.zeros(k + int(settled.sum()), np.int64), where)), mask=np.arange(k + len(at)) < k + int(settled.sum()))
+    columns = {"__id": ids[document[at]], "__th": hashes[document[at]], "span": (low[at].astype(np.int64) << 16) | count[at]}
+    columns = {c: np.concatenate((before[c], columns[c])) for c in columns}
+    return pa.table({**columns, "anchor": np.concatenate((np.zeros(k, np.int32), anchor[at].astype(np.int32))), "asked": ask})
 
 
 def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -158,9 +198,13 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 owner, low, count, anchor, gram, whole = (np.concatenate(x) for x in zip(*held, strict=True))
-                shard = (gram % np.uint64(shards)).astype(np.int64)
-                rest = [low, count, anchor, (gram // np.uint64(shards)) & np.uint64(0xFFFFFFFF), whole]
-                yield from _blobs(shard, np.concatenate(ids), np.concatenate(hashes), owner, rest, list(_BLOB[3:]), list(_KINDS[3:]))
+                every, each = np.concatenate(ids), np.concatenate(hashes)
+                go, several, done = settled_here(_ranks(every, each)[owner], low, mix(gram) + whole, spec.keep_first)
+                state = np.concatenate((several * np.uint8(SEVERAL), np.full(len(done), DONE, np.uint8)))
+                shard = np.concatenate(((gram[go] % np.uint64(shards)).astype(np.int64), np.arange(len(done)) * shards // max(1, len(done))))
+                pick = np.concatenate((go, done))
+                rest = [low[pick], count[pick], anchor[pick], (gram[pick] // np.uint64(shards)) & np.uint64(0xFFFFFFFF), whole[pick], state]
+                yield from _blobs(shard, every, each, owner[pick], rest, list(_BLOB[3:]), list(_KINDS[3:]))
 
         for piece in pieces(batches, "text"):
             units, at = _units(texts(piece.column("text")), spec.by_words)
@@ -186,15 +230,26 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     wanted = compressed(docs, []).join(asked, ["__id", "__th"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["low", "count", "anchor"], ["<u4", "<u2", "<u2"]
         seen: set[tuple[int, int]] = set()
-        ids, hashes, owner, shard, low, count, anchor, content = [], [], [], [], [], [], [], []
+        ids, hashes = [], []
+        owner, shard, low, count, anchor, content = [], [], [], [], [], []
+        single: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows dealt by themselves: owner, place, hash
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            every, each = np.array(ids, np.int64), np.array(hashes, np.int64)
             if content:
                 sizes = np.array([len(x) for x in content])
-                yield from _blobs(np.array(shard), np.array(ids), np.array(hashes), np.array(owner), [np.array(low), np.array(count), np.array(anchor)], names, kinds, sizes, content)
+                for batch in _blobs(np.array(shard), every, each, np.array(owner), [np.array(low), np.array(count), np.array(anchor)], ["low", "count", "anchor"], ["<u4", "<u2", "<u2"], sizes, content):
+                    yield _widened(batch)
+            if single:
+                own, place, h = (np.concatenate(x) for x in zip(*single, strict=True))
+                go, several, done = settled_here(_ranks(every, each)[own], place, h, spec.keep_first)
+                pick = np.concatenate((go, done))
+                state = np.concatenate((several * np.uint8(SEVERAL), np.full(len(done), DONE, np.uint8)))
+                where = np.concatenate(((h[go] % np.uint64(shards)).astype(np.int64), np.arange(len(done)) * shards // max(1, len(done))))
+                for batch in _blobs(where, every, each, own[pick], [place[pick], h[pick], state], ["low", "window", "state"], ["<u4", "<u8", "u1"]):
+                    yield _widened(batch)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -205,11 +260,16 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
                 units, _ = _units(texts(pa.array(unpacked(batch.column("__z").slice(i, 1)), pa.large_binary())), spec.by_words)
                 for x in batch.column("asked")[i].as_py():
                     begin, n = x["span"] >> 16, x["span"] & 0xFFFF
-                    piece = units[begin : begin + n - 1 + spec.length].tobytes()
-                    content.append(piece)
-                    held += len(piece)
+                    piece = units[begin : begin + n - 1 + spec.length]
+                    if x["asked"] < 0:
+                        sums = prefix_sums(piece if spec.by_words else mix(piece.astype(np.uint64) + ODD))
+                        single.append((np.full(n, len(ids)), begin + np.arange(n), range_hash(sums, np.arange(n), np.arange(n) + spec.length)))
+                        held += 24 * n
+                        continue
+                    content.append(piece.tobytes())
+                    held += piece.nbytes
                     owner.append(len(ids))
-                    shard.append(x["asked"] >> 32)
+                    shard.append(x["asked"])
                     low.append(begin)
                     count.append(n)
                     anchor.append(x["anchor"])
@@ -217,40 +277,83 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
                 hashes.append(th)
                 if held > 24 << 20:
                     yield from flush()
-                    ids, hashes, owner, shard, low, count, anchor, content = [], [], [], [], [], [], [], []
+                    ids, hashes, owner, shard, low, count, anchor, content, single = [], [], [], [], [], [], [], [], []
                     held = 0
         yield from flush()
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, hashes, document = _documents(table)
-        low, count, anchor, sizes = (_read(table, n, k).astype(np.int64) for n, k in (("low", "<u4"), ("count", "<u2"), ("anchor", "<u2"), ("sizes", "<u4")))
-        units = _read(table, "content", "<u8" if spec.by_words else "u1")
-        at = np.concatenate(([0], np.cumsum(sizes // units.itemsize)))
-        # a document that rows repeat in several partitions comes once
-        order = np.lexsort((low, document))
-        keep = np.ones(len(order), bool)
-        keep[1:] = (np.diff(document[order]) != 0) | (np.diff(low[order]) != 0)
-        if not keep.all():
-            order = order[keep]
-            units = np.concatenate([units[at[i] : at[i + 1]] for i in order])
-            at = np.concatenate(([0], np.cumsum((sizes // units.itemsize)[order])))
-            document, low, count, anchor = (x[order] for x in (document, low, count, anchor))
-        flags = spec.solve(Contexts(units, at, count, anchor, document, low))
-        owner = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
-        new = flags.copy()
-        new[1:] &= ~(flags[:-1] & (owner[1:] == owner[:-1]))
-        begin = np.flatnonzero(new)
-        total = np.concatenate(([0], np.cumsum(flags)))
-        n = np.diff(np.append(total[begin], total[-1]))
-        return pa.table({"__id": ids[document[owner[begin]]], "__th": hashes[document[owner[begin]]], "span": (place[begin] << 16) | n})
-
-    blob = "shard int, ids binary, hashes binary, owner binary, low binary, count binary, anchor binary, sizes binary, content binary"
+        alone = pa.compute.is_valid(table.column("window"))
+        out = [_compared(table.filter(pa.compute.invert(alone)), spec), _matched(table.filter(alone), spec)]
+        return pa.concat_tables([x for x in out if x is not None])
+
+    blob = ", ".join(f"{n} {'int' if n == 'shard' else 'binary'}" for n in _WIDE)
     found = wanted.mapInArrow(fetch, blob).groupBy("shard").applyInArrow(compare, "`__id` bigint, `__th` bigint, span bigint")
     both = known.where("asked is null").select("__id", "__th", "span").unionAll(found)
     return both.groupBy("__id", "__th").agg(F.collect_list("span").alias("__spans"))
 
 
+_WIDE = ("shard", "ids", "hashes", "owner", "low", "count", "anchor", "sizes", "content", "window", "state")
+
+
+def _widened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with all columns of either kind of blob."""
+    have = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(n) if n in have else pa.nulls(batch.num_rows, pa.binary()) for n in _WIDE], names=list(_WIDE))
+
+
+def _compared(table: pa.Table, spec: Spec) -> pa.Table | None:
+    """The repeated windows of a shard's runs, by its index."""
+    if not table.num_rows:
+        return None
+    ids, hashes, document = _documents(table)
+    low, count, anchor, sizes = (_read(table, n, k).astype(np.int64) for n, k in (("low", "<u4"), ("count", "<u2"), ("anchor", "<u2"), ("sizes", "<u4")))
+    units = _read(table, "content", "<u8" if spec.by_words else "u1")
+    at = np.concatenate(([0], np.cumsum(sizes // units.itemsize)))
+    # a document that rows repeat in several partitions comes once
+    order = np.lexsort((low, document))
+    keep = np.ones(len(order), bool)
+    keep[1:] = (np.diff(document[order]) != 0) | (np.diff(low[order]) != 0)
+    if not keep.all():
+        order = order[keep]
+        units = np.concatenate([units[at[i] : at[i + 1]] for i in order])
+        at = np.concatenate(([0], np.cumsum((sizes // units.itemsize)[order])))
+        document, low, count, anchor = (x[order] for x in (document, low, count, anchor))
+    flags = spec.solve(Contexts(units, at, count, anchor, document, low))
+    owner = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
+    new = flags.copy()
+    new[1:] &= ~(flags[:-1] & (owner[1:] == owner[:-1]))
+    begin = np.flatnonzero(new)
+    total = np.concatenate(([0], np.cumsum(flags)))
+    n = np.diff(np.append(total[begin], total[-1]))
+    return pa.table({"__id": ids[document[owner[begin]]], "__th": hashes[document[owner[begin]]], "span": (place[begin] << 16) | n})
+
+
+def _matched(table: pa.Table, spec: Spec) -> pa.Table | None:
+    """The repeated ones of the windows that were dealt by their hash."""
+    if not table.num_rows:
+        return None
+    ids, hashes, document = _documents(table)
+    low, window, state = (_read(table, n, k) for n, k in (("low", "<u4"), ("window", "<u8"), ("state", "u1")))
+    done = np.flatnonzero(state == DONE)
+    rest = np.flatnonzero(state != DONE)
+    order = rest[np.lexsort((low[rest], document[rest], window[rest]))]
+    head = np.ones(len(order), bool)
+    head[1:] = np.diff(window[order]) != 0
+    again = ~head
+    again[1:] &= (np.diff(document[order]) == 0) & (np.diff(low[order].astype(np.int64)) == 0)
+    order, head = order[~again], head[~again]
+    if spec.keep_first:
+        hit = order[~head]
+    else:
+        begin = np.flatnonzero(head)
+        size = np.diff(np.append(begin, len(order)))
+        repeats = (size > 1) | (np.maximum.reduceat(state[order], begin) == SEVERAL) if len(order) else size > 1
+        hit = order[np.repeat(repeats, size)]
+    hit = np.concatenate((done, hit))
+    return pa.table({"__id": ids[document[hit]], "__th": hashes[document[hit]], "span": (low[hit].astype(np.int64) << 16) | 1})
+
+
 def covered(packed: list[int] | None, n: int, length: int) -> np.ndarray:
     """Which of n units the windows cover."""
     edge = np.zeros(n + 1, np.int64)

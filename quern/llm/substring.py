@@ -141,7 +141,7 @@ def repeated(c: Contexts) -> np.ndarray:
 SPEC = Spec(LENGTH, GRAM, by_words=True, keep_first=True, solve=repeated)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
     Null texts have no words. Rows of equal id and text are one document, so neither is earlier; rows
@@ -161,4 +161,4 @@ def removals(docs: DataFrame) -> DataFrame:
                 a, b, h = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(h)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return applied(docs, SPEC, ["doc_id"], run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return applied(docs, spec, ["doc_id"], run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -152,7 +152,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
         yield text, covered(spans, len(text), LENGTH)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Null texts count as empty; texts of fewer than 200 bytes lose nothing. Rows of equal id and text are
@@ -171,7 +171,7 @@ def removals(docs: DataFrame) -> DataFrame:
                 a, b, n, h = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(n), pa.array(h)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return applied(docs, SPEC, ["doc_id"], run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return applied(docs, spec, ["doc_id"], run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -55,8 +55,10 @@ def distinct_rows(rows):
     return sorted({(-1 if i is None else i, t or "") for i, t in rows})
 
 
-def test_substring_dedup(spark, texts):
-    got = {(r["doc_id"] if r["doc_id"] is not None else -1): tuple(r)[1:] for r in substring.removals(frame(spark, texts)).collect()}
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_dedup(spark, texts, hot):
+    spec = substring.SPEC._replace(hot=hot)
+    got = {(r["doc_id"] if r["doc_id"] is not None else -1): tuple(r)[1:] for r in substring.removals(frame(spark, texts), spec).collect()}
     first = {}
     for i, t in distinct_rows(texts):
         w = re.findall(SPACE, t.encode())
@@ -66,7 +68,7 @@ def test_substring_dedup(spark, texts):
                 gone[s : s + 20] = [True] * 20
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         assert got[i] == (len(w), sum(gone), hashlib.sha256(kept).hexdigest()), i
-    assert len(substring.removals(frame(spark, texts)).collect()) == len(texts)
+    assert len(substring.removals(frame(spark, texts), spec).collect()) == len(texts)
     assert substring.removals(empty(spark)).collect() == []
 
 
@@ -81,8 +83,10 @@ def without_repeats(rows):
         yield i, b, bytes(gone)
 
 
-def test_suffix_dedup(spark, texts):
-    got = {(r["doc_id"] if r["doc_id"] is not None else -1): tuple(r)[1:] for r in suffix.removals(frame(spark, texts)).collect()}
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_suffix_dedup(spark, texts, hot):
+    spec = suffix.SPEC._replace(hot=hot)
+    got = {(r["doc_id"] if r["doc_id"] is not None else -1): tuple(r)[1:] for r in suffix.removals(frame(spark, texts), spec).collect()}
     for i, b, gone in without_repeats(distinct_rows(texts)):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         assert got[i] == (len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()), i
