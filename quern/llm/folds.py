@@ -11,17 +11,21 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
-    """At most rows labelled rows outside the held fold, half of them at most with either label: text, label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ones: float = 0.5) -> DataFrame:
+    """At most rows labelled rows outside the held fold, a share of ones at most with label 1: doc_id, text, label, weight.
+
+    The weights make up for the shares: those of a label sum to its number of labelled rows, over all of them.
 
     The rows are those with the lowest hash of the id. What is broadcast are these ids with their
     labels: rows * 16 bytes.
     """
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).distinct()
     order = F.xxhash64("doc_id", F.lit(label))
-    sides = [known.where(F.col("label") == side).orderBy(order, "doc_id").limit(rows // 2) for side in (0, 1)]
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+    most = {1: int(rows * ones), 0: rows - int(rows * ones)}
+    sides = [known.where(F.col("label") == side).orderBy(order, "doc_id").limit(most[side]).withColumn("weight", F.lit(max(1.0, counts.get(side, 0) / most[side]))) for side in (0, 1)]
     picked = sides[0].unionAll(sides[1])
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "weight")
 
 
 def held_out(doc_id: Column, folds: int, held: int) -> Column:

@@ -1,6 +1,7 @@
 """Quality scores by Naive Bayes support vectors.
 
-A text's indicators of hashed n-grams (words, pairs of words, runs of four bytes) are scaled by
+A text's indicators of hashed n-grams (words, pairs of words, runs of four bytes; pairs and triples of
+words' shapes, and which of four words repeat the one before) are scaled by
 the log-count ratio of the two classes and to unit length; a linear hinge-loss model over them is
 fit by dual coordinate descent, one document at a time; a logistic fit on a part of the sample that
 the model hasn't seen turns margins into scores.
@@ -40,22 +41,46 @@ class Indicators:
         pair = mix(one[:-1] * ODD + one[1:]) if len(one) > 1 else one[:0]
         data = t.data.astype(np.uint64)
         four = mix((data[:-3] << np.uint64(24) | data[1:-2] << np.uint64(16) | data[2:-1] << np.uint64(8) | data[3:]) + np.uint64(7)) if len(data) > 3 else data[:0]
+        shape = shapes(t, w)
+        same = np.zeros(len(one), np.uint64)
+        same[1:] = one[1:] == one[:-1]
+        if len(one) > 2:
+            two = mix(shape[:-2] * np.uint64(100_003) + shape[1:-1] + np.uint64(13))
+            three = mix(two + shape[2:] * ODD)
+        else:
+            two = three = one[:0]
+        again = mix(same[:-3] + np.uint64(2) * same[1:-2] + np.uint64(4) * same[2:-1] + np.uint64(8) * same[3:] + np.uint64(17)) if len(one) > 3 else one[:0]
         low = np.uint64(BUCKETS - 1)
-        one, pair, four = ((x & low).astype(np.int64) for x in (one, pair, four))
+        one, pair, four, two, three, again = ((x & low).astype(np.int64) for x in (one, pair, four, two, three, again))
         for a, b, i, j in zip(t.at, t.at[1:], w.first, w.first[1:], strict=False):
-            found = np.concatenate((one[i:j], pair[i : max(i, j - 1)], four[a : max(a, b - 3)]))
+            inner = max(i, j - 2)
+            found = np.concatenate((one[i:j], pair[i : max(i, j - 1)], four[a : max(a, b - 3)], two[i:inner], three[i:inner], again[i : max(i, j - 3)]))
             order = np.arange(len(found))
             self.last[found] = order
             yield found[self.last[found] == order]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def shapes(t: Texts, w: Words) -> np.ndarray:
+    """A small number for each word: what its first and last bytes are, whether it is in capitals, how long it is."""
+    if not len(w.start):
+        return np.zeros(0, np.uint64)
+    kind = np.zeros(256, np.uint64)
+    kind[97:123], kind[65:91], kind[48:58], kind[128:] = 1, 2, 3, 4
+    upper = np.concatenate(([0], np.cumsum((t.data >= 65) & (t.data < 91))))
+    lower = np.concatenate(([0], np.cumsum((t.data >= 97) & (t.data < 123))))
+    capitals = ((upper[w.end] - upper[w.start]) > 1) & (lower[w.end] == lower[w.start])
+    last = np.where(kind[t.data[w.end - 1]] > 0, kind[t.data[w.end - 1]], t.data[w.end - 1].astype(np.uint64) + np.uint64(8))
+    size = np.minimum(np.log2(w.end - w.start).astype(np.uint64), np.uint64(6))
+    return ((kind[t.data[w.start]] * np.uint64(300) + last) * np.uint64(2) + capitals.astype(np.uint64)) * np.uint64(8) + size
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, worth: np.ndarray) -> np.ndarray:
     """One weight for each bucket, then a scale and an intercept for the score."""
     order = np.random.default_rng(5).permutation(len(rows))
     cut = len(rows) * 3 // 4
     model = np.zeros(BUCKETS + 2)
     if len(set(labels[order[:cut]])) < 2 or len(set(labels[order[cut:]])) < 2:
-        model[-1] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
+        model[-1] = np.log(((worth * labels).sum() + 1) / ((worth * (1 - labels)).sum() + 1))
         return model
     ratio = np.zeros(BUCKETS)
     for side, sign in ((1, 1), (0, -1)):
@@ -84,7 +109,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         if moved < 1e-4:
             break
     margin = np.array([weights[rows[i]] @ scaled[i] + bias for i in order[cut:]])
-    slope, level = logistic(margin[:, None], labels[order[cut:]], np.ones(len(margin)))
+    slope, level = logistic(margin[:, None], labels[order[cut:]], worth[order[cut:]])
     model[:BUCKETS] = weights
     # margins need the ratios' lengths as well, so both tables are kept
     return np.concatenate((model[:BUCKETS], ratio, [bias, slope, level]))
@@ -97,14 +122,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int
         indicators = Indicators()
         for piece in pieces(batches, "text"):
             found = [x.astype("<i4").tobytes() for x in indicators.of(texts(piece.column("text")))]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "buckets"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), piece.column("weight"), pa.array(found, pa.binary())], names=["doc_id", "label", "weight", "buckets"])
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         rows = [np.frombuffer(x, "<i4") for x in table.column("buckets").to_pylist()]
-        return pa.table({"model": [fit(rows, np.array(table.column("label").to_pylist(), np.int64)).astype("<f4").tobytes()]})
+        return pa.table({"model": [fit(rows, np.array(table.column("label").to_pylist(), np.int64), np.array(table.column("weight").to_pylist())).astype("<f4").tobytes()]})
 
-    rows = labelled_sample(docs, labels, "quality", folds, held, sample).mapInArrow(features, "doc_id bigint, label int, buckets binary")
+    rows = labelled_sample(docs, labels, "quality", folds, held, sample).mapInArrow(features, "doc_id bigint, label int, weight double, buckets binary")
     made = rows.groupBy().applyInArrow(learn, "model binary").collect()
     return np.frombuffer(made[0]["model"], "<f4") if made else np.zeros(BUCKETS + 2, np.float32)
 

@@ -3,8 +3,8 @@
 Tokens are runs of letters and digits. Each has features by hash: the lower-cased token, its
 first bytes, and its neighbours. The field has two states (clean, toxic) with learnt transitions.
 Labelled tokens for the fit come from the document labels: in a toxic document, the tokens with a
-feature that is frequent in toxic documents and practically absent from clean ones are toxic, all
-others clean. Forward-backward gives each token's marginal. As the chain has two states, what a
+feature that is in so many toxic documents, and so much more often than in clean ones, that chance
+is ruled out, are toxic, all others clean. Forward-backward gives each token's marginal. As the chain has two states, what a
 run of tokens does to the forward (or backward) vector is a 2x2 matrix: runs of equal length are
 multiplied up side by side and composed by a prefix scan, so very long documents cost no more
 steps than short ones.
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from quern.llm.arrow import LOWER, Texts, Words, byte_sums, pieces, range_hash, texts
 from quern.llm.folds import held_out, labelled_sample, logistic
 
-SAMPLE = 3000
+SAMPLE = 4000
+ONES = 0.25  # of the sample, at most
+CHANCE = 1e-5  # with which a feature of a toxic token may be in toxic documents alone
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 KINDS = 1 + len(PREFIXES) + 2
@@ -168,9 +170,9 @@ class Field:
         z = np.column_stack((self.evidence(p, w), np.ones(len(w.first) - 1))) @ self.values[-3:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, t: Texts, labels: np.ndarray) -> Field:
+    def fit(self, t: Texts, labels: np.ndarray, worth: np.ndarray) -> Field:
         """Labelled tokens from labelled documents, then adaptive gradient steps on the log-likelihood."""
-        self.values[-1] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
+        self.values[-1] = np.log(((worth * labels).sum() + 0.5) / ((worth * (1 - labels)).sum() + 0.5))
         if len(set(labels.tolist())) < 2:
             return self
         w = tokens(t)
@@ -181,7 +183,7 @@ class Field:
             key = np.unique(owner.astype(np.int64) * BUCKETS + row)
             within = [np.bincount(key[labels[key // BUCKETS] == side] % BUCKETS, minlength=BUCKETS) for side in (0, 1)]
             rate = [(within[side] + 0.5) / ((labels == side).sum() + 1) for side in (0, 1)]
-            mark = (within[1] >= max(3, 0.004 * (labels == 1).sum())) & (rate[1] / rate[0] >= 25)
+            mark = (within[1] >= np.log(CHANCE) / np.log(labels.mean())) & (rate[1] / rate[0] >= 25)
             gold |= mark[row] & (labels[owner] == 1)
         square = np.full(BUCKETS + 5, 1e-8)
         index = np.arange(len(labels))
@@ -206,7 +208,7 @@ class Field:
                 square += step**2
                 self.values[: BUCKETS + 5] += 0.4 * step / np.sqrt(square)
         p, _ = self.posterior(f, w)
-        self.values[-3:] = logistic(self.evidence(p, w), labels, np.ones(len(labels)))
+        self.values[-3:] = logistic(self.evidence(p, w), labels, worth)
         return self
 
 
@@ -217,10 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         column = table.column("text").combine_chunks()
         t = texts(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
-        field = Field().fit(t, np.array(table.column("label").to_pylist(), np.int64))
+        field = Field().fit(t, np.array(table.column("label").to_pylist(), np.int64), np.array(table.column("weight").to_pylist()))
         return pa.table({"model": [field.values.astype("<f4").tobytes()]})
 
-    made = labelled_sample(docs, labels, "toxic", folds, held, sample).groupBy().applyInArrow(learn, "model binary").collect()
+    made = labelled_sample(docs, labels, "toxic", folds, held, sample, ONES).groupBy().applyInArrow(learn, "model binary").collect()
     return Field(np.frombuffer(made[0]["model"], "<f4")) if made else Field()
 
 
