@@ -24,8 +24,8 @@ from quern.llm.repeats import compressed, identity, unpacked
 from quern.llm.spread import partitions
 
 SHINGLE = 5
-SCALE = 8  # one hash in so many is kept
-FLOOR = 16
+SCALE = 4  # one hash in so many is kept
+FLOOR = 64
 BITS = 40
 BOUND = (1 << BITS) // SCALE
 

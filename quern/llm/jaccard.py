@@ -38,7 +38,7 @@ BLOCK = 128
 LEAST_PARITIES = 512
 SHARD_ROWS = 1 << 15  # group members that a task compares
 WHOLE_GROUP = 2048  # members up to which a group is looked through at once
-FLUSH_SIGNATURES = 1 << 20
+FLUSH_SIGNATURES = 3 << 18
 
 
 @lru_cache(maxsize=1)
@@ -198,7 +198,7 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
                 held_keys.append(name[fresh])
                 n += len(fresh)
                 entries += len(sig)
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 18:
                 seen.clear()
         yield from flush()
 

@@ -30,7 +30,9 @@ from quern.llm.anchors import NO_ID, runs
 from quern.llm.arrow import ODD, Texts, mix, pieces, prefix_sums, range_hash, texts, word_hashes, words
 from quern.llm.spread import partitions, written
 
-FLUSH = 1 << 20  # runs that a task holds before it ships them
+FLUSH = 1 << 18  # runs that a task holds before it ships them
+PIECE = 1 << 19  # bytes of text whose runs are cut at once
+FINE = 4  # indexes that a shard's runs are split into
 PLAIN, SEVERAL, DONE = 0, 1, 2  # an entry to settle; one that stands for several; one that is settled
 
 
@@ -156,7 +158,7 @@ def _settle(table: pa.Table, spec: Spec) -> pa.Table:
     asked = head[several]
     shard = int(table.column("shard")[0].as_py())
     at = np.concatenate((np.flatnonzero(settled), asked))
-    where = np.where(contents[several] > spec.hot, -1, shard)
+    where = np.where(contents[several] > spec.hot, -1, shard * FINE + (gram[asked] % FINE).astype(np.int64))
     k = len(before["span"])
     ask = pa.array(np.concatenate((np.zeros(k + int(settled.sum()), np.int64), where)), mask=np.arange(k + len(at)) < k + int(settled.sum()))
     columns = {"__id": ids[document[at]], "__th": hashes[document[at]], "span": (low[at].astype(np.int64) << 16) | count[at]}
@@ -206,7 +208,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
                 rest = [low[pick], count[pick], anchor[pick], (gram[pick] // np.uint64(shards)) & np.uint64(0xFFFFFFFF), whole[pick], state]
                 yield from _blobs(shard, every, each, owner[pick], rest, list(_BLOB[3:]), list(_KINDS[3:]))
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             units, at = _units(texts(piece.column("text")), spec.by_words)
             r = runs(units, at, spec.length, spec.gram)
             if len(r.owner):
@@ -275,7 +277,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
                     anchor.append(x["anchor"])
                 ids.append(name)
                 hashes.append(th)
-                if held > 24 << 20:
+                if held > 12 << 20:
                     yield from flush()
                     ids, hashes, owner, shard, low, count, anchor, content, single = [], [], [], [], [], [], [], [], []
                     held = 0
@@ -367,4 +369,8 @@ def covered(packed: list[int] | None, n: int, length: int) -> np.ndarray:
 def applied(docs: DataFrame, spec: Spec, keep: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """run over all rows: the kept columns, __z (compressed text) and __spans (null: none)."""
     rows = compressed(docs, keep).join(spans(docs, spec), ["__id", "__th"], "left").drop("__id", "__th")
-    return rows.mapInArrow(run, schema)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500))
+
+    return rows.mapInArrow(sliced, schema)
