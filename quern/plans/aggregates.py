@@ -10,7 +10,7 @@ from quern.plans.warehouse import _plain
 
 SQL = {
     "agg_scalar": "select count(*) as n, cast(sum(cast(o_totalprice as decimal(14,2))) as double) as total, min(o_orderdate) as first_date, max(o_totalprice) as high from {orders}",
-    "agg_empty": "select count(*) as n, sum(o_custkey) as s, max(o_orderkey) as m from {orders} where o_orderkey < 0",
+    "agg_empty": "select count(*) as n, cast(sum(o_custkey) as bigint) as s, max(o_orderkey) as m from {orders} where o_orderkey < 0",
     "agg_grouped": "select o_orderstatus, o_orderpriority, count(*) as n, min(o_totalprice) as low from {orders} group by o_orderstatus, o_orderpriority",
     "agg_expression": "select o_custkey % 10 as bucket, count(*) as n from {orders} group by o_custkey % 10",
     "agg_distinct": "select l_returnflag, count(distinct l_suppkey) as suppliers, cast(sum(distinct l_linenumber) as bigint) as lines from {lineitem} group by l_returnflag",

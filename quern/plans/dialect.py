@@ -1,0 +1,188 @@
+"""Query text of the SQLite dialect as Spark SQL, token by token.
+
+What the text alone decides is translated: quoting, literals, null-safe IS, LIKE, GLOB and REGEXP, LIMIT
+forms, access hints, type names, function names and the left-to-right order of compound operators.
+What depends on operand types (truncating division, overflow) is for the expression library.
+"""
+
+from __future__ import annotations
+
+import re
+
+from quern.functions.semantics import glob_regex
+
+TOKEN = re.compile(
+    r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<blob>[xX]'[0-9A-Fa-f]*')|(?P<text>'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|\[[^\]]*\]|`[^`]*`)
+    |(?P<hex>0[xX][0-9A-Fa-f_]+)|(?P<number>\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_]\w*)|(?P<param>\{\w+\}|[?:@$]\w*)|(?P<op>\|\||->>|->|<<|>>|<=|>=|==|<>|!=|.)""",
+    re.VERBOSE | re.DOTALL,
+)
+
+#: Type names and functions that Spark calls otherwise.
+TYPES = {"INTEGER": "BIGINT", "INT": "BIGINT", "TEXT": "STRING", "VARCHAR": "STRING", "REAL": "DOUBLE", "FLOAT": "DOUBLE", "NUMERIC": "DOUBLE", "BLOB": "BINARY"}
+FUNCTIONS = {"iif": "if", "unicode": "ascii", "printf": "format_string", "string_reverse": "reverse", "strpos": "instr", "json_extract": "get_json_object", "character_length": "char_length", "sign": "signum", "likely": "", "unlikely": ""}
+COMPOUND = {"UNION", "INTERSECT", "EXCEPT"}
+
+
+def tokens(text: str) -> list[tuple[str, str]]:
+    return [(m.lastgroup, m[0]) for m in TOKEN.finditer(text) if m.lastgroup != "space"]
+
+
+def _close(t: list[tuple[str, str]], at: int) -> int:
+    """The place of the parenthesis that closes the one at a place."""
+    depth = 0
+    for i in range(at, len(t)):
+        depth += {"(": 1, ")": -1}.get(t[i][1], 0)
+        if not depth:
+            return i
+    raise ValueError("unbalanced parentheses")
+
+
+def _arguments(t: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    out, depth = [[]], 0
+    for x in t:
+        depth += {"(": 1, ")": -1}.get(x[1], 0)
+        if x[1] == "," and not depth:
+            out.append([])
+        else:
+            out[-1].append(x)
+    return out if out != [[]] else []
+
+
+def _call(name: str, args: list[list[tuple[str, str]]]) -> str | None:
+    """Calls that are more than a renaming."""
+    a = [_words(x) for x in args]
+    if name == "total":
+        return f"coalesce(sum(cast({a[0]} as double)), 0.0D)"
+    if name == "group_concat":
+        return f"listagg(cast({a[0]} as string), {a[1] if len(a) > 1 else chr(39) + ',' + chr(39)})"
+    if name in ("min", "max") and len(a) > 1:
+        return f"if({' or '.join(f'({x}) is null' for x in a)}, null, {'least' if name == 'min' else 'greatest'}({', '.join(a)}))"
+    if name == "log":
+        return f"log10({a[0]})" if len(a) == 1 else f"(ln({a[1]}) / ln({a[0]}))"
+    if name == "mod":
+        return f"(cast({a[0]} as double) % nullif(cast({a[1]} as double), 0.0D))"
+    if name == "likelihood":
+        return f"({a[0]})"
+    if name == "concat":
+        return f"concat_ws('', {', '.join(a)})"
+    if name == "generate_series":
+        step = a[2] if len(a) > 2 else "1"
+        return f"(select explode(if(sign({step}) * sign(({a[1]}) - ({a[0]})) >= 0, sequence({a[0]}, {a[1]}, {step}), array())) as value)"
+    return None
+
+
+def _words(t: list[tuple[str, str]]) -> str:
+    """The translation of a run of tokens."""
+    out: list[str] = []
+    i = 0
+    while i < len(t):
+        kind, x = t[i]
+        up = x.upper()
+        after = t[i + 1][1].upper() if i + 1 < len(t) else ""
+        if kind == "word" and up in ("CAST",) and after == "(":
+            close = _close(t, i + 1)
+            inner = t[i + 2 : close]
+            at = max(k for k, y in enumerate(inner) if y[1].upper() == "AS")
+            kind_name = TYPES.get(inner[at + 1][1].upper(), inner[at + 1][1])
+            out.append(f"try_cast({_words(inner[:at])} as {kind_name})")
+            i = close + 1
+            continue
+        if kind == "word" and after == "(" and up not in COMPOUND | {"IN", "AS", "FROM", "WHERE", "AND", "OR", "NOT", "OVER", "VALUES", "EXISTS", "ON", "USING", "SELECT", "FILTER", "BY", "CASE", "WHEN", "THEN", "ELSE", "MATERIALIZED"}:
+            close = _close(t, i + 1)
+            made = _call(x.lower(), _arguments(t[i + 2 : close]))
+            if made is not None:
+                out.append(made)
+            else:
+                out.append(f"{FUNCTIONS.get(x.lower(), x)}({_words(t[i + 2 : close])})")
+            i = close + 1
+            continue
+        if kind == "text":
+            out.append("'" + x[1:-1].replace("''", "\\'").replace("\n", "\\n") + "'" if "\\" not in x else "'" + x[1:-1].replace("\\", "\\\\").replace("''", "\\'") + "'")
+        elif kind == "name":
+            out.append("`" + x[1:-1].replace('""', '"') + "`")
+        elif kind == "hex":
+            out.append(str(int(x.replace("_", ""), 16)))
+        elif kind == "number":
+            x = x.replace("_", "")
+            out.append(x + "D" if re.search(r"[.eE]", x) else x)
+        elif x == "==":
+            out.append("=")
+        elif up == "ISNULL":
+            out.append("IS NULL")
+        elif up == "NOTNULL" or up == "NOT" and after == "NULL" and (not out or out[-1].upper() != "IS"):
+            out.append("IS NOT NULL")
+            i += up == "NOT"
+        elif up == "IS" and after not in ("NULL", "TRUE", "FALSE", "DISTINCT"):
+            if after == "NOT":
+                last = t[i + 2][1].upper() if i + 2 < len(t) else ""
+                out.append("IS NOT" if last in ("NULL", "TRUE", "FALSE", "DISTINCT") else "IS DISTINCT FROM")
+                i += 1
+            else:
+                out.append("IS NOT DISTINCT FROM")
+        elif up == "LIKE":
+            out.append("ILIKE")
+        elif up == "GLOB" and t[i + 1][0] == "text":
+            pattern = glob_regex(t[i + 1][1][1:-1].replace("''", "'"))
+            out.append("RLIKE '" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'")
+            i += 1
+        elif up == "REGEXP":
+            out.append("RLIKE")
+        elif up == "IN" and after == "(" and t[i + 2][1] == ")":
+            out.append("IN (SELECT NULL WHERE FALSE)")
+            i += 2
+        elif up == "INDEXED" and after == "BY":
+            i += 2
+        elif up == "NOT" and after == "INDEXED":
+            i += 1
+        elif up in ("MATERIALIZED",) or up == "NOT" and after == "MATERIALIZED":
+            i += up == "NOT"
+        elif up == "LIMIT":
+            j = i + 1
+            first = []
+            while j < len(t) and t[j][1].upper() not in ("OFFSET", ",", ")", "UNION"):
+                first.append(t[j])
+                j += 1
+            one = _words(first)
+            if j < len(t) and t[j][1] == ",":
+                rest = []
+                j += 1
+                while j < len(t) and t[j][1] != ")":
+                    rest.append(t[j])
+                    j += 1
+                out.append(f"LIMIT {_limit(_words(rest))} OFFSET {one}")
+            else:
+                out.append(f"LIMIT {_limit(one)}")
+            i = j
+            continue
+        elif up == "OFFSET" and after == "-":
+            out.append("OFFSET 0")
+            i += 2
+        else:
+            out.append(x)
+        i += 1
+    return re.sub(r"\s+\.\s+", ".", " ".join(out))
+
+
+def _limit(text: str) -> str:
+    return "ALL" if text.startswith("-") or text.upper() == "NULL" else text
+
+
+def _left_to_right(t: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Parentheses that make compound operators of one precedence, where INTERSECT follows another."""
+    depth, cuts = 0, []
+    for i, (_, x) in enumerate(t):
+        depth += {"(": 1, ")": -1}.get(x, 0)
+        if not depth and x.upper() in COMPOUND:
+            cuts.append(i)
+    if len(cuts) < 2 or not any(t[c][1].upper() == "INTERSECT" for c in cuts[1:]) or t[0][1].upper() == "WITH":
+        return t
+    out = t[: cuts[0]]
+    for k, cut in enumerate(cuts):
+        end = cuts[k + 1] if k + 1 < len(cuts) else len(t)
+        out = ([("op", "("), *out, ("op", ")")] if k else out) + t[cut:end]
+    return out
+
+
+def translated(text: str) -> str:
+    """Spark SQL for a query."""
+    return _words(_left_to_right([x for x in tokens(text) if x[1] != ";"]))
