@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.anchors import NO_ID
@@ -334,20 +334,20 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _grown(roots: DataFrame, pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """roots after trying pairs until none joins two components: each round tries 1, 8, 64 ... of each component's."""
+    """roots after trying pairs until none joins two components: each round tries up to 1, 8, 64 ... of each component's."""
     most = 1
     while True:
         one, two = (roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
         open_pairs = pairs.join(one, "a").join(two, "b").where("ra <> rb").select("a", "b", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"))
-        rank = F.row_number().over(Window.partitionBy("high").orderBy("low", "a", "b"))
-        open_pairs = written(open_pairs.withColumn("rank", rank))
+        open_pairs = written(open_pairs)
         if open_pairs.isEmpty():
             return roots
-        tried = open_pairs.where(F.col("rank") <= most)
-        good = written(_linked(tried.select("a", "b", "low", "high"), elements))
+        slot = F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("slot")
+        tried = written(open_pairs.groupBy("high", slot).agg(F.min(F.struct("low", "a", "b")).alias("t")).select("t.a", "t.b", "t.low", "high"))
+        good = written(_linked(tried, elements))
         if not good.isEmpty():
             roots = _merged(roots, good.select("low", "high").distinct())
-        pairs = open_pairs.where(F.col("rank") > most).select("a", "b")
+        pairs = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
         most *= 8
 
 
