@@ -50,4 +50,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from quern.plans import aggregates, expressions, joins, mutations, relations, sets, warehouse, windows  # noqa: F401
+    from quern.plans import aggregates, database, expressions, joins, mutations, relations, sets, warehouse, windows  # noqa: F401
