@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, fingerprint, jaccard, packing, quality, substring, suffix, tokencount, toxicity, url_filter
+from quern.llm import decontam, fingerprint, jaccard, oracles, packing, quality, substring, suffix, tokencount, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": oracles.OP3, "op6_jaccard_join": oracles.OP6, "op8_suffix_array_dedup": oracles.OP8}
