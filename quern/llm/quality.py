@@ -89,8 +89,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, worth: np.ndarray) -> np.nda
             if labels[i] == side:
                 count[rows[i]] += 1
         ratio += sign * np.log(count / count.sum())
-    scaled = [ratio[x] for x in rows]
-    scaled = [v / (np.linalg.norm(v) or 1) for v in scaled]
+    scaled = [(v / (np.linalg.norm(v) or 1)).astype(np.float32) for v in (ratio[x] for x in rows)]
     sign = np.where(labels == 1, 1.0, -1.0)
     bound = {s: PENALTY * cut / (2 * max(1, (sign[order[:cut]] == s).sum())) for s in (1.0, -1.0)}
     weights, bias, dual = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))

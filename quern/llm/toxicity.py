@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 KINDS = 1 + len(PREFIXES) + 2
 RUN = 128
-EPOCHS = 12
+EPOCHS = 6
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -175,23 +175,24 @@ class Field:
         self.values[-1] = np.log(((worth * labels).sum() + 0.5) / ((worth * (1 - labels)).sum() + 0.5))
         if len(set(labels.tolist())) < 2:
             return self
-        w = tokens(t)
-        f = features(t, w)
-        owner = np.repeat(np.arange(len(labels)), np.diff(w.first))
+        w, f = _in_parts(t)
+        owner = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(w.first))
         gold = np.zeros(f.shape[1], bool)
         for row in f[: KINDS - 2]:
-            key = np.unique(owner.astype(np.int64) * BUCKETS + row)
-            within = [np.bincount(key[labels[key // BUCKETS] == side] % BUCKETS, minlength=BUCKETS) for side in (0, 1)]
+            # each bucket once for each document
+            order = np.argsort(row, kind="stable")
+            once = np.ones(len(order), bool)
+            once[1:] = (np.diff(row[order]) != 0) | (np.diff(owner[order]) != 0)
+            order = order[once]
+            within = [np.bincount(row[order[labels[owner[order]] == side]], minlength=BUCKETS) for side in (0, 1)]
             rate = [(within[side] + 0.5) / ((labels == side).sum() + 1) for side in (0, 1)]
             mark = (within[1] >= np.log(CHANCE) / np.log(labels.mean())) & (rate[1] / rate[0] >= 25)
             gold |= mark[row] & (labels[owner] == 1)
         square = np.full(BUCKETS + 5, 1e-8)
-        index = np.arange(len(labels))
         rng = np.random.default_rng(8)
         for _ in range(EPOCHS):
-            for some in np.array_split(rng.permutation(index), max(1, min(8, len(labels) // 16))):
-                at = np.concatenate([np.arange(w.first[i], w.first[i + 1]) for i in some]) if len(some) else index[:0]
-                own = Words(w.start, w.end, np.concatenate(([0], np.cumsum(np.diff(w.first)[some]))))
+            for some in np.array_split(rng.permutation(len(labels)), max(1, min(32, len(labels) // 16))):
+                at, own = _some(w, some)
                 fs, y = f[:, at], gold[at]
                 p, pairs = self.posterior(fs, own)
                 step = np.zeros(BUCKETS + 5)
@@ -204,14 +205,41 @@ class Field:
                 seen = np.bincount(2 * y[to - 1] + y[to], minlength=4)
                 step[BUCKETS : BUCKETS + 4] = seen - pairs
                 step[BUCKETS + 4] = (y[begins] - p[begins]).sum()
-                step[:BUCKETS] -= 0.02 * self.values[:BUCKETS]
+                step[:BUCKETS] -= 0.01 * self.values[:BUCKETS]
                 square += step**2
                 self.values[: BUCKETS + 5] += 0.4 * step / np.sqrt(square)
-        p, _ = self.posterior(f, w)
-        self.values[-3:] = logistic(self.evidence(p, w), labels, worth)
+        found = []
+        for some in np.array_split(np.arange(len(labels)), max(1, len(labels) // 128)):
+            at, own = _some(w, some)
+            found.append(self.evidence(self.posterior(f[:, at], own)[0], own))
+        self.values[-3:] = logistic(np.concatenate(found), labels, worth)
         return self
 
 
+def _in_parts(t: Texts) -> tuple[Words, np.ndarray]:
+    """Tokens and features of many texts, about a MB at a time."""
+    starts, ends, counts, rows, begin = [], [], [], [], 0
+    while begin < len(t.at) - 1:
+        end = max(begin + 1, int(np.searchsorted(t.at, t.at[begin] + (1 << 20), "right")) - 1)
+        part = Texts(t.data[t.at[begin] : t.at[end]], t.at[begin : end + 1] - t.at[begin])
+        w = tokens(part)
+        starts.append(w.start + t.at[begin])
+        ends.append(w.end + t.at[begin])
+        counts.append(np.diff(w.first))
+        rows.append(features(part, w))
+        begin = end
+    first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    return Words(np.concatenate(starts), np.concatenate(ends), first), np.concatenate(rows, 1)
+
+
+def _some(w: Words, some: np.ndarray) -> tuple[np.ndarray, Words]:
+    """The tokens of some documents, and these documents as if they were all."""
+    n = np.diff(w.first)[some]
+    first = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat(w.first[some] - first[:-1], n) + np.arange(first[-1])
+    return at, Words(w.start, w.end, first)
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int = SAMPLE) -> Field:
     """Fits on at most sample labelled rows."""
 
