@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.json import json_quote
+
 
 def total(x: Column) -> Column:
     """Always real; 0.0 over nothing."""
@@ -31,8 +33,7 @@ def json_group_array(x: Column, *order: Column) -> Column:
 
 def json_group_object(k: Column, v: Column, *order: Column) -> Column:
     """A JSON object with an entry for each row; repeated keys stay, a null key is empty."""
-    text = F.to_json(F.array(v), {"ignoreNullFields": "false"})
-    entry = F.concat(F.substring(F.to_json(F.array(F.coalesce(k.cast("string"), F.lit("")))), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(F.coalesce(k.cast("string"), F.lit(""))))) - 2), F.lit(":"), text.substr(F.lit(2), F.length(text) - 2))
+    entry = F.concat(json_quote(F.coalesce(k.cast("string"), F.lit(""))), F.lit(":"), json_quote(v))
     keyed = F.sort_array(F.collect_list(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], entry.alias("v"))))
     return F.concat(F.lit("{"), F.array_join(F.transform(keyed, lambda s: s["v"]), ","), F.lit("}"))
 

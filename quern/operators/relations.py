@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from quern.functions.json import Object, load
+from quern.sources.scratch import written
 
 
 def generate_series(spark: SparkSession, start: int, stop: int = 4294967295, step: int = 1) -> DataFrame:
@@ -78,21 +78,13 @@ def recursive_union(seed: DataFrame, step, limit: int = 1000) -> DataFrame:
     Each generation is written to the shared folder, so the plan stays as long as one step and a lost
     executor costs no generation but its own.
     """
-    spark = seed.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/recursive-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    newest = kept(seed.distinct())
+    newest = written(seed.distinct())
     generations = [newest]
     for _ in range(limit):
         seen = generations[0]
         for g in generations[1:]:
             seen = seen.unionAll(g)
-        newest = kept(step(newest).distinct().subtract(seen))
+        newest = written(step(newest).distinct().subtract(seen))
         if newest.isEmpty():
             return seen
         generations.append(newest)

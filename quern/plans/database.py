@@ -12,6 +12,8 @@ from quern.functions.misc import random
 from quern.functions.semantics import lower
 from quern.operators.catalog import Database, ForeignKey, explain_query_plan
 from quern.plans.catalogue import Tables, query
+from quern.sources.scratch import shared_folder
+from quern.streaming.changes import tumbling
 
 C = F.col
 
@@ -151,14 +153,9 @@ def _(t: Tables):
 @query("stream_event_windows", "select time_bucket(interval '1 hour', ts) as start, count(*) as n, sum(event_id)::bigint as ids from events group by 1")
 def _(t: Tables):
     """An extension: the events as a stream, in event-time windows, run to its end."""
-    folder = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet").withColumn("at", C("ts").cast("timestamp"))
-    counted = stream.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    counted = tumbling(stream, "at", "1 hour", "1 hour", n=F.count("*"), ids=F.sum("event_id"))
     run = counted.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return t.spark.read.parquet(f"{out}/rows").select(C("w.start").cast("timestamp_ntz").alias("start"), "n", "ids")
+    return t.spark.read.parquet(f"{out}/rows").select(C("start").cast("timestamp_ntz").alias("start"), "n", "ids")

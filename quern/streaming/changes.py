@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,8 @@ def stream_changes(stream: DataFrame, snapshot, keys: list[str], sink):
     return stream.writeStream.foreachBatch(each)
 
 
-def tumbling(events: DataFrame, at: str, width: str, late: str, *aggregates) -> DataFrame:
-    """Sums by event-time windows, of a stream (with a watermark) or of a table."""
+def tumbling(events: DataFrame, at: str, width: str, late: str, **aggregates: Column) -> DataFrame:
+    """start, end and named aggregates by event-time windows, of a stream (with a watermark) or of a table."""
     rows = events.withWatermark(at, late) if events.isStreaming else events
-    return rows.groupBy(F.window(at, width)).agg(*aggregates).select("window.start", "window.end", *[str(a._jc.toString()).split(" AS ")[-1] for a in aggregates])
+    made = rows.groupBy(F.window(at, width)).agg(*(c.alias(n) for n, c in aggregates.items()))
+    return made.select("window.start", "window.end", *aggregates)
