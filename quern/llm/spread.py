@@ -1,28 +1,12 @@
-"""Where work that must outlive an executor is written, and other things of the session."""
+"""The session's partitions, and tables between steps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from quern.sources.scratch import shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (local runs, tests) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["partitions", "shared_folder", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
