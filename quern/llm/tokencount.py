@@ -138,6 +138,7 @@ class Merges:
         self.tokens = {t for t in self.tokens if self.merge(t) == [t]}
         self.prefixes = {t[:i] for t in self.tokens for i in range(len(t) + 1)}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.counts: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -146,7 +147,7 @@ class Merges:
         #: Each state's node: by byte the next node and the tokens added; at -1 the state itself.
         self.start: dict = {-1: start}
         self.nodes: dict[tuple, dict] = {start: self.start}
-        self.counts: dict[str, int] = {}
+        self.counts.clear()
 
     def merge(self, text: bytes) -> list[bytes]:
         parts = [bytes([b]) for b in text]
@@ -185,8 +186,10 @@ class Merges:
     def count(self, word: str) -> int:
         found = self.counts.get(word)
         if found is None:
-            if len(self.counts) > self.LIMIT or len(self.nodes) > self.LIMIT:
+            if len(self.nodes) > self.LIMIT:
                 self.clear()
+            elif len(self.counts) > self.LIMIT:
+                self.counts.clear()  # walking known nodes again is cheap
             node, found = self.start, 0
             for byte in word.encode():
                 if byte not in node:
@@ -243,7 +246,6 @@ def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
         found = known.get(word)
         if found is None:
             found = count(word)
-            known = m.counts
         got.append(found)
     total = extra + np.bincount(rows[owner], got, len(texts)).astype(np.int64)
     return total - np.bincount(rows[:-1], minlength=len(texts))  # each end but the last is a word of one byte
