@@ -21,24 +21,28 @@ ZONE = r"\s*(?:(Z|z)|([+-])(\d\d):(\d\d))?"
 
 def from_text(x) -> Column:
     """Milliseconds of YYYY-MM-DD[( |T)HH:MM[:SS[.fff]]][zone], HH:MM..., or a julian day number; else null."""
-    x = F.trim(_c(x).cast("string"))
+    return let(F.trim(_c(x).cast("string")), _parsed)
+
+
+def _parsed(x: Column) -> Column:
     full = rf"^(\d\d\d\d)-(\d\d)-(\d\d)(?:[ T]+{TIME}{ZONE})?$"
     clock = rf"^{TIME}{ZONE}$"
+    groups = lambda n: "|".join(f"${i}" for i in range(1, n + 1))
+    parts = F.when(x.rlike(full), F.split(F.regexp_replace(x, full, groups(11)), r"\|")).when(x.rlike(clock), F.split(F.regexp_replace(x, clock, "2000|01|01|" + groups(8)), r"\|"))
+    number = x.try_cast("double")
+    julian = F.when(number.between(0, 5373484.5), F.round((number - EPOCH) * DAY).cast("bigint"))
+    return F.coalesce(let(parts, _from_parts), F.when(~x.contains(":"), julian))
 
-    def clock_ms(pattern: str, g: int) -> Column:
-        part = lambda i: F.coalesce(F.nullif(F.regexp_extract(x, pattern, g + i), F.lit("")).try_cast("double"), F.lit(0.0))
-        zone = (part(6) * 60 + part(7)) * F.when(F.regexp_extract(x, pattern, g + 5) == "-", -1).otherwise(1)
-        ok = (part(0) < 25) & (part(1) < 60) & (part(2) < 60)
-        return F.when(ok, (part(0) * 3_600_000 + (part(1) - zone) * 60_000 + F.round((part(2) + part(3)) * 1000)).cast("bigint"))
 
-    year, month, day = (F.regexp_extract(x, full, i).try_cast("int") for i in (1, 2, 3))
-    ok = month.between(1, 12) & day.between(1, 31)
+def _from_parts(g: Column) -> Column:
+    """Milliseconds of year, month, day, hour, minute, second, its fraction, Z, and a zone's sign, hours and minutes."""
+    part = lambda i: F.coalesce(F.nullif(g[i], F.lit("")).try_cast("double"), F.lit(0.0))
+    year, month, day = (g[i].try_cast("int") for i in range(3))
+    zone = (part(9) * 60 + part(10)) * F.when(g[8] == "-", -1).otherwise(1)
+    ok = month.between(1, 12) & day.between(1, 31) & (part(3) < 25) & (part(4) < 60) & (part(5) < 60)
     days = F.datediff(F.make_date(F.when(ok, year), month, F.lit(1)), F.lit("1970-01-01").cast("date")) + day - 1
-    dated = days.cast("bigint") * DAY + clock_ms(full, 4)
-    timed = F.lit((2000 - 1970) * 365 + 7).cast("bigint") * DAY + clock_ms(clock, 1)
-    number = x.try_cast("double")
-    julian = F.when(number.between(0, 5373484.5), F.round((number - EPOCH) * DAY).cast("bigint"))
-    return F.when(x.rlike(full), dated).when(x.rlike(clock), timed).otherwise(julian)
+    clock = part(3) * 3_600_000 + (part(4) - zone) * 60_000 + F.round((part(5) + part(6)) * 1000)
+    return F.when(ok, days.cast("bigint") * DAY + clock.cast("bigint"))
 
 
 def from_timestamp(x) -> Column:
