@@ -2,11 +2,12 @@
 
 Texts are canonicalised: numbers, units behind numbers and names become typed placeholders, letters
 lower case, punctuation goes. Windows of ``WINDOW`` template words are hash-joined: every window of
-the benchmark that has enough literal words against each document's windows at a stride of
-``STRIDE`` words, so any run of WINDOW + STRIDE - 1 shared words meets in a window. Matches on one
-diagonal (document position minus item position) are added up. A document is contaminated by an
-item if a diagonal covers enough of it and the slots are consistent: equal fillers in the item
-always stand for equal fillers in the document, and the other way round.
+the benchmark against each document's windows at a stride of ``STRIDE`` words, so any run of
+WINDOW + STRIDE - 1 shared words meets in a window. Matches on one diagonal (document position
+minus item position) are added up. A document is contaminated by an item if a diagonal covers
+enough of it, with ``LITERALS`` literal words or the very fillers of the item, and the slots are
+consistent: equal fillers in the item always stand for equal fillers in the document, and the
+other way round.
 """
 
 from __future__ import annotations
@@ -62,20 +63,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_w
     table empty gives none.
     """
     items = _windows(benchmark.select(F.col("item_id"), F.col("text")), "item_id", 1)
-    literal = F.size(F.filter("own", lambda x: ~x.startswith(SLOT)))
-    items = items.where(literal >= LITERALS).select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("own").alias("item_own"))
+    places = F.transform("own", lambda x, i: F.when(~x.startswith(SLOT), F.col("at") + i))
+    items = items.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("own").alias("item_own"), F.array_compact(places).alias("literals"))
     found = _windows(docs.select(F.col("doc_id"), F.col("text")), "doc_id", STRIDE).join(items, "hash")
     pairs = F.filter(F.transform(F.arrays_zip(F.col("item_own").alias("b"), F.col("own").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))), lambda x: x["b"].startswith(SLOT))
     diagonal = found.groupBy("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.min("at").alias("low"), F.max("at").alias("high"), F.countDistinct("at").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+        F.min("at").alias("low"), F.max("at").alias("high"), F.countDistinct("at").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"),
     )
     covered = F.col("windows") * STRIDE + (WINDOW - STRIDE)
     fillers = [F.size(F.array_distinct(F.col("slots")[side])) for side in ("b", "d")]
     consistent = (F.size("slots") == fillers[0]) & (F.size("slots") == fillers[1])
     enough = covered >= F.greatest(F.lit(least_words), F.ceil(F.col("item_words") * share))
     short = (F.col("item_words") < least_words + STRIDE) & (covered + STRIDE >= F.col("item_words"))
-    hit = diagonal.where(consistent & (enough | short))
     verbatim = ~F.exists("slots", lambda x: x["b"] != x["d"])
+    hit = diagonal.where(consistent & (enough | short) & (verbatim | (F.col("literals") >= LITERALS)))
     return hit.groupBy("doc_id", "item_id").agg(F.max(F.least(covered, F.col("item_words"))).cast("int").alias("covered"), F.max("item_words").alias("item_words"), F.max("windows").alias("windows"), F.max(verbatim).alias("verbatim"))
 
 

@@ -340,6 +340,27 @@ def test_decontamination(spark):
     assert decontam.matches(empty(spark), bench).collect() == [] and decontam.matches(docs, bench.limit(0)).collect() == []
 
 
+TRAIN = "A train travels 120 km in 2 hours and then 90 km in 3 hours. What is its average speed in km per hour?"
+
+
+def found(spark, items, texts):
+    """(doc_id, item_id, verbatim) of the matches; ids are places in the lists."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"], r["verbatim"]) for r in decontam.matches(frame(spark, list(enumerate(texts))), bench).collect()}
+
+
+def filler(n):
+    return "".join(f"filler{i} " for i in range(n))
+
+
+def test_decontamination_of_slots(spark):
+    numbers = "Go on: 3, 5, 8, 12, 17, 23, 30, 38, 47, 57, 68, 80, 93"
+    texts = [filler(n) + TRAIN + " the end of it" for n in range(12)] + [TRAIN.replace("120", "150").replace("90 km", "70 km")]
+    texts += ["we " + numbers.lower() + " and more numbers", " ".join(str(i * i) for i in range(100, 140))]
+    got = found(spark, [TRAIN, numbers], texts)
+    assert got == {(n, 0, True) for n in range(12)} | {(12, 0, False), (13, 1, True)}
+
+
 def test_url_filter(spark):
     urls = [
         (1, "http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"),
