@@ -1,10 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 Texts are canonicalised: numbers, units behind numbers and names become typed placeholders, letters
-lower case, punctuation goes. Windows of ``WINDOW`` template words are hash-joined: every window of
-the benchmark against each document's windows at a stride of ``STRIDE`` words, so any run of
-WINDOW + STRIDE - 1 shared words meets in a window. Matches on one diagonal (document position
-minus item position) are added up. A document is contaminated by an item if a diagonal covers
+lower case, punctuation goes. Windows of ``WINDOW`` template words are hash-joined, every one of
+the benchmark against every one of the documents; an item of fewer words is one window as a whole.
+Matches on one diagonal (document position minus item position) are added up. A document is contaminated by an item if a diagonal covers
 enough of it, with ``LITERALS`` literal words or the very fillers of the item, and the slots are
 consistent: equal fillers in the item always stand for equal fillers in the document, and the
 other way round.
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 6
-STRIDE = 3
+SLACK = 3
 LITERALS = 4
 SHARE = 0.4
 LEAST_WORDS = 12
@@ -37,48 +36,59 @@ def canonical_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(t, r"\s++", " ")), " ")
 
 
-def _windows(rows: DataFrame, key: str, stride: int) -> DataFrame:
-    """key, words (the text's number), at, hash, slots of each window; texts of fewer words have none."""
+def _words(rows: DataFrame, key: str) -> DataFrame:
+    """key, w (canonical words) and t (the same without the placeholders' values) of each text."""
     rows = rows.select(key, canonical_words(F.col("text")).alias("w"))
     # the next step refers to w and t more than once each: so Spark keeps them as columns and doesn't compute them anew for each window
-    rows = rows.select(key, "w", F.transform("w", lambda x: F.when(x.startswith(SLOT), F.substring(x, 1, 2)).otherwise(x)).alias("t"))
+    return rows.select(key, "w", F.transform("w", lambda x: F.when(x.startswith(SLOT), F.substring(x, 1, 2)).otherwise(x)).alias("t"))
 
-    def window(i: Column) -> Column:
-        return F.struct(
-            i.alias("at"),
-            F.xxhash64(F.slice("t", i + 1, WINDOW)).alias("hash"),
-            F.slice("w", i + 1, WINDOW).alias("own"),
-        )
 
-    starts = F.when(F.size("t") >= WINDOW, F.sequence(F.lit(0), F.size("t") - WINDOW, F.lit(stride)))
-    rows = rows.select(key, F.size("w").alias("words"), F.explode(F.transform(starts, window)).alias("x"))
+def _windows(rows: DataFrame, key: str, lengths: Column) -> DataFrame:
+    """key, words (the text's number), at, hash, slots of each window of each of the lengths."""
+
+    def windows(length: Column) -> Column:
+        starts = F.when(F.size("t") >= length, F.sequence(F.lit(0), F.size("t") - length)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("t", i + 1, length)).alias("hash"), F.slice("w", i + 1, length).alias("own")))
+
+    rows = rows.select(key, F.size("w").alias("words"), F.explode(F.flatten(F.transform(lengths, windows))).alias("x"))
     return rows.select(key, "words", "x.at", "x.hash", "x.own")
 
 
+def _covered(starts: str) -> Column:
+    """Words in the union of the windows of the column length that begin at the sorted starts."""
+    nexts = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.element_at(starts, -1) + F.col("length")))
+    return F.aggregate(F.zip_with(starts, nexts, lambda a, b: F.least(b - a, F.col("length"))), F.lit(0), lambda n, x: n + x)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, item_id, covered (words), item_words, windows, verbatim of each contaminated pair.
 
-    Texts of fewer than WINDOW words, null and empty ones have no windows and match nothing. Rows of one
+    Null and empty texts match nothing. Rows of one
     id count as one document (or item); a null id is an id. Other columns are not looked at; either
     table empty gives none.
     """
-    items = _windows(benchmark.select(F.col("item_id"), F.col("text")), "item_id", 1)
+    items = _words(benchmark.select("item_id", "text"), "item_id").where(F.col("w")[0] != "")
+    length = F.least(F.size("w"), F.lit(WINDOW))
+    lengths = items.select(length.alias("length")).agg(F.collect_set("length").alias("lengths"))
+    items = _windows(items, "item_id", F.array(length))
     places = F.transform("own", lambda x, i: F.when(~x.startswith(SLOT), F.col("at") + i))
     items = items.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("own").alias("item_own"), F.array_compact(places).alias("literals"))
-    found = _windows(docs.select(F.col("doc_id"), F.col("text")), "doc_id", STRIDE).join(items, "hash")
+    texts = _words(docs.select("doc_id", "text"), "doc_id").crossJoin(F.broadcast(lengths))
+    found = _windows(texts, "doc_id", F.col("lengths")).join(items, "hash")
     pairs = F.filter(F.transform(F.arrays_zip(F.col("item_own").alias("b"), F.col("own").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))), lambda x: x["b"].startswith(SLOT))
     diagonal = found.groupBy("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.min("at").alias("low"), F.max("at").alias("high"), F.countDistinct("at").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
+        F.countDistinct("at").alias("windows"), F.max(F.size("own")).alias("length"), F.sort_array(F.collect_set("item_at")).alias("starts"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
         F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"),
     )
-    covered = F.col("windows") * STRIDE + (WINDOW - STRIDE)
+    diagonal = diagonal.withColumn("covered", _covered("starts"))
+    covered = F.col("covered")
     fillers = [F.size(F.array_distinct(F.col("slots")[side])) for side in ("b", "d")]
     consistent = (F.size("slots") == fillers[0]) & (F.size("slots") == fillers[1])
     enough = covered >= F.greatest(F.lit(least_words), F.ceil(F.col("item_words") * share))
-    short = (F.col("item_words") < least_words + STRIDE) & (covered + STRIDE >= F.col("item_words"))
+    short = (F.col("item_words") < least_words + SLACK) & (covered + SLACK >= F.col("item_words"))
     verbatim = ~F.exists("slots", lambda x: x["b"] != x["d"])
     hit = diagonal.where(consistent & (enough | short) & (verbatim | (F.col("literals") >= LITERALS)))
-    return hit.groupBy("doc_id", "item_id").agg(F.max(F.least(covered, F.col("item_words"))).cast("int").alias("covered"), F.max("item_words").alias("item_words"), F.max("windows").alias("windows"), F.max(verbatim).alias("verbatim"))
+    return hit.groupBy("doc_id", "item_id").agg(F.max(covered).alias("covered"), F.max("item_words").alias("item_words"), F.max("windows").alias("windows"), F.max(verbatim).alias("verbatim"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -361,6 +361,13 @@ def test_decontamination_of_slots(spark):
     assert got == {(n, 0, True) for n in range(12)} | {(12, 0, False), (13, 1, True)}
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7, 10, 13, 24])
+def test_decontamination_at_each_offset(spark, n):
+    item = " ".join(f"w{i}x" for i in range(n))
+    texts = [filler(k) + item + " the end" for k in range(6)] + [filler(9), item.upper(), "", None]
+    assert found(spark, [item, "", None], texts) == {(k, 0, True) for k in (0, 1, 2, 3, 4, 5, 7)}
+
+
 def test_url_filter(spark):
     urls = [
         (1, "http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"),
