@@ -3,8 +3,10 @@
 Texts are canonicalised: numbers, units behind numbers and names become typed placeholders, letters
 lower case, punctuation goes. Windows of ``WINDOW`` template words are hash-joined, every one of
 the benchmark against every one of the documents; an item of fewer words is one window as a whole.
-Matches on one diagonal (document position minus item position) are added up. A document is contaminated by an item if a diagonal covers
-enough of it, with ``LITERALS`` literal words or the very fillers of the item, and the slots are
+Matches on one diagonal (document position minus item position) are added up, and those on
+diagonals fewer than ``BAND`` apart as well, so that words put in or left out don't split a passage.
+A document is contaminated by an item if a diagonal or a band covers enough of it, or ``RUN`` words
+of it in a row whatever its length, with ``LITERALS`` literal words or the very fillers of the item, and the slots are
 consistent: equal fillers in the item always stand for equal fillers in the document, and the
 other way round.
 """
@@ -19,6 +21,8 @@ SLACK = 3
 LITERALS = 4
 SHARE = 0.4
 LEAST_WORDS = 12
+RUN = 13
+BAND = 8
 
 #: Units that may follow a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|mile|ft|feet|in|inches|l|ml|litres|liters|s|sec|seconds|min|minutes|minute|h|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|euros|euro|pounds|percent|mph|kmh"
@@ -54,10 +58,23 @@ def _windows(rows: DataFrame, key: str, lengths: Column) -> DataFrame:
     return rows.select(key, "words", "x.at", "x.hash", "x.own")
 
 
-def _covered(starts: str) -> Column:
-    """Words in the union of the windows of the column length that begin at the sorted starts."""
+def _stretches(starts: str) -> Column:
+    """Words that each window of the column length adds to the union of those that begin at the sorted starts, and whether the next one begins beyond its end."""
     nexts = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.element_at(starts, -1) + F.col("length")))
-    return F.aggregate(F.zip_with(starts, nexts, lambda a, b: F.least(b - a, F.col("length"))), F.lit(0), lambda n, x: n + x)
+    return F.zip_with(starts, nexts, lambda a, b: F.struct(F.least(b - a, F.col("length")).alias("n"), (b - a > F.col("length")).alias("gap")))
+
+
+def _covered(starts: str) -> Column:
+    """Words in the union of the windows."""
+    return F.aggregate(_stretches(starts), F.lit(0), lambda n, x: n + x["n"])
+
+
+def _longest(starts: str) -> Column:
+    """Words in the longest stretch without a gap."""
+    none = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+    return F.aggregate(
+        _stretches(starts), none, lambda a, x: F.struct(F.when(x["gap"], 0).otherwise(a["run"] + x["n"]).alias("run"), F.greatest(a["best"], a["run"] + x["n"]).alias("best")), lambda a: a["best"]
+    )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -76,18 +93,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_w
     texts = _words(docs.select("doc_id", "text"), "doc_id").crossJoin(F.broadcast(lengths))
     found = _windows(texts, "doc_id", F.col("lengths")).join(items, "hash")
     pairs = F.filter(F.transform(F.arrays_zip(F.col("item_own").alias("b"), F.col("own").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))), lambda x: x["b"].startswith(SLOT))
-    diagonal = found.groupBy("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("at").alias("windows"), F.max(F.size("own")).alias("length"), F.sort_array(F.collect_set("item_at")).alias("starts"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
+    # each match counts for its diagonal and for the two bands of 2 * BAND diagonals it lies in
+    shift = F.col("at") - F.col("item_at")
+    band = F.floor(shift / BAND)
+    groups = [F.struct(F.lit(bands).alias("bands"), number.cast("long").alias("number")) for bands, number in ((False, shift), (True, band), (True, band + 1))]
+    diagonal = found.withColumn("group", F.explode(F.array(*groups))).groupBy("doc_id", "item_id", "item_words", "group").agg(
+        F.countDistinct("at").alias("windows"), F.max(F.size("own")).alias("length"), F.sort_array(F.collect_set("item_at")).alias("starts"), F.sort_array(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
         F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"),
     )
-    diagonal = diagonal.withColumn("covered", _covered("starts"))
+    # on a band a document's words may meet several of the item's, and count once
+    diagonal = diagonal.withColumn("covered", F.least(_covered("starts"), _covered("ats"))).withColumn("run", F.least(_longest("starts"), "covered"))
     covered = F.col("covered")
     fillers = [F.size(F.array_distinct(F.col("slots")[side])) for side in ("b", "d")]
     consistent = (F.size("slots") == fillers[0]) & (F.size("slots") == fillers[1])
     enough = covered >= F.greatest(F.lit(least_words), F.ceil(F.col("item_words") * share))
     short = (F.col("item_words") < least_words + SLACK) & (covered + SLACK >= F.col("item_words"))
     verbatim = ~F.exists("slots", lambda x: x["b"] != x["d"])
-    hit = diagonal.where(consistent & (enough | short) & (verbatim | (F.col("literals") >= LITERALS)))
+    hit = diagonal.where(consistent & (enough | short | (F.col("run") >= RUN)) & (verbatim | (F.col("literals") >= LITERALS)))
     return hit.groupBy("doc_id", "item_id").agg(F.max(covered).alias("covered"), F.max("item_words").alias("item_words"), F.max("windows").alias("windows"), F.max(verbatim).alias("verbatim"))
 
 

@@ -368,6 +368,16 @@ def test_decontamination_at_each_offset(spark, n):
     assert found(spark, [item, "", None], texts) == {(k, 0, True) for k in (0, 1, 2, 3, 4, 5, 7)}
 
 
+def test_decontamination_of_passages(spark):
+    items = [[f"w{n}x{i}" for i in range(n)] for n in (40, 59, 100)]
+    passage = [(16, 0), (20, 1), (40, 2)]
+    texts = [filler(k) + " ".join(items[i][5 : 5 + n]) + " the end" for n, i in passage for k in range(3)]
+    texts += [filler(3) + " ".join(items[1][a:b] + ["put", "in"] + items[1][b:c]) for a, b, c in ((5, 17, 29), (8, 15, 22))]
+    texts += [filler(3) + " ".join(items[2][5:17]), filler(2) + " ".join(items[2][5:15]) + " " + filler(40) + " ".join(items[2][15:25])]
+    got = found(spark, [" ".join(x) for x in items], texts)
+    assert got == {(3 * j + k, i, True) for j, (_, i) in enumerate(passage) for k in range(3)} | {(9, 1, True), (10, 1, True)}
+
+
 def test_url_filter(spark):
     urls = [
         (1, "http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"),
