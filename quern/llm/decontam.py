@@ -23,6 +23,7 @@ SHARE = 0.4
 LEAST_WORDS = 12
 RUN = 13
 BAND = 8
+SIEVE_WORDS = 1 << 15  # longs of the bitmap that windows pass before they are joined
 
 #: Units that may follow a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|mile|ft|feet|in|inches|l|ml|litres|liters|s|sec|seconds|min|minutes|minute|h|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|euros|euro|pounds|percent|mph|kmh"
@@ -31,31 +32,61 @@ SLOT = "\u0001"
 
 def canonical_words(text: Column) -> Column:
     """Lower-cased words without punctuation; a placeholder is SLOT, its type's letter, its value."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, SLOT, " ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])[$€£]?(\d++(?:[.,]\d++)*+)\s?({UNITS}|%)(?![\p{{L}}\p{{N}}])", f"{SLOT}n$1 {SLOT}u$2")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\u0001])[$€£]?(\d++(?:[.,]\d++)*+)(?![\p{L}\p{N}])", f"{SLOT}n$1")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{SLOT}p$1")
-    t = F.regexp_replace(F.lower(t), r"(?:[^\p{L}\p{N}\s\u0001.,]|(?<!\d)[.,]|[.,](?!\d))++", " ")
-    return F.split(F.trim(F.regexp_replace(t, r"\s++", " ")), " ")
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit(SLOT), F.lit(" "))
+    # a number without a unit leaves an empty one behind, which goes at the end
+    t = F.regexp_replace(t, rf"(?=[\d$€£])(?<![\p{{L}}\p{{N}}])[$€£]?(\d++(?:[.,]\d++)*+)(?:\s?({UNITS}|%))?(?![\p{{L}}\p{{N}}])", f"{SLOT}n$1 {SLOT}u$2 ")
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}++)(?![\p{L}\p{N}])", f"{SLOT}p$1")
+    words = F.split(F.lower(t), r"(?:[^\p{L}\p{N}\u0001.,]|(?<!\d)[.,]|[.,](?!\d))++")
+    return F.array_remove(F.array_remove(words, ""), f"{SLOT}u")
 
 
 def _words(rows: DataFrame, key: str) -> DataFrame:
-    """key, w (canonical words) and t (the same without the placeholders' values) of each text."""
+    """key, w (canonical words) and h (their hashes, a placeholder's without its value) of each text."""
     rows = rows.select(key, canonical_words(F.col("text")).alias("w"))
-    # the next step refers to w and t more than once each: so Spark keeps them as columns and doesn't compute them anew for each window
-    return rows.select(key, "w", F.transform("w", lambda x: F.when(x.startswith(SLOT), F.substring(x, 1, 2)).otherwise(x)).alias("t"))
+    # the next step refers to w and h more than once each: so Spark keeps them as columns and doesn't compute them anew for each window
+    return rows.select(key, "w", F.transform("w", lambda x: F.xxhash64(F.when(x.startswith(SLOT), F.substring(x, 1, 2)).otherwise(x))).alias("h"))
 
 
-def _windows(rows: DataFrame, key: str, lengths: Column) -> DataFrame:
-    """key, words (the text's number), at, hash, slots of each window of each of the lengths."""
+def _hashes(length: int) -> Column:
+    """A hash for each place's window of a length from the words' hashes, by doubling; what is past the last window has one too."""
+    known = {1: F.col("h")}
+    while max(known) * 2 <= length:
+        n = max(known)
+        known[2 * n] = _joined(known[n], known[n], n)
+    n = max(known)
+    out = known[n]
+    while n < length:
+        step = max(k for k in known if n + k <= length)
+        out, n = _joined(out, known[step], n), n + step
+    return out
 
-    def windows(length: Column) -> Column:
-        starts = F.when(F.size("t") >= length, F.sequence(F.lit(0), F.size("t") - length)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("t", i + 1, length)).alias("hash"), F.slice("w", i + 1, length).alias("own")))
 
-    rows = rows.select(key, F.size("w").alias("words"), F.explode(F.flatten(F.transform(lengths, windows))).alias("x"))
-    return rows.select(key, "words", "x.at", "x.hash", "x.own")
+def _joined(a: Column, b: Column, ahead: int) -> Column:
+    """Hashes of each place's a with the b that many places ahead."""
+    return F.zip_with(a, F.slice(b, ahead + 1, F.size("h")), lambda x, y: F.xxhash64(x, y))
+
+
+def _windows(length: int, sieve: Column | None = None) -> Column:
+    """at, hash, own (the words) of each window of a length, without those that the sieve stops."""
+    count = F.size("w") - length + 1
+
+    def chosen(x: Column, i: Column) -> Column:
+        keep = i < count if sieve is None else (i < count) & _may_match(x, sieve)
+        return F.when(keep, F.struct(i.alias("at"), x.alias("hash"), F.slice("w", i + 1, length).alias("own")))
+
+    return F.array_compact(F.transform(_hashes(length), chosen))
+
+
+def _sieve(hashes: DataFrame) -> Column:
+    """A bitmap of hashes as a constant array of SIEVE_WORDS longs, however many they are."""
+    word, bit = F.shiftright("hash", 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)), F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    bits = {r["word"]: r["bits"] for r in hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}
+    return F.from_json(F.lit("[" + ",".join(str(bits.get(i, 0)) for i in range(SIEVE_WORDS)) + "]"), "array<bigint>")
+
+
+def _may_match(hash: Column, sieve: Column) -> Column:
+    word = F.get(sieve, F.shiftright(hash, 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)))
+    return F.getbit(word, hash.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def _stretches(starts: str) -> Column:
@@ -84,14 +115,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_w
     id count as one document (or item); a null id is an id. Other columns are not looked at; either
     table empty gives none.
     """
-    items = _words(benchmark.select("item_id", "text"), "item_id").where(F.col("w")[0] != "")
-    length = F.least(F.size("w"), F.lit(WINDOW))
-    lengths = items.select(length.alias("length")).agg(F.collect_set("length").alias("lengths"))
-    items = _windows(items, "item_id", F.array(length))
-    places = F.transform("own", lambda x, i: F.when(~x.startswith(SLOT), F.col("at") + i))
-    items = items.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("own").alias("item_own"), F.array_compact(places).alias("literals"))
-    texts = _words(docs.select("doc_id", "text"), "doc_id").crossJoin(F.broadcast(lengths))
-    found = _windows(texts, "doc_id", F.col("lengths")).join(items, "hash")
+    items = _words(benchmark.select("item_id", "text"), "item_id").where(F.size("w") > 0)
+    size = F.least(F.size("w"), F.lit(WINDOW))
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).distinct().collect()) or [WINDOW]  # WINDOW values at most
+    own = F.coalesce(*(F.when(size == n, _windows(n)) for n in lengths))
+    items = items.select("item_id", F.size("w").alias("item_words"), F.explode(own).alias("x"))
+    places = F.transform("x.own", lambda x, i: F.when(~x.startswith(SLOT), F.col("x.at") + i))
+    items = items.select("item_id", "item_words", F.col("x.at").alias("item_at"), "x.hash", F.col("x.own").alias("item_own"), F.array_compact(places).alias("literals"))
+    # windows that the benchmark can't have go before they become rows
+    sieve = _sieve(items)
+    texts = _words(docs.select("doc_id", "text"), "doc_id")
+    texts = texts.select("doc_id", F.explode(F.concat(*(_windows(n, sieve) for n in lengths))).alias("x"))
+    found = texts.select("doc_id", "x.*").join(items, "hash")
     pairs = F.filter(F.transform(F.arrays_zip(F.col("item_own").alias("b"), F.col("own").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))), lambda x: x["b"].startswith(SLOT))
     # each match counts for its diagonal and for the two bands of 2 * BAND diagonals it lies in
     shift = F.col("at") - F.col("item_at")
