@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.spread import written
+
+SAMPLE_BYTES = 32 << 20  # of text that a fit reads, and the end of the row that reaches it
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ones: float = 0.5) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ones: float = 0.5, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most rows labelled rows outside the held fold, a share of ones at most with label 1: doc_id, text, label, weight.
 
     The weights make up for the shares: those of a label sum to its number of labelled rows, over all of them.
 
-    The rows are those with the lowest hash of the id. What is broadcast are these ids with their
-    labels: rows * 16 bytes.
+    The rows are those with the lowest hash of the id, whole texts, as long as the texts before them have fewer
+    than most_bytes together; of several texts of an id the lowest counts. What is broadcast are these
+    ids with their labels: rows * 16 bytes.
     """
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).distinct()
     order = F.xxhash64("doc_id", F.lit(label))
@@ -25,7 +30,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     most = {1: int(rows * ones), 0: rows - int(rows * ones)}
     sides = [known.where(F.col("label") == side).orderBy(order, "doc_id").limit(most[side]).withColumn("weight", F.lit(max(1.0, counts.get(side, 0) / most[side]))) for side in (0, 1)]
     picked = sides[0].unionAll(sides[1])
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "weight")
+    found = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(F.broadcast(picked), "doc_id")
+    found = written(found.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    before = F.sum("size").over(Window.orderBy(order, "doc_id", "label").rowsBetween(Window.unboundedPreceding, -1))  # of at most rows rows
+    kept = found.select("doc_id", "label", size.alias("size")).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_bytes)
+    return found.join(F.broadcast(kept.select("doc_id", "label")), ["doc_id", "label"]).select("doc_id", "text", "label", "weight")
 
 
 def held_out(doc_id: Column, folds: int, held: int) -> Column:

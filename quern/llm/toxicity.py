@@ -3,15 +3,15 @@
 Tokens are runs of letters and digits. Each has features by hash: the lower-cased token, its
 first bytes, and its neighbours. The field has two states (clean, toxic) with learnt transitions.
 Labelled tokens for the fit come from the document labels: in a toxic document, the tokens with a
-feature that is in so many toxic documents, and so much more often than in clean ones, that chance
-is ruled out, are toxic, all others clean. Forward-backward gives each token's marginal. As the chain has two states, what a
+feature that so many toxic documents hold (or hold again: once may be chance where words are inflected
+freely), and so much more often than clean ones, that chance is ruled out, are toxic, all others clean. Forward-backward gives each token's marginal. As the chain has two states, what a
 run of tokens does to the forward (or backward) vector is a 2x2 matrix: runs of equal length are
 multiplied up side by side and composed by a prefix scan, so very long documents cost no more
 steps than short ones.
 
-A document's score is a logistic function of its expected number of toxic tokens and its highest
-marginal. The fit runs in one task over a bounded sample (``SAMPLE`` labelled rows); what comes to
-the driver and is broadcast has a fixed size.
+A document's score is a logistic function of its expected number of toxic tokens, their share and its
+highest marginal. The fit runs in one task over a bounded sample (``SAMPLE`` labelled rows, ``folds.SAMPLE_BYTES``
+of text); what comes to the driver and is broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ from quern.llm.folds import held_out, labelled_sample, logistic
 SAMPLE = 4000
 ONES = 0.25  # of the sample, at most
 CHANCE = 1e-5  # with which a feature of a toxic token may be in toxic documents alone
+RATIO = 25  # how much more often it is in toxic documents
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 KINDS = 1 + len(PREFIXES) + 2
 RUN = 128
 EPOCHS = 6
+EVIDENCE = 4  # weights of a document's score, with the intercept
+PRIOR_TOKENS = 20  # which the share of toxic tokens counts besides a document's own
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -140,7 +143,7 @@ class Field:
     """The field's weights, as one array of floats."""
 
     def __init__(self, values: np.ndarray | None = None) -> None:
-        self.values = np.zeros(BUCKETS + 5 + 3) if values is None else values.astype(np.float64)
+        self.values = np.zeros(BUCKETS + 5 + EVIDENCE) if values is None else values.astype(np.float64)
 
     def tag(self, t: Texts) -> tuple[Words, np.ndarray]:
         w = tokens(t)
@@ -157,17 +160,19 @@ class Field:
 
     @staticmethod
     def evidence(p: np.ndarray, w: Words) -> np.ndarray:
-        """Each document's expected number of toxic tokens and highest marginal, both as logarithms."""
+        """Each document's expected number of toxic tokens, their share and the highest marginal, as logarithms."""
         total = np.concatenate(([0.0], np.cumsum(p)))
         spans = np.diff(w.first)
         high = np.zeros(len(spans))
         full = np.flatnonzero(spans)
         if len(full):
             high[full] = np.maximum.reduceat(p, w.first[:-1][full])
-        return np.column_stack((np.log(np.maximum(total[w.first[1:]] - total[w.first[:-1]], 0) + 1e-3), np.log(np.clip(high, 1e-6, 1 - 1e-6) / (1 - np.clip(high, 1e-6, 1 - 1e-6)))))
+        expected = np.maximum(total[w.first[1:]] - total[w.first[:-1]], 0) + 1e-3
+        high = np.clip(high, 1e-6, 1 - 1e-6)
+        return np.column_stack((np.log(expected), np.log(expected / (spans + PRIOR_TOKENS)), np.log(high / (1 - high))))
 
     def score(self, p: np.ndarray, w: Words) -> np.ndarray:
-        z = np.column_stack((self.evidence(p, w), np.ones(len(w.first) - 1))) @ self.values[-3:]
+        z = np.column_stack((self.evidence(p, w), np.ones(len(w.first) - 1))) @ self.values[-EVIDENCE:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def fit(self, t: Texts, labels: np.ndarray, worth: np.ndarray) -> Field:
@@ -179,15 +184,17 @@ class Field:
         owner = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(w.first))
         gold = np.zeros(f.shape[1], bool)
         for row in f[: KINDS - 2]:
-            # each bucket once for each document
+            # each bucket once for each document, and once for each that has it again
             order = np.argsort(row, kind="stable")
             once = np.ones(len(order), bool)
             once[1:] = (np.diff(row[order]) != 0) | (np.diff(owner[order]) != 0)
-            order = order[once]
-            within = [np.bincount(row[order[labels[owner[order]] == side]], minlength=BUCKETS) for side in (0, 1)]
-            rate = [(within[side] + 0.5) / ((labels == side).sum() + 1) for side in (0, 1)]
-            mark = (within[1] >= np.log(CHANCE) / np.log(labels.mean())) & (rate[1] / rate[0] >= 25)
-            gold |= mark[row] & (labels[owner] == 1)
+            again = np.zeros(len(order), bool)
+            again[1:] = once[:-1] & ~once[1:]
+            for chosen in (order[once], order[again]):
+                within = [np.bincount(row[chosen[labels[owner[chosen]] == side]], minlength=BUCKETS) for side in (0, 1)]
+                rate = [(within[side] + 0.5) / ((labels == side).sum() + 1) for side in (0, 1)]
+                mark = (within[1] >= np.log(CHANCE) / np.log(labels.mean())) & (rate[1] / rate[0] >= RATIO)
+                gold |= mark[row] & (labels[owner] == 1)
         square = np.full(BUCKETS + 5, 1e-8)
         rng = np.random.default_rng(8)
         for _ in range(EPOCHS):
@@ -212,7 +219,7 @@ class Field:
         for some in np.array_split(np.arange(len(labels)), max(1, len(labels) // 128)):
             at, own = _some(w, some)
             found.append(self.evidence(self.posterior(f[:, at], own)[0], own))
-        self.values[-3:] = logistic(np.concatenate(found), labels, worth)
+        self.values[-EVIDENCE:] = logistic(np.concatenate(found), labels, worth)
         return self
 
 
@@ -259,7 +266,8 @@ def tagged(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, th
 
     spans are the offending offsets: code points from start up to end of each run of tokens whose
     marginals are 0.5 or more. Null and empty texts have no tokens and get the lowest evidence.
-    Repeated rows are scored each on its own; only texts are inputs; columns of the same names as the
+    A very long text is scored whole, in chunks of ``RUN`` tokens. A score equal to the threshold is predicted
+    toxic. Repeated rows are scored each on its own; only texts are inputs; columns of the same names as the
     new ones are replaced; an empty table gives none; without labels of both kinds, the score is the
     labels' smoothed share.
     """
@@ -300,7 +308,11 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, th
 
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The rows that are not predicted toxic, with their own columns."""
+    """The rows that are not predicted toxic, with their own columns, whatever their names.
+
+    Null and empty texts have no tokens and get the lowest evidence, so they stay unless nearly all
+    labels are toxic. Repeated rows stay or go together; an empty table gives none.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held, sample).values.astype("<f4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
