@@ -76,27 +76,34 @@ def shapes(t: Texts, w: Words) -> np.ndarray:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, worth: np.ndarray) -> np.ndarray:
     """One weight for each bucket, then a scale and an intercept for the score."""
-    order = np.random.default_rng(5).permutation(len(rows))
-    cut = len(rows) * 3 // 4
     model = np.zeros(BUCKETS + 2)
-    if len(set(labels[order[:cut]])) < 2 or len(set(labels[order[cut:]])) < 2:
+    if len(set(labels.tolist())) < 2:
         model[-1] = np.log(((worth * labels).sum() + 1) / ((worth * (1 - labels)).sum() + 1))
         return model
+    # three quarters of each class for the model, the rest for its scale; a class of one row serves both
+    rng = np.random.default_rng(5)
+    learnt, rest = [], []
+    for side in (0, 1):
+        own = rng.permutation(np.flatnonzero(labels == side))
+        cut = max(1, len(own) * 3 // 4)
+        learnt.append(own[:cut])
+        rest.append(own[cut:] if len(own) > 1 else own)
+    learnt, rest = np.concatenate(learnt), np.concatenate(rest)
     ratio = np.zeros(BUCKETS)
     for side, sign in ((1, 1), (0, -1)):
         count = np.full(BUCKETS, SMOOTHING)
-        for i in order[:cut]:
+        for i in learnt:
             if labels[i] == side:
                 count[rows[i]] += 1
         ratio += sign * np.log(count / count.sum())
     scaled = [(v / (np.linalg.norm(v) or 1)).astype(np.float32) for v in (ratio[x] for x in rows)]
     sign = np.where(labels == 1, 1.0, -1.0)
-    bound = {s: PENALTY * cut / (2 * max(1, (sign[order[:cut]] == s).sum())) for s in (1.0, -1.0)}
+    bound = {s: PENALTY * len(learnt) / (2 * max(1, (sign[learnt] == s).sum())) for s in (1.0, -1.0)}
     weights, bias, dual = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(6)
     for _ in range(EPOCHS):
         moved = 0.0
-        for i in rng.permutation(order[:cut]):
+        for i in rng.permutation(learnt):
             x, v, y = rows[i], scaled[i], sign[i]
             gradient = y * (weights[x] @ v + bias) - 1
             new = min(max(dual[i] - gradient / (v @ v + 1), 0.0), bound[y])
@@ -107,8 +114,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, worth: np.ndarray) -> np.nda
                 dual[i] = new
         if moved < 1e-4:
             break
-    margin = np.array([weights[rows[i]] @ scaled[i] + bias for i in order[cut:]])
-    slope, level = logistic(margin[:, None], labels[order[cut:]], worth[order[cut:]])
+    margin = np.array([weights[rows[i]] @ scaled[i] + bias for i in rest])
+    slope, level = logistic(margin[:, None], labels[rest], worth[rest])
     model[:BUCKETS] = weights
     # margins need the ratios' lengths as well, so both tables are kept
     return np.concatenate((model[:BUCKETS], ratio, [bias, slope, level]))
@@ -136,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int
 def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= threshold) of each row's whole text.
 
-    Null and empty texts have no n-grams and get the score of a zero margin. A null id counts as not
+    Null and empty texts have no n-grams and get the score of a zero margin. Very long texts are scored whole.
+    A score equal to the threshold is predicted 1. A null id counts as not
     held out. Repeated rows are scored each on its own; columns other than doc_id and text are never
     inputs; an empty table gives none; without labels of both kinds the score is the labels' smoothed
     share.
