@@ -186,6 +186,17 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [unpack(x) for x in column.to_pylist()]
 
 
+def unpackable(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of __z have about limit bytes together once they are unpacked, or are one text."""
+    for batch in batches:
+        size = np.cumsum([0, *(zstandard.frame_content_size(x.as_buffer()) for x in batch.column("__z"))])
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(size, size[begin] + limit, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     """__id, __th, spans: the repeated windows of each document that has any, as start << 16 | count."""
     shards = partitions(docs.sparkSession)
@@ -370,7 +381,4 @@ def applied(docs: DataFrame, spec: Spec, keep: list[str], run: Callable[[Iterato
     """run over all rows: the kept columns, __z (compressed text) and __spans (null: none)."""
     rows = compressed(docs, keep).join(spans(docs, spec), ["__id", "__th"], "left").drop("__id", "__th")
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500))
-
-    return rows.mapInArrow(sliced, schema)
+    return rows.mapInArrow(lambda batches: run(unpackable(batches)), schema)
