@@ -1,4 +1,4 @@
-"""Exact Jaccard links of shingle sets by PartEnum signatures.
+"""Jaccard links of shingle sets by PartEnum signatures: exact up to collisions of 63-bit names and 40-bit elements.
 
 Sets are compared by size band: a band's sets lie within the similarity of its lowest size, so linked
 sets are in one band or in neighbours, and each set takes part in its own band's instance and in
@@ -12,9 +12,12 @@ nothing either, of each half of the block under a second partitioning.
 
 Equal sets are one set from the start. Sets that share a signature are candidates; they are
 discarded by size and by the parities of hashed element counts (which differ in no more places than
-the sets do, and of which there is one for each element), and what is left is compared element by element, along forests: in each round every
-component tries its lowest untried neighbours, so a class of n alike sets costs about n comparisons,
-not all its pairs. Rounds go on until no untried candidate joins two components.
+the sets do, and of which there is one for each element), and what is left is compared element by element.
+First each set is compared with the lowest one of each of its groups, along forests: in each round every
+component tries its lowest untried neighbours, so a class of n alike sets costs about n comparisons.
+Then groups that still have sets of several components are compared within the task that holds their elements,
+in blocks of a bounded number of bytes and of two such blocks; no pair becomes a row, only links that
+join two components do, fewer than a block pair has sets.
 """
 
 from __future__ import annotations
@@ -29,15 +32,18 @@ from pyspark.sql import functions as F
 
 from quern.llm.anchors import NO_ID
 from quern.llm.arrow import ODD, mix, pieces, shingle_hashes, texts, word_hashes, words
-from quern.llm.repeats import compressed, identity, unpacked
-from quern.llm.spread import partitions, written
+from quern.llm.repeats import compressed, identity, unpackable, unpacked
+from quern.llm.spread import neutral, partitions, written
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # linked: intersection / union >= 4/5
 BLOCK = 128
 LEAST_PARITIES = 512
 SHARD_ROWS = 1 << 15  # group members that a task compares
+BLOCK_BYTES = 2 << 20  # of elements in a block of a group
+SHARD_BYTES = 8 << 20  # of elements that a task compares
 WHOLE_GROUP = 2048  # members up to which a group is looked through at once
+ELEMENT = 5  # bytes
 FLUSH_SIGNATURES = 3 << 18
 
 
@@ -237,46 +243,106 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
     return blobs.groupBy("shard").applyInArrow(meet, "grp bigint, members binary").dropDuplicates(["grp"]).mapInArrow(spread, "grp bigint, key bigint")
 
 
-def _untried(members: DataFrame, shards: int, stars: bool) -> DataFrame:
-    """a, b (a < b): pairs of group members in different components that size and parities allow; and grp.
+def _allowed(size: np.ndarray, root: np.ndarray, parity: np.ndarray, i: int) -> np.ndarray:
+    """Which of the sets after the i-th are in other components than it, and may be linked with it by size and parities."""
+    rest = slice(i + 1, None)
+    small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+    ok = (root[rest] != root[i]) & (large * NUMERATOR <= small * DENOMINATOR)
+    ok[ok] = np.bitwise_count(parity[rest][ok] ^ parity[i]).sum(1) <= _bound(size[i], size[rest][ok])
+    return ok
 
-    members: grp, key, n, parity, root. With stars, each group gives pairs with its lowest member alone,
-    and its number, without a pair, if it may have others.
+
+def _parities(column: list[bytes]) -> np.ndarray:
+    """Parities of several sets over the same places."""
+    width = min(map(len, column))
+    return np.stack([folded(x, width) for x in column])
+
+
+def _stars(members: DataFrame, shards: int) -> DataFrame:
+    """a, b (a < b): each group's lowest member with those that size and parities allow; or grp, if others may be linked as well.
+
+    members: grp, key, n, parity. A group of more than WHOLE_GROUP is dealt by hash, its lowest member to all its parts.
     """
+    lowest = members.groupBy("grp").agg(F.min(F.struct("key", "n", "parity")).alias("low"), F.count("*").alias("size"))
+    lowest = lowest.select("grp", F.col("low.key").alias("low"), F.col("low.n").alias("low_n"), F.col("low.parity").alias("low_parity"), (1 + F.col("size") / WHOLE_GROUP).cast("int").alias("parts"))
+    dealt = members.join(lowest, "grp").where("key <> low").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
 
     def pairs(table: pa.Table) -> pa.Table:
-        grp, key, size, root = (table.column(c).to_numpy() for c in ("grp", "key", "n", "root"))
-        raw = table.column("parity").to_pylist()
-        order = np.lexsort((key, grp))
-        cuts = np.flatnonzero(np.diff(grp[order])) + 1
+        grp, part, key, size, low, low_size, parts = (table.column(c).to_numpy() for c in ("grp", "part", "key", "n", "low", "low_n", "parts"))
+        raw, low_raw = (table.column(c).to_pylist() for c in ("parity", "low_parity"))
+        order = np.lexsort((key, part, grp))
+        cut = (np.diff(grp[order]) != 0) | (np.diff(part[order]) != 0)
         out: list[np.ndarray] = []
         more: list[int] = []
-        for part in np.split(order, cuts):
-            if len(part) < 2 or (root[part] == root[part[0]]).all():
+        for rows in np.split(order, np.flatnonzero(cut) + 1):
+            if not len(rows):
                 continue
-            width = min(len(raw[i]) for i in part)
-            parity = np.stack([folded(raw[i], width) for i in part])
-
-            def allowed(i: int, part: np.ndarray = part, parity: np.ndarray = parity) -> np.ndarray:
-                a, b = part[i], part[i + 1 :]
-                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                ok = (root[b] != root[a]) & (large * NUMERATOR <= small * DENOMINATOR)
-                ok[ok] = np.bitwise_count(parity[i + 1 :][ok] ^ parity[i]).sum(1) <= _bound(size[a], size[b[ok]])
-                return ok
-
-            for i in range(1 if stars else len(part) - 1):
-                ok = allowed(i)
-                if ok.any():
-                    out.append(np.stack((np.full(int(ok.sum()), key[part[i]]), key[part[i + 1 :][ok]])))
-            if stars and len(part) > 2 and (len(part) > WHOLE_GROUP or any(allowed(i).any() for i in range(1, len(part) - 1))):
-                more.append(int(grp[part[0]]))
+            first = rows[0]
+            sizes, keys = (np.concatenate(([x[first]], y[rows])) for x, y in ((low_size, size), (low, key)))
+            parity = _parities([low_raw[first], *(raw[i] for i in rows)])
+            ok = _allowed(sizes, keys, parity, 0)
+            if ok.any():
+                out.append(np.stack((np.full(int(ok.sum()), keys[0]), keys[1:][ok])))
+            if parts[first] > 1 or any(_allowed(sizes, keys, parity, i).any() for i in range(1, len(keys) - 1)):
+                more.append(int(grp[first]))
         found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
         n, k = found.shape[1], len(more)
         lone = np.arange(n + k) >= n
         columns = [pa.array(np.concatenate((x, np.zeros(k, np.int64))), mask=lone) for x in found]
         return pa.table({"a": columns[0], "b": columns[1], "grp": pa.array(np.concatenate((np.zeros(n, np.int64), np.array(more, np.int64))), mask=~lone)})
 
-    return members.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, "a bigint, b bigint, grp bigint").distinct()
+    return dealt.withColumn("shard", F.pmod(F.xxhash64("grp", "part"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, "a bigint, b bigint, grp bigint").distinct()
+
+
+def _like(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * DENOMINATOR >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def _rest(members: DataFrame, elements: DataFrame) -> DataFrame:
+    """low, high: links between components, enough to join all that the groups' members join.
+
+    members: grp, key, n, parity, root; elements: key, elements. A group's members are dealt by hash over as many
+    blocks as their elements fill; each block, and each pair of blocks, is a unit of work.
+    """
+    size = members.groupBy("grp").agg(F.sum("n").alias("total"))
+    blocks = (1 + F.col("total") * ELEMENT / BLOCK_BYTES).cast("int")
+    dealt = members.join(size.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = written(dealt.select(unit.alias("unit"), "key", "n", "parity", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed")))
+    shards = 1 + (dealt.agg(F.sum("n")).first()[0] or 0) * ELEMENT // SHARD_BYTES
+    dealt = dealt.withColumn("shard", F.pmod("unit", F.lit(shards)))
+
+    def links(table: pa.Table, sets_of: pa.Table) -> pa.Table:
+        place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
+        unit, key, size, root, second, mixed = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed"))
+        raw, held = table.column("parity").to_pylist(), sets_of.column("elements")
+        read = lru_cache(maxsize=None)(lambda k: _unpacked(held[place[k]]))
+        order = np.lexsort((key, unit))
+        out: list[tuple[int, int]] = []
+        for part in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            comp = root[part].copy()
+            if (comp == comp[0]).all():
+                continue
+            own = key[part].tolist()
+            parity, sizes, side = _parities([raw[i] for i in part]), size[part], second[part]
+            for i in range(len(part) - 1):
+                ok = _allowed(sizes, comp, parity, i)
+                if mixed[part[0]]:
+                    ok &= side[i + 1 :] != side[i]
+                for j in np.flatnonzero(ok) + i + 1:
+                    if comp[i] != comp[j] and _like(read(own[i]), read(own[j])):
+                        low, high = sorted((int(comp[i]), int(comp[j])))
+                        out.append((low, high))
+                        comp[comp == high] = low
+        low, high = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+
+    # a set that several units of a shard need goes there once
+    needed = dealt.select(F.col("shard").alias("to"), F.col("key").alias("set")).distinct()
+    needed = needed.join(elements.select(F.col("key").alias("set"), "elements"), "set")
+    return dealt.groupBy("shard").cogroup(needed.groupBy("to")).applyInArrow(links, "low bigint, high bigint").distinct()
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -299,9 +365,7 @@ def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = _unpacked(x), _unpacked(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both * DENOMINATOR >= NUMERATOR * (len(x) + len(y) - both))
+                ok.append(_like(_unpacked(x), _unpacked(y)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept], names=kept).filter(pa.array(ok, pa.bool_()))
 
     x = elements.select(F.col("key").alias("a"), F.col("elements").alias("x"))
@@ -369,11 +433,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = written(known.join(wanted, "key", "left_semi").select("key", "at.*", "n", "parity"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                h, at = sets(pa.array(unpacked(part.column("__z")), pa.large_binary()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([_packed(h[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "elements"])
+        for part in unpackable(batches):
+            h, at = sets(pa.array(unpacked(part.column("__z")), pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([_packed(h[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "elements"])
 
     def elements_of(wanted: DataFrame) -> DataFrame:
         """key, elements of the sets wanted, read from a document of each."""
@@ -386,19 +448,23 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = known.select("key", F.col("key").alias("root"))
     parts = 1 + groups.count() // SHARD_ROWS
     members = groups.join(known.select("key", "n", "parity"), "key")
-    stars = written(_untried(members.withColumn("root", F.col("key")), parts, stars=True))
+    stars = written(_stars(members, parts))
     pairs = stars.where("a is not null").select("a", "b")
     if stars.isEmpty():
         return info.drop("parity"), roots
     elements = elements_of(ends(pairs))
     roots = _grown(roots, pairs, elements)
-    # groups with further pairs, as far as these lead from one component to another
+    # groups whose members may have further links, and are still of several components
     members = members.join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(roots, "key")
-    pairs = written(_untried(members, parts, stars=False).select("a", "b"))
-    missing = written(ends(pairs).join(elements.select("key"), "key", "left_anti"))
+    several = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
+    members = written(members.join(several, "grp", "left_semi"))
+    if members.isEmpty():
+        return info.drop("parity"), roots
+    missing = written(members.select("key").distinct().join(elements.select("key"), "key", "left_anti"))
     if not missing.isEmpty():
         elements = elements.unionAll(elements_of(missing))
-    return info.drop("parity"), _grown(roots, pairs, elements)
+    edges = written(_rest(members, elements))
+    return info.drop("parity"), roots if edges.isEmpty() else _merged(roots, edges)
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -419,14 +485,19 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows, with their columns, of one document of each group of linked ones: that of the lowest id.
+    """The rows, with their columns whatever their names, of one document of each group of linked ones: that of the lowest id.
 
-    Documents without words all stay. Of rows that repeat an id and text, all stay.
+    Documents without words (null and empty texts too) all stay. Of rows that repeat an id and text, one
+    stays; a null id is an id, the lowest. Very long texts are compared whole. An empty table gives none.
     """
-    info, roots = classes(docs)
+    plain = neutral(docs)
+    info, roots = classes(plain)
     best = info.where("n > 0").groupBy("key").agg(F.min(F.struct("__id", "__th")).alias("at"))
     best = best.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("at").alias("at")).select("at.*")
     bare = info.where("n = 0").select("__id", "__th").distinct()
     stay = best.unionByName(bare)
-    marked = docs.select("*", *identity(docs))
-    return marked.join(stay, ["__id", "__th"], "left_semi").select(*docs.columns)
+    kept = plain.select("*", *identity(plain)).join(stay, ["__id", "__th"], "left_semi")
+    again = written(info.where("n > 0").groupBy("__id", "__th").agg(F.count("*").alias("rows")).where("rows > 1").select("__id", "__th"))
+    if not again.isEmpty():
+        kept = kept.join(again, ["__id", "__th"], "left_anti").unionAll(kept.join(again, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]))
+    return kept.drop("__id", "__th").toDF(*docs.columns)

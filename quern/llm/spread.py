@@ -1,14 +1,19 @@
-"""The session's partitions, and tables between steps."""
+"""The session's partitions, tables between steps, and names that can't clash."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quern.sources.scratch import shared_folder, written
 
-__all__ = ["partitions", "shared_folder", "written"]
+__all__ = ["neutral", "partitions", "shared_folder", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def neutral(docs: DataFrame) -> DataFrame:
+    """The rows with all columns but doc_id and text renamed by place, so that those that an operator adds are new; toDF(*docs.columns) goes back."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
