@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.spread import neutral, written
+
 WINDOW = 6
 SLACK = 3
 LITERALS = 4
@@ -23,6 +25,7 @@ SHARE = 0.4
 LEAST_WORDS = 12
 RUN = 13
 BAND = 8
+FEW_HITS = 1 << 20
 SIEVE_WORDS = 1 << 15  # longs of the bitmap that windows pass before they are joined
 
 #: Units that may follow a number.
@@ -111,9 +114,9 @@ def _longest(starts: str) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, item_id, covered (words), item_words, windows, verbatim of each contaminated pair.
 
-    Null and empty texts match nothing. Rows of one
-    id count as one document (or item); a null id is an id. Other columns are not looked at; either
-    table empty gives none.
+    Null and empty texts match nothing. Rows of one id count as one document (or item), so repeated rows
+    change nothing; a null id is an id. Very long texts are looked at whole. Where several diagonals of a
+    pair count, the most words do. Other columns are not looked at; either table empty gives none.
     """
     items = _words(benchmark.select("item_id", "text"), "item_id").where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
@@ -149,6 +152,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_w
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of documents that no item contaminates, with their own columns; all rows of a contaminated id go."""
-    found = matches(docs, benchmark, share, least_words).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__hit"]), "left_anti")
+    """The rows of documents that no item contaminates, with their own columns, whatever their names.
+
+    All rows of a contaminated id go, a null id's too. Null and empty texts stay; very long ones are looked at
+    whole; an empty benchmark takes none, an empty table gives none. The ids found are written first; up to
+    FEW_HITS of them are broadcast, so that texts needn't be shuffled, beyond that both sides are.
+    """
+    found = written(matches(docs, benchmark, share, least_words).select(F.col("doc_id").alias("hit")).distinct())
+    found = F.broadcast(found) if found.count() <= FEW_HITS else found.hint("merge")
+    plain = neutral(docs)
+    return plain.join(found, plain["doc_id"].eqNullSafe(found["hit"]), "left_anti").toDF(*docs.columns)
