@@ -1,14 +1,14 @@
 """Windows that a corpus repeats: the passes that substring and suffix-array dedup share.
 
-1. Each task cuts its documents into runs (``anchors``), settles what repeats among its own, and ships
+1. Each task cuts its documents into runs (``anchors``), sets aside what repeats among its own, and ships
    one run of each content, packed, to shards by gram: a content that a third of all documents have
-   comes to its shard once a task, not once a document. A shard settles the runs of equal content by
-   their number and order, and asks for one run of each content where a gram has several.
-2. The runs asked for are read from their documents and shipped to the gram's shard, which
-   builds its index over them and finds the repeated windows among them. Where a gram has more
-   than ``Spec.hot`` contents, its windows are dealt by their own hash instead, again once a task, and equal
-   hashes are repeats: no gram, however frequent, fills a shard's index.
-3. What all steps found is joined to the documents.
+   comes to its shard once a task, not once a document. A shard does the same with the runs of equal content
+   that tasks sent, and asks for one run of each content that repeats, or whose gram has other contents too.
+2. The runs asked for are read from their documents and shipped to the gram's shard, with a mark on those that
+   stand for several. The shard builds its index over them and finds the repeated windows among them. Where a
+   gram has more than ``Spec.hot`` contents, its windows go, as runs of one window, to the shard of their own hash,
+   again once a task and content: no gram, however frequent, fills a shard's index.
+3. What the index found, and the runs set aside as copies of those in it, is joined to the documents.
 
 Texts travel compressed, twice. A shard holds what one of the session's shuffle partitions is
 meant to hold. What passes between the steps is written to the shared folder.
@@ -33,7 +33,7 @@ from quern.llm.spread import partitions, written
 FLUSH = 1 << 18  # runs that a task holds before it ships them
 PIECE = 1 << 19  # bytes of text whose runs are cut at once
 FINE = 4  # indexes that a shard's runs are split into
-PLAIN, SEVERAL, DONE = 0, 1, 2  # an entry to settle; one that stands for several; one that is settled
+PLAIN, SEVERAL, DONE = 0, 1, 2  # an entry; one that stands for several; one that is a copy of such
 
 
 class Contexts(NamedTuple):
@@ -45,6 +45,7 @@ class Contexts(NamedTuple):
     anchor: np.ndarray  # the anchor's place in the run
     document: np.ndarray  # documents by order
     low: np.ndarray  # the run's place in its document
+    several: np.ndarray  # whether the run stands for several of equal content
 
 
 class Spec(NamedTuple):
@@ -53,7 +54,7 @@ class Spec(NamedTuple):
     by_words: bool
     keep_first: bool
     solve: Callable[[Contexts], np.ndarray]  # flags of all windows, run by run
-    hot: int = 4096  # contents of a gram up to which its windows are compared by the index
+    hot: int = 4096  # contents of a gram up to which its windows go to the index of the gram's shard
 
 
 def identity(docs: DataFrame) -> tuple[Column, Column]:
@@ -82,8 +83,8 @@ def _ranks(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def settled_here(document: np.ndarray, low: np.ndarray, key: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries of one task: those to ship, whether each stands for several, and those that are repeats for certain."""
+def settled_here(document: np.ndarray, low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of one task: the first of each content, to ship, whether it stands for several, and the others."""
     order = np.lexsort((low, document, key))
     same = np.zeros(len(order), bool)
     same[1:] = np.diff(key[order]) == 0
@@ -91,10 +92,7 @@ def settled_here(document: np.ndarray, low: np.ndarray, key: np.ndarray, keep_fi
     again[1:] &= (np.diff(document[order]) == 0) & (np.diff(low[order]) == 0)
     order, same = order[~again], same[~again]
     head = np.flatnonzero(~same)
-    several = np.diff(np.append(head, len(order))) > 1
-    if keep_first:
-        return order[head], np.zeros(len(head), bool), order[same]
-    return order[head], several, order[np.repeat(several, np.diff(np.append(head, len(order))))]
+    return order[head], np.diff(np.append(head, len(order))) > 1, order[same]
 
 
 def _blobs(shard: np.ndarray, ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, rest: list[np.ndarray], names: list[str], kinds: list[str], sizes: np.ndarray | None = None, content: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
@@ -132,7 +130,7 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _settle(table: pa.Table, spec: Spec) -> pa.Table:
-    """What is known of a shard's runs by content alone: asked is null for those settled as repeated."""
+    """The shard's runs that are copies of earlier ones (asked is null), and those that its indexes need, as anchor | several << 16."""
     ids, hashes, document = _documents(table)
     low, count, anchor, gram, whole, state = (_read(table, n, k) for n, k in zip(_BLOB[3:], _KINDS[3:], strict=True))
     done = state == DONE
@@ -148,22 +146,22 @@ def _settle(table: pa.Table, spec: Spec) -> pa.Table:
     n = len(same)
     head = np.flatnonzero(~same)
     size = np.diff(np.append(head, n))
-    repeats = (size > 1) | (np.maximum.reduceat(state, head) == SEVERAL) if n else size > 1
+    several = (size > 1) | (np.maximum.reduceat(state, head) == SEVERAL) if n else size > 1
     new_gram = np.ones(len(head), bool)
     new_gram[1:] = gram[head[1:]] != gram[head[:-1]]
     which = np.cumsum(new_gram) - 1
     contents = np.bincount(which)[which] if len(which) else which
-    several = contents > 1
-    settled = same.copy() if spec.keep_first else np.repeat(repeats, size)
-    asked = head[several]
+    wanted = (contents > 1) | several
+    asked = head[wanted]
     shard = int(table.column("shard")[0].as_py())
-    at = np.concatenate((np.flatnonzero(settled), asked))
-    where = np.where(contents[several] > spec.hot, -1, shard * FINE + (gram[asked] % FINE).astype(np.int64))
-    k = len(before["span"])
-    ask = pa.array(np.concatenate((np.zeros(k + int(settled.sum()), np.int64), where)), mask=np.arange(k + len(at)) < k + int(settled.sum()))
+    at = np.concatenate((np.flatnonzero(same), asked))
+    where = np.where(contents[wanted] > spec.hot, -1, shard * FINE + (gram[asked] % FINE).astype(np.int64))
+    known = len(before["span"]) + int(same.sum())
+    ask = pa.array(np.concatenate((np.zeros(known, np.int64), where)), mask=np.arange(known + len(asked)) < known)
     columns = {"__id": ids[document[at]], "__th": hashes[document[at]], "span": (low[at].astype(np.int64) << 16) | count[at]}
     columns = {c: np.concatenate((before[c], columns[c])) for c in columns}
-    return pa.table({**columns, "anchor": np.concatenate((np.zeros(k, np.int32), anchor[at].astype(np.int32))), "asked": ask})
+    marked = anchor[asked].astype(np.int32) | (several[wanted].astype(np.int32) << 16)
+    return pa.table({**columns, "anchor": np.concatenate((np.zeros(known, np.int32), marked)), "asked": ask})
 
 
 def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -212,7 +210,7 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
             if held:
                 owner, low, count, anchor, gram, whole = (np.concatenate(x) for x in zip(*held, strict=True))
                 every, each = np.concatenate(ids), np.concatenate(hashes)
-                go, several, done = settled_here(_ranks(every, each)[owner], low, mix(gram) + whole, spec.keep_first)
+                go, several, done = settled_here(_ranks(every, each)[owner], low, mix(gram) + whole)
                 state = np.concatenate((several * np.uint8(SEVERAL), np.full(len(done), DONE, np.uint8)))
                 shard = np.concatenate(((gram[go] % np.uint64(shards)).astype(np.int64), np.arange(len(done)) * shards // max(1, len(done))))
                 pick = np.concatenate((go, done))
@@ -245,24 +243,28 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         ids, hashes = [], []
-        owner, shard, low, count, anchor, content = [], [], [], [], [], []
-        single: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows dealt by themselves: owner, place, hash
+        entries: list[tuple] = []  # owner, shard, low, count, anchor, state; content goes along
+        content: list[bytes] = []
+        single: list[tuple[np.ndarray, ...]] = []  # windows dealt by their own hash: owner, low, anchor, hash, run, place in the run, whether it stands for several
+        runs_of: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             every, each = np.array(ids, np.int64), np.array(hashes, np.int64)
-            if content:
-                sizes = np.array([len(x) for x in content])
-                for batch in _blobs(np.array(shard), every, each, np.array(owner), [np.array(low), np.array(count), np.array(anchor)], ["low", "count", "anchor"], ["<u4", "<u2", "<u2"], sizes, content):
-                    yield _widened(batch)
             if single:
-                own, place, h = (np.concatenate(x) for x in zip(*single, strict=True))
-                go, several, done = settled_here(_ranks(every, each)[own], place, h, spec.keep_first)
-                pick = np.concatenate((go, done))
-                state = np.concatenate((several * np.uint8(SEVERAL), np.full(len(done), DONE, np.uint8)))
-                where = np.concatenate(((h[go] % np.uint64(shards)).astype(np.int64), np.arange(len(done)) * shards // max(1, len(done))))
-                for batch in _blobs(where, every, each, own[pick], [place[pick], h[pick], state], ["low", "window", "state"], ["<u4", "<u8", "u1"]):
-                    yield _widened(batch)
+                own, low, anchor, h, run, place, many = (np.concatenate(x) for x in zip(*single, strict=True))
+                go, several, done = settled_here(_ranks(every, each)[own], low, h)
+                several |= np.isin(h[go], h[many])
+                shard = (h % np.uint64(shards * FINE)).astype(np.int64)
+                for i, more in zip(go.tolist(), several.tolist(), strict=True):
+                    entries.append((own[i], shard[i], low[i], 1, anchor[i], SEVERAL if more else PLAIN))
+                    content.append(runs_of[run[i]][place[i] : place[i] + spec.length].tobytes())
+                for k, i in enumerate(done.tolist()):
+                    entries.append((own[i], k * shards * FINE // len(done), low[i], 1, 0, DONE))
+                    content.append(b"")
+            if entries:
+                owner, shard, *rest = (np.array(x) for x in zip(*entries, strict=True))
+                yield from _blobs(shard, every, each, owner, rest, list(_RUN), list(_RUN_KINDS), np.array([len(x) for x in content]), content)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -273,65 +275,58 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
                 units, _ = _units(texts(pa.array(unpacked(batch.column("__z").slice(i, 1)), pa.large_binary())), spec.by_words)
                 for x in batch.column("asked")[i].as_py():
                     begin, n = x["span"] >> 16, x["span"] & 0xFFFF
+                    anchor, state = x["anchor"] & 0xFFFF, SEVERAL if x["anchor"] >> 16 else PLAIN
                     piece = units[begin : begin + n - 1 + spec.length]
                     if x["asked"] < 0:
                         sums = prefix_sums(piece if spec.by_words else mix(piece.astype(np.uint64) + ODD))
-                        single.append((np.full(n, len(ids)), begin + np.arange(n), range_hash(sums, np.arange(n), np.arange(n) + spec.length)))
-                        held += 24 * n
+                        at = np.arange(n)
+                        single.append((np.full(n, len(ids)), begin + at, anchor - at, range_hash(sums, at, at + spec.length), np.full(n, len(runs_of)), at, np.full(n, state == SEVERAL)))
+                        runs_of.append(piece)
+                        held += 64 * n
                         continue
+                    entries.append((len(ids), x["asked"], begin, n, anchor, state))
                     content.append(piece.tobytes())
                     held += piece.nbytes
-                    owner.append(len(ids))
-                    shard.append(x["asked"])
-                    low.append(begin)
-                    count.append(n)
-                    anchor.append(x["anchor"])
                 ids.append(name)
                 hashes.append(th)
                 if held > 12 << 20:
                     yield from flush()
-                    ids, hashes, owner, shard, low, count, anchor, content, single = [], [], [], [], [], [], [], [], []
+                    ids, hashes, entries, content, single, runs_of = [], [], [], [], [], []
                     held = 0
         yield from flush()
 
     def compare(table: pa.Table) -> pa.Table:
-        alone = pa.compute.is_valid(table.column("window"))
-        out = [_compared(table.filter(pa.compute.invert(alone)), spec), _matched(table.filter(alone), spec)]
-        return pa.concat_tables([x for x in out if x is not None])
+        return _compared(table, spec)
 
-    blob = ", ".join(f"{n} {'int' if n == 'shard' else 'binary'}" for n in _WIDE)
+    blob = ", ".join(f"{n} {'int' if n == 'shard' else 'binary'}" for n in ("shard", "ids", "hashes", "owner", *_RUN, "sizes", "content"))
     found = wanted.mapInArrow(fetch, blob).groupBy("shard").applyInArrow(compare, "`__id` bigint, `__th` bigint, span bigint")
     both = known.where("asked is null").select("__id", "__th", "span").unionAll(found)
     return both.groupBy("__id", "__th").agg(F.collect_list("span").alias("__spans"))
 
 
-_WIDE = ("shard", "ids", "hashes", "owner", "low", "count", "anchor", "sizes", "content", "window", "state")
-
+_RUN = ("low", "count", "anchor", "state")
+_RUN_KINDS = ("<u4", "<u2", "<u2", "u1")
 
-def _widened(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with all columns of either kind of blob."""
-    have = set(batch.schema.names)
-    return pa.RecordBatch.from_arrays([batch.column(n) if n in have else pa.nulls(batch.num_rows, pa.binary()) for n in _WIDE], names=list(_WIDE))
 
-
-def _compared(table: pa.Table, spec: Spec) -> pa.Table | None:
-    """The repeated windows of a shard's runs, by its index."""
-    if not table.num_rows:
-        return None
+def _compared(table: pa.Table, spec: Spec) -> pa.Table:
+    """The repeated windows of a shard's runs, by its index, and the copies that tasks set aside."""
     ids, hashes, document = _documents(table)
-    low, count, anchor, sizes = (_read(table, n, k).astype(np.int64) for n, k in (("low", "<u4"), ("count", "<u2"), ("anchor", "<u2"), ("sizes", "<u4")))
+    low, count, anchor, state, sizes = (_read(table, n, k).astype(np.int64) for n, k in zip((*_RUN, "sizes"), (*_RUN_KINDS, "<u4"), strict=True))
     units = _read(table, "content", "<u8" if spec.by_words else "u1")
     at = np.concatenate(([0], np.cumsum(sizes // units.itemsize)))
+    done = np.flatnonzero(state == DONE)
+    before = {"__id": ids[document[done]], "__th": hashes[document[done]], "span": (low[done] << 16) | count[done]}
     # a document that rows repeat in several partitions comes once
-    order = np.lexsort((low, document))
+    order = np.flatnonzero(state != DONE)
+    order = order[np.lexsort((low[order], document[order]))]
     keep = np.ones(len(order), bool)
     keep[1:] = (np.diff(document[order]) != 0) | (np.diff(low[order]) != 0)
-    if not keep.all():
+    if len(done) or not keep.all():
         order = order[keep]
-        units = np.concatenate([units[at[i] : at[i + 1]] for i in order])
+        units = np.concatenate([units[at[i] : at[i + 1]] for i in order]) if len(order) else units[:0]
         at = np.concatenate(([0], np.cumsum((sizes // units.itemsize)[order])))
-        document, low, count, anchor = (x[order] for x in (document, low, count, anchor))
-    flags = spec.solve(Contexts(units, at, count, anchor, document, low))
+        document, low, count, anchor, state = (x[order] for x in (document, low, count, anchor, state))
+    flags = spec.solve(Contexts(units, at, count, anchor, document, low, state == SEVERAL))
     owner = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
     new = flags.copy()
@@ -339,32 +334,8 @@ def _compared(table: pa.Table, spec: Spec) -> pa.Table | None:
     begin = np.flatnonzero(new)
     total = np.concatenate(([0], np.cumsum(flags)))
     n = np.diff(np.append(total[begin], total[-1]))
-    return pa.table({"__id": ids[document[owner[begin]]], "__th": hashes[document[owner[begin]]], "span": (place[begin] << 16) | n})
-
-
-def _matched(table: pa.Table, spec: Spec) -> pa.Table | None:
-    """The repeated ones of the windows that were dealt by their hash."""
-    if not table.num_rows:
-        return None
-    ids, hashes, document = _documents(table)
-    low, window, state = (_read(table, n, k) for n, k in (("low", "<u4"), ("window", "<u8"), ("state", "u1")))
-    done = np.flatnonzero(state == DONE)
-    rest = np.flatnonzero(state != DONE)
-    order = rest[np.lexsort((low[rest], document[rest], window[rest]))]
-    head = np.ones(len(order), bool)
-    head[1:] = np.diff(window[order]) != 0
-    again = ~head
-    again[1:] &= (np.diff(document[order]) == 0) & (np.diff(low[order].astype(np.int64)) == 0)
-    order, head = order[~again], head[~again]
-    if spec.keep_first:
-        hit = order[~head]
-    else:
-        begin = np.flatnonzero(head)
-        size = np.diff(np.append(begin, len(order)))
-        repeats = (size > 1) | (np.maximum.reduceat(state[order], begin) == SEVERAL) if len(order) else size > 1
-        hit = order[np.repeat(repeats, size)]
-    hit = np.concatenate((done, hit))
-    return pa.table({"__id": ids[document[hit]], "__th": hashes[document[hit]], "span": (low[hit].astype(np.int64) << 16) | 1})
+    found = {"__id": ids[document[owner[begin]]], "__th": hashes[document[owner[begin]]], "span": (place[begin] << 16) | n}
+    return pa.table({c: np.concatenate((before[c], found[c])) for c in before})
 
 
 def covered(packed: list[int] | None, n: int, length: int) -> np.ndarray:

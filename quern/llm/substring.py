@@ -84,15 +84,18 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
 
 
-def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the text up to each end: how far to the left (at most length) it has a second occurrence, and the interval of those that have length."""
+def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, length: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the text up to each end: how far to the left (at most length) it has a second occurrence, and the interval of those that have length.
+
+    times: the occurrences that the suffixes before each place of the array stand for.
+    """
     n = len(ends)
     matched = np.zeros(n, np.int64)
     low, high = np.zeros(n, np.int64), np.full(n, len(text), np.int64)
     alive = np.arange(n)
     for k in range(length):
         a, b = index.extend(text[ends[alive] - 1 - k], low[alive], high[alive])
-        ok = b - a > 1
+        ok = times[b] - times[a] > 1
         alive = alive[ok]
         low[alive], high[alive] = a[ok], b[ok]
         matched[alive] += 1
@@ -118,13 +121,14 @@ def repeated(c: Contexts) -> np.ndarray:
     run = np.repeat(np.arange(n), c.count)
     place = np.arange(total) - np.repeat(np.cumsum(c.count) - c.count, c.count)
     start = first[run] + place
-    matched, low, high = matching_statistics(index, text, start + LENGTH, LENGTH)
+    spot = np.repeat(np.arange(n), sizes + 1)
+    times = np.concatenate(([0], np.cumsum(1 + c.several[spot[array]])))
+    matched, low, high = matching_statistics(index, text, start + LENGTH, LENGTH, times)
     hit = np.flatnonzero(matched == LENGTH)
     flags = np.zeros(total, bool)
     if not len(hit):
         return flags
     # every place of the text by its order in the corpus
-    spot = np.repeat(np.arange(n), sizes + 1)
     inside = np.arange(len(text)) - first[spot]
     by = np.lexsort((c.low[spot] + inside, c.document[spot]))
     age = np.empty(len(text), np.int64)

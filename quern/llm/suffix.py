@@ -20,12 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.repeats import Contexts, Spec, applied, covered, unpacked
+from quern.llm.spread import neutral
 
 LENGTH = 200
 GRAM = 64
 BLOCK = 8
 
 
+def _counted(symbols: np.ndarray) -> np.ndarray:
+    """Places by ascending symbols: 16 bits at a time, each pass a counting sort."""
+    order = np.arange(len(symbols))
+    for shift in range(0, max(1, int(symbols.max(initial=0)).bit_length()), 16):
+        order = order[np.argsort((symbols[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Suffixes in ascending order; the last symbol must be the only lowest one.
 
@@ -33,7 +42,7 @@ def suffix_array(text: list[int]) -> list[int]:
     g + k - 1, so comparing numbers compares groups, and splitting one keeps the others' numbers.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    order = _counted(np.array(text)).tolist()
     group, where, size = [0] * n, [0] * n, {}
     start = 0
     for place, i in enumerate(order):
@@ -41,21 +50,30 @@ def suffix_array(text: list[int]) -> list[int]:
             start = place
         group[i], where[i] = start, place
         size[start] = size.get(start, 0) + 1
-    previous = [-1] * n
+    previous, known = [-1] * n, [False] * n
     end = n
     while end > 0:
         # the highest group that hasn't been processed ends before place end
         g = group[order[end - 1]]
-        members = sorted(order[g:end])
+        members = order[g:end]
         end = g
         found: dict[int, int] = {}
         for i in members:
-            j = i - 1
-            while j >= 0 and group[j] >= g:
-                j = previous[j]
-            previous[i] = j
-            if j >= 0:
-                found[j] = found.get(j, 0) + 1
+            if known[i]:
+                continue
+            # members that stand between i and its previous smaller one come first, from the left
+            waiting, j = [i], i - 1
+            while waiting:
+                while j >= 0 and (known[j] or group[j] > g):
+                    j = previous[j]
+                if j >= 0 and group[j] == g:
+                    waiting.append(j)
+                    j -= 1
+                    continue
+                i = waiting.pop()
+                previous[i], known[i] = j, True
+                if j >= 0:
+                    found[j] = found.get(j, 0) + 1
         # suffixes that more members point to have higher prefixes; each lot leaves its group for a new one after it
         by_count: dict[int, list[int]] = {}
         for j, times in found.items():
@@ -138,9 +156,11 @@ def repeated(c: Contexts) -> np.ndarray:
     number = np.where(part > 0, stretch[0][head], stretch[1][head])
     order = np.lexsort((ends, part, number))
     same = (np.diff(number[order]) == 0) & (np.diff(part[order]) == 0) & (np.diff(ends[order]) == 0)
+    # windows of one stretch, by how many they stand for
+    head = np.flatnonzero(np.concatenate(([True], ~same)))
+    times = np.add.reduceat(1 + c.several[run[order]], head)
     flags = np.zeros(total, bool)
-    flags[order[1:][same]] = True
-    flags[order[:-1][same]] = True
+    flags[order] = np.repeat(times > 1, np.diff(np.append(head, total)))
     return flags
 
 
@@ -175,11 +195,14 @@ def removals(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows with their columns, the text without its repeated bytes, and n_chars, if there, to match.
+    """The rows with their columns, whatever their names, the text without its repeated bytes, and n_chars, if there, to match.
 
-    A code point that loses some of its bytes loses all. Null texts stay null.
+    A code point that loses some of its bytes loses all. Null texts stay null, empty ones empty; texts of fewer
+    than 200 bytes lose nothing; very long ones are treated whole. Rows of equal id and text are one document, each
+    with its result. An empty table gives none.
     """
-    keep = [c for c in docs.columns if c != "text"]
+    plain = neutral(docs)
+    keep = [c for c in plain.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,10 +211,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             new = [np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") for text, gone in _kept(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["__null", *keep]), pa.array(new, pa.string())], names=["__null", *keep, "text"])
 
-    marked = docs.withColumn("__null", F.col("text").isNull())
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    marked = plain.withColumn("__null", F.col("text").isNull())
+    fields = ", ".join(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in keep)
     rows = applied(marked, SPEC, ["__null", *keep], run, f"`__null` boolean, {fields}, text string")
-    rows = rows.withColumn("text", F.when(~F.col("__null"), F.col("text")))
-    if "n_chars" in keep:
+    rows = rows.withColumn("text", F.when(~F.col("__null"), F.col("text"))).select(*plain.columns).toDF(*docs.columns)
+    if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows
