@@ -70,8 +70,11 @@ def _segment(path: Column, level: int) -> Column:
 
 def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """rows with the facts of their keys (one row a key, without its weight, the number of its rows): shuffled by key, hot keys in parts."""
-    total = F.broadcast(facts.agg(F.sum(weight).alias("__total")))  # one row
-    hot = facts.crossJoin(total).where(F.col(weight) * HOT > F.col("__total")).select(*keys, F.lit(True).alias("__hot"))
+    facts = written(facts)
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.where(F.col(weight) * HOT > total).select(*keys, F.lit(True).alias("__hot"))
+    if hot.isEmpty():
+        return rows.join(facts.drop(weight).hint("merge"), keys, "left")
     hot = F.broadcast(hot)  # fewer than HOT rows
     parts = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
     facts = facts.drop(weight).join(hot, keys, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
@@ -116,7 +119,7 @@ def templates(paths: DataFrame) -> DataFrame:
         parent = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("paths").alias("weight"))
         known = _joined(branch, parent, ["host", "template"], "weight")
         wild = (F.col("seg") == "*") | (F.col("n") < LEAST) | (F.col("n") < RARE * F.col("all_n"))
-        known = known.withColumn("kind", F.when(wild, F.lit("*")).otherwise(F.col("seg")))
+        known = written(known.withColumn("kind", F.when(wild, F.lit("*")).otherwise(F.col("seg"))))
         # at most 1 / RARE literal branches a parent, and the wildcard
         pooled = known.groupBy("host", "template", "kind").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 0")
         rate = F.col("bad") / (F.col("bad") + F.col("good"))
@@ -155,4 +158,4 @@ def judged(pages: DataFrame, rules: dict[str, str] | None = None, purity: float
     leaf = _joined(leaf, site, ["host"], "templates").select("host", "template", share.alias("purity"), "weight")
     known = _joined(tree.select("host", "path", "template", "n"), leaf, ["host", "template"], "weight")
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin(blocked), F.lit("block")).otherwise(F.lit("allow"))).when(F.col("purity") >= purity, F.lit("block")).otherwise(F.lit("allow"))
-    return _joined(rows, written(known), ["host", "path"], "n").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return _joined(rows, known, ["host", "path"], "n").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
