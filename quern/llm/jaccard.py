@@ -258,18 +258,23 @@ def _parities(column: list[bytes]) -> np.ndarray:
     return np.stack([folded(x, width) for x in column])
 
 
-def _stars(members: DataFrame, shards: int) -> DataFrame:
+def _stars(groups: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """a, b (a < b): each group's lowest member with those that size and parities allow; or grp, if others may be linked as well.
 
-    members: grp, key, n, parity. A group of more than WHOLE_GROUP is dealt by hash, its lowest member to all its parts.
+    groups: grp, key; known: key, n, parity. A group of more than WHOLE_GROUP is dealt by hash, its lowest member to all its parts.
     """
-    lowest = members.groupBy("grp").agg(F.min(F.struct("key", "n", "parity")).alias("low"), F.count("*").alias("size"))
-    lowest = lowest.select("grp", F.col("low.key").alias("low"), F.col("low.n").alias("low_n"), F.col("low.parity").alias("low_parity"), (1 + F.col("size") / WHOLE_GROUP).cast("int").alias("parts"))
-    dealt = members.join(lowest, "grp").where("key <> low").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    facts = known.select("key", "n", "parity")
+    size = F.count("*").alias("size")
+    big = written(groups.groupBy("grp").agg(F.min("key").alias("low"), size).where(F.col("size") > WHOLE_GROUP))
+    low = facts.select(F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("parity").alias("low_parity"))
+    big = big.join(low, "low").withColumn("parts", (1 + F.col("size") / WHOLE_GROUP).cast("int")).drop("size")
+    dealt = groups.join(facts, "key").join(big, "grp", "left").where("low is null or key <> low")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)))
 
     def pairs(table: pa.Table) -> pa.Table:
-        grp, part, key, size, low, low_size, parts = (table.column(c).to_numpy() for c in ("grp", "part", "key", "n", "low", "low_n", "parts"))
-        raw, low_raw = (table.column(c).to_pylist() for c in ("parity", "low_parity"))
+        grp, part, key, size = (table.column(c).to_numpy() for c in ("grp", "part", "key", "n"))
+        low, low_size = (table.column(c).to_pylist() for c in ("low", "low_n"))
+        raw, low_raw = table.column("parity").to_pylist(), table.column("low_parity").to_pylist()
         order = np.lexsort((key, part, grp))
         cut = (np.diff(grp[order]) != 0) | (np.diff(part[order]) != 0)
         out: list[np.ndarray] = []
@@ -278,12 +283,17 @@ def _stars(members: DataFrame, shards: int) -> DataFrame:
             if not len(rows):
                 continue
             first = rows[0]
-            sizes, keys = (np.concatenate(([x[first]], y[rows])) for x, y in ((low_size, size), (low, key)))
-            parity = _parities([low_raw[first], *(raw[i] for i in rows)])
+            dealt_out = low[first] is not None
+            if not dealt_out and len(rows) < 2:
+                continue
+            sizes, keys, own = size[rows], key[rows], [raw[i] for i in rows]
+            if dealt_out:
+                sizes, keys, own = np.append(low_size[first], sizes), np.append(low[first], keys), [low_raw[first], *own]
+            parity = _parities(own)
             ok = _allowed(sizes, keys, parity, 0)
             if ok.any():
                 out.append(np.stack((np.full(int(ok.sum()), keys[0]), keys[1:][ok])))
-            if parts[first] > 1 or any(_allowed(sizes, keys, parity, i).any() for i in range(1, len(keys) - 1)):
+            if dealt_out or any(_allowed(sizes, keys, parity, i).any() for i in range(1, len(keys) - 1)):
                 more.append(int(grp[first]))
         found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
         n, k = found.shape[1], len(more)
@@ -447,17 +457,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     roots = known.select("key", F.col("key").alias("root"))
     parts = 1 + groups.count() // SHARD_ROWS
-    members = groups.join(known.select("key", "n", "parity"), "key")
-    stars = written(_stars(members, parts))
+    stars = written(_stars(groups, known, parts))
     pairs = stars.where("a is not null").select("a", "b")
     if stars.isEmpty():
         return info.drop("parity"), roots
     elements = elements_of(ends(pairs))
     roots = _grown(roots, pairs, elements)
     # groups whose members may have further links, and are still of several components
-    members = members.join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(roots, "key")
+    members = groups.join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(roots, "key")
     several = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
-    members = written(members.join(several, "grp", "left_semi"))
+    members = written(members.join(several, "grp", "left_semi").join(known.select("key", "n", "parity"), "key"))
     if members.isEmpty():
         return info.drop("parity"), roots
     missing = written(members.select("key").distinct().join(elements.select("key"), "key", "left_anti"))
