@@ -1,11 +1,11 @@
 """Suffix-array dedup: bytes that a 200-byte string covers which also starts elsewhere.
 
-The runs of ``repeats`` meet in shards. A shard's runs are laid on a grid of eight-byte blocks that
+The runs of ``repeats`` meet in shards. A shard's runs are laid on a grid of 16-byte blocks that
 starts at their anchors, so equal windows have equal blocks; the blocks, named by rank, are the
 text that the suffix array is built over. The array is built by grouping suffixes by their
 Lyndon prefixes: groups are processed in descending order, each lengthening the prefixes of the
 suffixes that its members point to as previous smaller ones; a second pass emits each group's order.
-A window has 24 or 25 whole blocks: suffixes that share that many stand together in the array, and
+A window has 11 or 12 whole blocks of 16 bytes: suffixes that share that many stand together in the array, and
 the bytes left at both ends tell windows of such a stretch apart, so the result is exact.
 """
 
@@ -24,7 +24,9 @@ from quern.llm.spread import neutral
 
 LENGTH = 200
 GRAM = 64
-BLOCK = 8
+BLOCK = 16
+#: The lowest k bytes of a word, for k from 0 to 8.
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _counted(symbols: np.ndarray) -> np.ndarray:
@@ -126,8 +128,10 @@ def repeated(c: Contexts) -> np.ndarray:
     flat = grid.reshape(-1)
     owner = np.repeat(np.arange(n), sizes)
     flat[first[owner] * BLOCK + before[owner] + np.arange(len(owner)) - c.at[owner]] = c.units
-    value = flat.view(">u8").astype(np.uint64)
-    _, symbol = np.unique(value, return_inverse=True)
+    high, low = flat.view(">u8").astype(np.uint64).reshape(-1, 2).T
+    order = np.lexsort((low, high))
+    symbol = np.empty(len(order), np.int64)
+    symbol[order] = np.cumsum(np.concatenate(([False], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))))
     symbol = symbol + 2
     symbol[first[1:] - 1] = 1
     symbol = np.append(symbol, 0)
@@ -148,14 +152,19 @@ def repeated(c: Contexts) -> np.ndarray:
     place = np.arange(total) - np.repeat(np.cumsum(c.count) - c.count, c.count)
     distance = c.anchor[run] - place
     left = distance // BLOCK
-    part = (distance % BLOCK).astype(np.uint64)
+    part = distance % BLOCK
     head = first[run] + (before + c.anchor)[run] // BLOCK - left
-    low = (np.uint64(1) << (part * np.uint64(8))) - np.uint64(1)
-    value = np.append(value, np.zeros(most + 1, np.uint64))
-    ends = np.where(part > 0, (value[np.maximum(head - 1, 0)] & low) | (value[head + most - 1] & ~low), np.uint64(0))
-    number = np.where(part > 0, stretch[0][head], stretch[1][head])
-    order = np.lexsort((ends, part, number))
-    same = (np.diff(number[order]) == 0) & (np.diff(part[order]) == 0) & (np.diff(ends[order]) == 0)
+    whole = (LENGTH - part) // BLOCK
+    rest = LENGTH - part - whole * BLOCK
+    number = np.where(whole == most, stretch[1][head], stretch[0][head])
+    # the bytes before the first whole block and after the last
+    high, low = (np.append(x, np.zeros(most + 2, np.uint64)) for x in (high, low))
+    ahead, after = np.maximum(head - 1, 0), head + whole
+    ends = [high[ahead] & LOWEST[np.maximum(part - 8, 0)], low[ahead] & LOWEST[np.minimum(part, 8)], high[after] & ~LOWEST[8 - np.minimum(rest, 8)], low[after] & ~LOWEST[8 - np.maximum(rest - 8, 0)]]
+    order = np.lexsort((*ends, part, number))
+    same = np.ones(len(order) - 1, bool)
+    for x in (number, part, *ends):
+        same &= np.diff(x[order]) == 0
     # windows of one stretch, by how many they stand for
     head = np.flatnonzero(np.concatenate(([True], ~same)))
     times = np.add.reduceat(1 + c.several[run[order]], head)
