@@ -309,20 +309,44 @@ def _like(x: np.ndarray, y: np.ndarray) -> bool:
     return both * DENOMINATOR >= NUMERATOR * (len(x) + len(y) - both)
 
 
-def _rest(members: DataFrame, elements: DataFrame) -> DataFrame:
-    """low, high: links between components, enough to join all that the groups' members join.
+def _open(members: DataFrame, shards: int) -> DataFrame:
+    """unit, key, n, parity, root, second, mixed: the members that may be linked with another component's, as far as sizes and parities tell.
 
-    members: grp, key, n, parity, root; elements: key, elements. A group's members are dealt by hash over as many
-    blocks as their elements fill; each block, and each pair of blocks, is a unit of work.
+    members: grp, key, n, parity, root. A group's members are dealt by hash over as many blocks as their
+    elements fill; each block, and each pair of blocks, is a unit of work.
     """
     size = members.groupBy("grp").agg(F.sum("n").alias("total"))
     blocks = (1 + F.col("total") * ELEMENT / BLOCK_BYTES).cast("int")
     dealt = members.join(size.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = written(dealt.select(unit.alias("unit"), "key", "n", "parity", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed")))
-    shards = 1 + (dealt.agg(F.sum("n")).first()[0] or 0) * ELEMENT // SHARD_BYTES
-    dealt = dealt.withColumn("shard", F.pmod("unit", F.lit(shards)))
+    dealt = dealt.select(unit.alias("unit"), "key", "n", "parity", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"))
+
+    def involved(table: pa.Table) -> pa.Table:
+        unit, key, size, root, second, mixed = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed"))
+        raw = table.column("parity").to_pylist()
+        order = np.lexsort((key, unit))
+        keep = np.zeros(len(order), bool)
+        for part in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            if (root[part] == root[part[0]]).all():
+                continue
+            parity = _parities([raw[i] for i in part])
+            for i in range(len(part) - 1):
+                ok = _allowed(size[part], root[part], parity, i)
+                if mixed[part[0]]:
+                    ok &= second[part[i + 1 :]] != second[part[i]]
+                keep[part[i + 1 :][ok]] = True
+                keep[part[i]] |= ok.any()
+        return table.drop_columns(["shard"]).filter(pa.array(keep))
+
+    fields = "unit bigint, key bigint, n bigint, parity binary, root bigint, second boolean, mixed boolean"
+    return dealt.withColumn("shard", F.pmod("unit", F.lit(shards))).groupBy("shard").applyInArrow(involved, fields)
+
+
+def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
+    """low, high: links between components, enough to join all that the units' members join. found: as _open gives it; elements: key, elements."""
+    shards = 1 + (found.agg(F.sum("n")).first()[0] or 0) * ELEMENT // SHARD_BYTES
+    dealt = found.withColumn("shard", F.pmod("unit", F.lit(shards)))
 
     def links(table: pa.Table, sets_of: pa.Table) -> pa.Table:
         place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
@@ -466,13 +490,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # groups whose members may have further links, and are still of several components
     members = groups.join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(roots, "key")
     several = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
-    members = written(members.join(several, "grp", "left_semi").join(known.select("key", "n", "parity"), "key"))
-    if members.isEmpty():
+    members = members.join(several, "grp", "left_semi").join(known.select("key", "n", "parity"), "key")
+    found = written(_open(members, parts))
+    if found.isEmpty():
         return info.drop("parity"), roots
-    missing = written(members.select("key").distinct().join(elements.select("key"), "key", "left_anti"))
+    missing = written(found.select("key").distinct().join(elements.select("key"), "key", "left_anti"))
     if not missing.isEmpty():
         elements = elements.unionAll(elements_of(missing))
-    edges = written(_rest(members, elements))
+    edges = written(_rest(found, elements))
     return info.drop("parity"), roots if edges.isEmpty() else _merged(roots, edges)
 
 
