@@ -310,23 +310,24 @@ def _like(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _open(members: DataFrame, shards: int) -> DataFrame:
-    """unit, key, n, parity, root, second, mixed: the members that may be linked with another component's, as far as sizes and parities tell.
+    """unit, key, n, parity, root, second, mixed, home: the members that may be linked with another component's, as far as sizes and parities tell.
 
     members: grp, key, n, parity, root. A group's members are dealt by hash over as many blocks as their
-    elements fill; each block, and each pair of blocks, is a unit of work.
+    elements fill; each block, and each pair of blocks, is a unit of work. home is the lowest of the unit's keys, as
+    groups of much the same sets have it in common, or the unit itself in a group of several blocks.
     """
     size = members.groupBy("grp").agg(F.sum("n").alias("total"))
     blocks = (1 + F.col("total") * ELEMENT / BLOCK_BYTES).cast("int")
     dealt = members.join(size.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(unit.alias("unit"), "key", "n", "parity", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"))
+    dealt = dealt.select(unit.alias("unit"), "key", "n", "parity", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"), (F.col("blocks") > 1).alias("split"))
 
     def involved(table: pa.Table) -> pa.Table:
-        unit, key, size, root, second, mixed = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed"))
+        unit, key, size, root, second, mixed, split = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed", "split"))
         raw = table.column("parity").to_pylist()
         order = np.lexsort((key, unit))
-        keep = np.zeros(len(order), bool)
+        keep, home = np.zeros(len(order), bool), unit.copy()
         for part in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
             if (root[part] == root[part[0]]).all():
                 continue
@@ -337,22 +338,25 @@ def _open(members: DataFrame, shards: int) -> DataFrame:
                     ok &= second[part[i + 1 :]] != second[part[i]]
                 keep[part[i + 1 :][ok]] = True
                 keep[part[i]] |= ok.any()
-        return table.drop_columns(["shard"]).filter(pa.array(keep))
+            if not split[part[0]] and keep[part].any():
+                home[part] = key[part[keep[part]][0]]
+        return table.drop_columns(["shard", "split"]).append_column("home", pa.array(home)).filter(pa.array(keep))
 
-    fields = "unit bigint, key bigint, n bigint, parity binary, root bigint, second boolean, mixed boolean"
+    fields = "unit bigint, key bigint, n bigint, parity binary, root bigint, second boolean, mixed boolean, home bigint"
     return dealt.withColumn("shard", F.pmod("unit", F.lit(shards))).groupBy("shard").applyInArrow(involved, fields)
 
 
 def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
     """low, high: links between components, enough to join all that the units' members join. found: as _open gives it; elements: key, elements."""
     shards = 1 + (found.agg(F.sum("n")).first()[0] or 0) * ELEMENT // SHARD_BYTES
-    dealt = found.withColumn("shard", F.pmod("unit", F.lit(shards)))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)))
 
     def links(table: pa.Table, sets_of: pa.Table) -> pa.Table:
         place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
         unit, key, size, root, second, mixed = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed"))
         raw, held = table.column("parity").to_pylist(), sets_of.column("elements")
         read = lru_cache(maxsize=None)(lambda k: _unpacked(held[place[k]]))
+        alike = lru_cache(maxsize=1 << 18)(lambda a, b: _like(read(a), read(b)))
         order = np.lexsort((key, unit))
         out: list[tuple[int, int]] = []
         for part in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
@@ -366,7 +370,7 @@ def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
                 if mixed[part[0]]:
                     ok &= side[i + 1 :] != side[i]
                 for j in np.flatnonzero(ok) + i + 1:
-                    if comp[i] != comp[j] and _like(read(own[i]), read(own[j])):
+                    if comp[i] != comp[j] and alike(own[i], own[j]):
                         low, high = sorted((int(comp[i]), int(comp[j])))
                         out.append((low, high))
                         comp[comp == high] = low
