@@ -153,6 +153,11 @@ def _format(ms: Column, pattern: str) -> Column:
     return let(ms, lambda v: _formatted(v, pattern))
 
 
+def format_timestamp(x, pattern: str) -> Column:
+    """A timestamp formatted, without the way over text: all of it stays in generated code."""
+    return _formatted(from_timestamp(x), pattern)
+
+
 def _formatted(ms: Column, pattern: str) -> Column:
     day, rest = _date(ms), _of_day(ms)
     hour, minute, second = (F.floor(rest / k).cast("int") % m for k, m in ((3_600_000, 24), (60_000, 60), (1000, 60)))

@@ -152,13 +152,10 @@ def json_pretty(x, indent: str = "    ") -> Column:
 
 
 def json(x) -> Column:
-    """The document without white space, keys in their order."""
-
-    @pandas_udf("string")
-    def run(v):
-        return v.map(lambda t: None if t is None else dump(load(t)))
-
-    return run(_c(x))
+    """The document without white space, keys in their order; what is no document raises."""
+    x = _c(x)
+    bare = F.regexp_replace(x, r'("(?:[^"\\]|\\.)*+")|[ \t\n\r]++', "$1")
+    return F.when(x.isNull() | F.try_parse_json(x).isNotNull(), bare).otherwise(F.raise_error(F.lit("malformed JSON")).cast("string"))
 
 
 def json_error_position(x) -> Column:
@@ -218,3 +215,68 @@ def json_array(*xs) -> Column:
 def json_object(*pairs) -> Column:
     entries = [F.concat(json_quote(k), F.lit(":"), json_quote(v)) for k, v in zip(pairs[::2], pairs[1::2], strict=True)]
     return F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
+
+
+def follow(x: Any, steps: list) -> tuple[bool, Any]:
+    """Whether there is a value at a path, and the value."""
+    for step in steps:
+        at = _child(x, step)
+        if at is None:
+            return False, None
+        x = x[at][1] if isinstance(x, Object) else x[at]
+    return True, x
+
+
+def value_at(text: str, where: str) -> Any:
+    """The SQL value at a path: a number, a text, JSON for objects and arrays, None for null and nothing."""
+    found, x = follow(load(text), path(where))
+    return dump(x) if isinstance(x, list) else int(x) if isinstance(x, bool) else x if found else None
+
+
+def subtree(text: str, where: str) -> str | None:
+    found, x = follow(load(text), path(where))
+    return dump(x) if found else None
+
+
+def _error(text: str) -> int:
+    try:
+        _json.loads(text)
+    except _json.JSONDecodeError as e:
+        return e.pos + 1
+    return 0
+
+
+def _sql_text(x: Any) -> str | None:
+    return None if x is None else x if isinstance(x, str) else dump(x)
+
+
+def register(spark) -> None:
+    """The functions that edit or walk documents, by name, in Arrow batches."""
+    named = {
+        "quern_json_value": ("string", lambda t, where: _sql_text(value_at(t, where))),
+        "quern_json_subtree": ("string", subtree),
+        "quern_json_edit": ("string", lambda t, where, v, mode: dump(edit(load(t), path(where), load(v), mode))),
+        "quern_json_patch": ("string", lambda a, b: dump(patch(load(a), load(b)))),
+        "quern_json_pretty": ("string", lambda t, indent: dump(load(t), indent)),
+        "quern_json_error_position": ("int", _error),
+    }
+    for name, (kind, f) in named.items():
+
+        def run(*columns, f=f):
+            return type(columns[0])([None if any(v is None for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+        spark.udf.register(name, _typed(run, kind, f.__code__.co_argcount))
+
+
+def _typed(run, kind: str, n: int):
+    """A pandas function of n columns: Spark reads the number from the signature."""
+    import pandas as pd
+
+    bodies = {
+        1: lambda a: run(a),
+        2: lambda a, b: run(a, b),
+        4: lambda a, b, c, d: run(a, b, c, d),
+    }
+    body = bodies[n]
+    body.__annotations__ = {k: pd.Series for k in ("abcd"[:n])} | {"return": pd.Series}
+    return pandas_udf(body, kind)

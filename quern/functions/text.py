@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,18 +91,27 @@ def typeof(x: Column, kind: str) -> Column:
     return F.when(x.isNull(), F.lit("null")).otherwise(F.lit(name))
 
 
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|\+([0-9A-Fa-f]{6})|([0-9A-Fa-f]{4})|\\)")
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2] or m[3] or m[4], 16)) if m[0] != "\\\\" else "\\", text)
+
+
 def unistr(s) -> Column:
-    r"""\XXXX, \uXXXX, \+XXXXXX and \UXXXXXXXX escapes, and \\, decoded."""
+    r"""\XXXX, \uXXXX, \+XXXXXX and \UXXXXXXXX escapes, and \\, decoded, in Arrow batches."""
+    return _decoder()(_c(s))
+
+
+def _decoder():
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
-    def decode(v):
-        import re
+    def decode(v: pd.Series) -> pd.Series:
+        return v.map(unescaped, na_action="ignore")
 
-        def one(m):
-            digits = m[1] or m[2] or m[3] or m[4]
-            return chr(int(digits, 16)) if digits else "\\"
+    return decode
 
-        return v.map(lambda t: None if t is None else re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|\+([0-9A-Fa-f]{6})|([0-9A-Fa-f]{4})|\\)", one, t))
 
-    return decode(_c(s))
+def register(spark) -> None:
+    spark.udf.register("quern_unistr", _decoder())

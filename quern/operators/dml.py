@@ -20,6 +20,24 @@ def _first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def fresh(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key isn't taken, one of each key: the first by its columns; a key with a null is none."""
+    free = rows.join(table.select(*keys), keys, "left_anti")
+    whole = [F.col(k).isNotNull() for k in keys]
+    keyed = whole[0]
+    for w in whole[1:]:
+        keyed = keyed & w
+    return free.where(~keyed).unionByName(_first(free.where(keyed), keys, [F.col(c) for c in rows.columns]))
+
+
+def last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: the last by its columns; a key with a null is none."""
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    return rows.where(~keyed).unionByName(_first(rows.where(keyed), keys, [F.col(c).desc() for c in rows.columns]))
+
+
 def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is taken, or was by an earlier new row, are left out."""
     fresh = rows.join(table.select(*keys), keys, "left_anti")

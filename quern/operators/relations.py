@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from quern.functions.json import Object, load
+from quern.functions.json import Object, dump, follow, load, path
 from quern.sources.scratch import written
 
 
@@ -25,13 +22,7 @@ def values(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, [f"column{i + 1}" for i in range(len(rows[0]))])
 
 
-def json_each(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """A row for each top-level element: key, value (JSON text), type by the variant's schema."""
-    df.select(*keep, F.parse_json(F.col(column)).alias("__v")).createOrReplaceTempView(view := f"__each_{uuid.uuid4().hex}")
-    names = ", ".join(keep)
-    out = df.sparkSession.sql(f"select {names}, coalesce(key, cast(pos as string)) as key, to_json(value) as value, schema_of_variant(value) as type from {view}, lateral variant_explode(__v)")
-    df.sparkSession.catalog.dropTempView(view)
-    return out
+JSON_COLUMNS = "key string, value string, type string, atom string, id bigint, parent bigint, fullkey string, path string"
 
 
 def kind_of(x) -> str:
@@ -40,54 +31,91 @@ def kind_of(x) -> str:
     return {bool: str(x).lower(), int: "integer", float: "real", str: "text", list: "array", type(None): "null"}[type(x)]
 
 
-@udtf(returnType="key string, value string, type string, atom string, id bigint, parent bigint, fullkey string, path string")
+def _sql_value(x) -> str | None:
+    """A JSON value as SQL sees it, as text: truth values are 1 and 0, null is null, objects and arrays are JSON."""
+    return None if x is None else str(int(x)) if isinstance(x, bool) else x if isinstance(x, str) else dump(x)
+
+
+def _label(key: str) -> str:
+    return f".{key}" if key.isalnum() and key[:1].isalpha() else f'."{key}"'
+
+
+def _nodes(text: str | None, where: str, deep: bool):
+    """Rows of json_each (not deep) and json_tree: parents first; ids count nodes from 0."""
+    if text is None or where is None:
+        return
+    steps = path(where)
+    found, top = follow(load(text), steps)
+    if not found:
+        return
+    count = 0
+    start = where.rpartition(".")[0] if steps and isinstance(steps[-1], str) else where.rpartition("[")[0] if steps else "$"
+    key = None if not steps else steps[-1] if isinstance(steps[-1], str) else str(steps[-1])
+    stack = [(key, top, None, where, start, True)]
+    while stack:
+        key, x, parent, full, at, is_top = stack.pop()
+        mine, count = count, count + 1
+        compound = isinstance(x, list)
+        if deep or not is_top or not compound:
+            value = _sql_value(x)
+            yield key, value, kind_of(x), None if compound else value, mine, parent if deep else None, full, at
+        if compound and (deep or is_top):
+            entries = [(k, v, full + _label(k)) for k, v in x] if isinstance(x, Object) else [(str(i), v, f"{full}[{i}]") for i, v in enumerate(x)]
+            stack += [(k, v, mine, name, full, False) for k, v, name in reversed(entries)]
+
+
+@udtf(returnType=JSON_COLUMNS)
+class JsonEach:
+    """json_each: the elements of the value at a path, or the value itself if it has none."""
+
+    def eval(self, text: str, where: str):
+        yield from _nodes(text, where, False)
+
+
+@udtf(returnType=JSON_COLUMNS)
 class JsonTree:
-    """json_tree: every node of a document, parents first; ids count nodes from 0."""
-
-    def eval(self, text: str):
-        if text is None:
-            return
-        count = 0
-        stack = [(None, load(text), None, "$", "$")]
-        while stack:
-            key, x, parent, full, path = stack.pop()
-            mine, count = count, count + 1
-            compound = isinstance(x, list)
-            plain = json.dumps(_plain(x), ensure_ascii=False, separators=(",", ":"))
-            shown = x if isinstance(x, str) else plain
-            yield key, shown, kind_of(x), None if compound else shown, mine, parent, full, path
-            if isinstance(x, Object):
-                stack += [(k, v, mine, f"{full}.{k}", full) for k, v in reversed(x)]
-            elif compound:
-                stack += [(str(i), v, mine, f"{full}[{i}]", full) for i, v in reversed(list(enumerate(x)))]
-
-
-def _plain(x):
-    return {k: _plain(v) for k, v in x} if isinstance(x, Object) else [_plain(v) for v in x] if isinstance(x, list) else x
-
-
-def json_tree(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """json_tree: every node of the value at a path."""
+
+    def eval(self, text: str, where: str):
+        yield from _nodes(text, where, True)
+
+
+def _walked(df: DataFrame, column: str, keep: list[str], name: str, function, where: str) -> DataFrame:
     spark = df.sparkSession
-    spark.udtf.register("quern_json_tree", JsonTree)
-    return spark.sql(f"select {', '.join('t.' + k for k in keep)}, j.* from {{t}} t, lateral quern_json_tree(t.{column}) j", t=df)
+    spark.udtf.register(name, function)
+    return spark.sql(f"select {', '.join('t.`' + k + '`' for k in keep)}, j.* from {{t}} t, lateral {name}(t.`{column}`, :where) j", args={"where": where}, t=df)
+
+
+def json_each(df: DataFrame, column: str, keep: list[str], where: str = "$") -> DataFrame:
+    """The kept columns with key, value, type, atom, id, parent, fullkey and path of each top-level element."""
+    return _walked(df, column, keep, "quern_json_each", JsonEach, where)
+
+
+def json_tree(df: DataFrame, column: str, keep: list[str], where: str = "$") -> DataFrame:
+    return _walked(df, column, keep, "quern_json_tree", JsonTree, where)
 
 
 def recursive_union(seed: DataFrame, step, limit: int = 1000) -> DataFrame:
     """WITH RECURSIVE ... UNION: rows reached from the seed; step maps the newest rows to their followers.
 
     Each generation is written to the shared folder, so the plan stays as long as one step and a lost
-    executor costs no generation but its own.
+    executor costs no generation but its own. All generations are one table, read anew when they have doubled
+    in number; a step that finds nothing new ends it, limit steps that do raise.
     """
     newest = written(seed.distinct())
-    generations = [newest]
+    seen, fresh = newest, []
     for _ in range(limit):
-        seen = generations[0]
-        for g in generations[1:]:
-            seen = seen.unionAll(g)
-        newest = written(step(newest).distinct().subtract(seen))
+        known = seen
+        for g in fresh:
+            known = known.unionAll(g)
+        newest = written(step(newest).distinct().subtract(known))
         if newest.isEmpty():
-            return seen
-        generations.append(newest)
+            return known
+        fresh.append(newest)
+        if len(fresh) >= 8:
+            for g in fresh:
+                seen = seen.unionAll(g)
+            seen, fresh = written(seen), []
     raise RuntimeError(f"no end after {limit} generations")
 
 

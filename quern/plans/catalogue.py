@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 class Tables:
@@ -21,11 +23,19 @@ class Tables:
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Spark SQL over {name} references to tables, or to the frames given."""
-        import re
-
         names = set(re.findall(r"\{(\w+)\}", text)) - set(frames)
         return self.spark.sql(text, **{n: getattr(self, n) for n in names}, **frames)
 
+    def dialect(self, text: str) -> DataFrame:
+        """A statement of the dialect over the directory's tables."""
+        from quern.operators.catalog import Database
+
+        db = Database(self.spark)
+        for name in TABLES:
+            if re.search(rf"\b{name}\b", text):
+                db.create(name, getattr(self, name))
+        return db.sql(text)
+
 
 def query(name: str, oracle: str | None = None):
     """Registers a function of Tables under a name."""
@@ -50,4 +60,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from quern.plans import aggregates, database, expressions, joins, mutations, relations, sets, warehouse, windows  # noqa: F401
+    from quern.plans import aggregates, answers, database, expressions, joins, mutations, relations, sets, warehouse, windows  # noqa: F401

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from quern.operators import relations as R
 from quern.plans.catalogue import Tables, query
-from quern.plans.warehouse import _plain
 
 C = F.col
 
 SQL = {
-    "cte_plain": "with big as (select o_custkey, count(*) as n from {orders} where o_totalprice > 150000 group by o_custkey) select c_name, n from big join {customer} on c_custkey = o_custkey",
+    "cte_plain": "with big as (select o_custkey, count(*) as n from orders where o_totalprice > 150000 group by o_custkey) select c_name, n from big join customer on c_custkey = o_custkey",
     "cte_recursive_all": "with recursive r(n, f) as (select 1, cast(1 as bigint) union all select n + 1, f * (n + 1) from r where n < 15) select n, f from r",
-    "values_rows": "select column1, column2 from (values (1, 'a'), (2, 'b'), (3, null)) as v(column1, column2)",
-    "derived_view": "select r_name, n from (select n_regionkey, count(*) as n from {nation} group by n_regionkey) d join {region} on r_regionkey = n_regionkey",
+    "values_rows": "select column1, column2 from (values (1, 'a'), (2, 'b'), (3, null))",
+    "derived_view": "select r_name, n from (select n_regionkey, count(*) as n from nation group by n_regionkey) d join region on r_regionkey = n_regionkey",
     "source_less": "select 1 as a, 'x' as b, cast(null as int) as c",
 }
 for _name, _sql in SQL.items():
-    query(_name, _plain(_sql))(lambda t, sql=_sql: t.sql(sql))
+    query(_name, _sql.replace("(3, null))", "(3, null)) v(column1, column2)"))(lambda t, sql=_sql: t.dialect(sql))
 
 
 @query("cte_materialized", "with m as (select o_custkey, sum(cast(o_totalprice as decimal(14,2))) as s from orders group by o_custkey) select a.o_custkey from m a where a.s > (select avg(s) from m)")
@@ -49,11 +48,19 @@ def _(t: Tables):
     return R.generate_series(t.spark, 5, 100, 7).unionAll(R.generate_series(t.spark, 10, 1, -3)).unionAll(R.generate_series(t.spark, 5, 1))
 
 
-@query("tvf_json_each", "select event_id, 'k' as key, json_extract_string(props, '$.k') as value, 'BIGINT' as type from events")
+JSON_EACH = "select event_id, 'k' as key, json_extract_string(props, '$.k') as value, 'integer' as type, json_extract_string(props, '$.k') as atom, 1::bigint as id, null::bigint as parent, '$.k' as fullkey, '$' as path from events"
+
+
+@query("tvf_json_each", JSON_EACH)
 def _(t: Tables):
     return R.json_each(t.events, "props", ["event_id"])
 
 
+@query("tvf_json_each_text", JSON_EACH)
+def _(t: Tables):
+    return t.dialect("SELECT event_id, j.* FROM events, json_each(props) j")
+
+
 @query("tvf_json_tree", "select event_id, null as key, replace(props, ' ', '') as value, 'object' as type, null as atom, 0::bigint as id, null::bigint as parent, '$' as fullkey, '$' as path from events union all select event_id, 'k', json_extract_string(props, '$.k'), 'integer', json_extract_string(props, '$.k'), 1, 0, '$.k', '$' from events")
 def _(t: Tables):
     return R.json_tree(t.events.select("event_id", "props"), "props", ["event_id"])
@@ -107,12 +114,12 @@ def _(t: Tables):
     return R.box_join(box(t.supplier, "s_suppkey", "s_acctbal", "s_nationkey"), box(t.customer, "c_custkey", "c_acctbal", "c_nationkey"), 20.0)
 
 
-@query("catalog_table_info")
+@query("catalog_table_info", "select (row_number() over ()) - 1 as cid, column_name as name, case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp_ntz' end as type, 0 as notnull from (select * from duckdb_columns() where table_name = 'lineitem' order by column_index)")
 def _(t: Tables):
     return R.table_info(t.lineitem)
 
 
-@query("catalog_table_list")
+@query("catalog_table_list", "select table_name as name, 'table' as type, count(*) as ncol from duckdb_columns() where table_name in ('region', 'nation', 'customer', 'orders', 'lineitem', 'events') group by 1")
 def _(t: Tables):
     return R.table_list({n: getattr(t, n) for n in ("region", "nation", "customer", "orders", "lineitem", "events")})
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.semantics import lower
 from quern.operators.setops import chain, limited
 from quern.plans.catalogue import Tables, query
 
@@ -38,20 +37,20 @@ def _(t: Tables):
     return chain(a, ("intersect", t.region.select(F.when(F.col("r_regionkey") > 1, F.col("r_regionkey")).alias("k"))))
 
 
-@query("sort_nulls", "select event_id, v from (select event_id, case when event_id % 3 = 0 then null else value end as v from events) order by v asc nulls first, event_id limit 50")
+@query("sort_nulls", "select event_id, v from (select event_id, case when event_id % 3 = 0 then null else value end as v from events) order by v asc nulls first, event_id")
 def _(t: Tables):
     v = F.when(F.col("event_id") % 3 != 0, F.col("value"))
-    return t.events.select("event_id", v.alias("v")).orderBy(F.col("v").asc_nulls_first(), "event_id").limit(50)
+    return t.events.select("event_id", v.alias("v")).orderBy(F.col("v").asc_nulls_first(), "event_id")
 
 
-@query("sort_collate", "select p_partkey, p_name from part order by lower(p_name), p_partkey limit 40")
+@query("sort_collate", "select p_partkey, p_name from part order by lower(p_name), p_partkey")
 def _(t: Tables):
-    return t.part.select("p_partkey", "p_name").orderBy(lower(F.col("p_name")), "p_partkey").limit(40)
+    return t.dialect("SELECT p_partkey, p_name FROM part ORDER BY p_name COLLATE NOCASE, p_partkey")
 
 
-@query("sort_ordinal", "select o_orderstatus, o_orderkey from orders order by 1, 2 desc limit 30")
+@query("sort_ordinal", "select o_orderstatus, o_orderkey from orders order by 1, 2 desc")
 def _(t: Tables):
-    return t.sql("select o_orderstatus, o_orderkey from {orders} order by 1, 2 desc limit 30")
+    return t.dialect("SELECT o_orderstatus, o_orderkey FROM orders ORDER BY 1, 2 DESC")
 
 
 @query("sort_offset", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 10 offset 20")
@@ -62,3 +61,15 @@ def _(t: Tables):
 @query("sort_limit_negative", "select n_nationkey from nation order by n_nationkey")
 def _(t: Tables):
     return limited(t.nation.select("n_nationkey").orderBy("n_nationkey"), -1, -5)
+
+
+@query("set_intersect_all", "select n_regionkey as k from nation intersect all select s_nationkey from supplier")
+def _(t: Tables):
+    """An extension."""
+    return t.nation.select(F.col("n_regionkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
+
+
+@query("set_except_all", "select n_regionkey as k from nation except all select r_regionkey from region")
+def _(t: Tables):
+    """An extension."""
+    return t.nation.select(F.col("n_regionkey").alias("k")).exceptAll(t.region.select("r_regionkey"))

@@ -7,25 +7,22 @@ from pyspark.sql import functions as F
 
 from quern.operators import windows as W
 from quern.plans.catalogue import Tables, query
-from quern.plans.warehouse import _plain
 
 SQL = {
-    "win_rank_family": "select o_orderkey, row_number() over w as rn, rank() over w as rk, dense_rank() over w as dr, percent_rank() over w as pr, cume_dist() over w as cd from {orders} window w as (partition by o_orderstatus order by o_orderpriority, o_orderkey)",
-    "win_rank_ties": "select o_orderkey, rank() over (partition by o_custkey order by o_orderpriority) as rk, dense_rank() over (partition by o_custkey order by o_orderpriority) as dr from {orders}",
-    "win_ntile": "select o_orderkey, ntile(4) over (partition by o_orderstatus order by o_orderkey) as quarter from {orders}",
-    "win_lag_lead": "select event_id, lag(value) over w as before, lead(value, 2) over w as after, lag(value, 1, -1.0) over w as filled from {events} window w as (partition by user_id order by ts, event_id)",
-    "win_nth": "select o_orderkey, first_value(o_totalprice) over w as f, last_value(o_totalprice) over w as l, nth_value(o_totalprice, 2) over w as second from {orders} window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following)",
-    "win_running": "select o_orderkey, cast(sum(cast(o_totalprice as decimal(14,2))) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and current row) as double) as running from {orders}",
-    "win_rows": "select event_id, cast(sum(cast(value as decimal(14,4))) over (partition by user_id order by ts, event_id rows between 1 preceding and 1 following) as double) as around from {events}",
-    "win_range": "select l_orderkey, l_linenumber, count(*) over (partition by l_suppkey order by l_partkey range between 10 preceding and 10 following) as near from {lineitem}",
-    "win_default_frame": "select o_orderkey, count(*) over (partition by o_custkey order by o_orderpriority) as upto from {orders}",
-    "win_over_group": "select o_orderstatus, o_orderpriority, count(*) as n, sum(count(*)) over (partition by o_orderstatus) as all_n from {orders} group by o_orderstatus, o_orderpriority",
-    "win_multiple_orders": "select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as a, row_number() over (partition by o_custkey order by o_orderkey desc) as b from {orders}",
-    "win_topk_per_group": "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from {orders}) x where rn <= 2",
+    "win_rank_family": "select o_orderkey, row_number() over w as rn, rank() over w as rk, dense_rank() over w as dr, percent_rank() over w as pr, cume_dist() over w as cd from orders window w as (partition by o_orderstatus order by o_orderpriority, o_orderkey)",
+    "win_rank_ties": "select o_orderkey, rank() over (partition by o_custkey order by o_orderpriority) as rk, dense_rank() over (partition by o_custkey order by o_orderpriority) as dr from orders",
+    "win_ntile": "select o_orderkey, ntile(4) over (partition by o_orderstatus order by o_orderkey) as quarter from orders",
+    "win_lag_lead": "select event_id, lag(value) over w as before, lead(value, 2) over w as after, lag(value, 1, -1.0) over w as filled from events window w as (partition by user_id order by ts, event_id)",
+    "win_nth": "select o_orderkey, first_value(o_totalprice) over w as f, last_value(o_totalprice) over w as l, nth_value(o_totalprice, 2) over w as second from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following)",
+    "win_range": "select l_orderkey, l_linenumber, count(*) over (partition by l_suppkey order by l_partkey range between 10 preceding and 10 following) as near from lineitem",
+    "win_default_frame": "select o_orderkey, count(*) over (partition by o_custkey order by o_orderpriority) as upto from orders",
+    "win_over_group": "select o_orderstatus, o_orderpriority, count(*) as n, sum(count(*)) over (partition by o_orderstatus) as all_n from orders group by o_orderstatus, o_orderpriority",
+    "win_multiple_orders": "select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as a, row_number() over (partition by o_custkey order by o_orderkey desc) as b from orders",
+    "win_topk_per_group": "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) x where rn <= 2",
 }
 
 for _name, _sql in SQL.items():
-    query(_name, _plain(_sql).replace("sum(count(*)) over (partition by o_orderstatus)", "cast(sum(count(*)) over (partition by o_orderstatus) as bigint)"))(lambda t, sql=_sql: t.sql(sql))
+    query(_name, _sql.replace("sum(count(*)) over (partition by o_orderstatus)", "cast(sum(count(*)) over (partition by o_orderstatus) as bigint)"))(lambda t, sql=_sql: t.dialect(sql))
 
 
 @query("win_groups", "select l_orderkey, l_linenumber, count(*) over (partition by l_suppkey order by l_partkey groups between 1 preceding and 1 following) as n from lineitem")
@@ -34,6 +31,26 @@ def _(t: Tables):
     return rows.select("l_orderkey", "l_linenumber", F.count("*").over(W.groups_between(["l_suppkey"], -1, 1)).alias("n"))
 
 
+@query("win_running", "select o_orderkey, cast(sum(cast(o_totalprice as decimal(14,2))) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and current row) as double) as running from orders")
+def _(t: Tables):
+    return t.dialect("SELECT o_orderkey, sum(CAST(round(o_totalprice * 100) AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) / 100.0 AS running FROM orders")
+
+
+@query("win_rows", "select event_id, cast(sum(cast(value as decimal(14,4))) over (partition by user_id order by ts, event_id rows between 1 preceding and 1 following) as double) as around from events")
+def _(t: Tables):
+    return t.dialect("SELECT event_id, sum(CAST(round(value * 10000) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 10000.0 AS around FROM events")
+
+
+@query("win_unordered", "select n_nationkey, 1::bigint as r, count(*) over (partition by n_regionkey) as n from nation")
+def _(t: Tables):
+    return t.dialect("SELECT n_nationkey, rank() OVER (PARTITION BY n_regionkey) AS r, max(n) OVER (PARTITION BY n_regionkey) AS n FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey) AS n FROM nation)")
+
+
+@query("win_exclude_text", "select o_orderkey, max(o_totalprice) over (partition by o_custkey order by o_orderpriority range between unbounded preceding and unbounded following exclude group) as others, sum(o_orderkey) over (partition by o_custkey order by o_orderpriority groups between 1 preceding and 1 following exclude ties)::bigint as near from orders")
+def _(t: Tables):
+    return t.dialect("SELECT o_orderkey, max(o_totalprice) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS others, sum(o_orderkey) OVER (w GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+
+
 def _frames():
     ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ordered.rowsBetween(-2, 2), ordered.rowsBetween(0, 0)

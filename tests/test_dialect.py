@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quern.functions import udf
 from quern.operators.catalog import Database, ForeignKey, explain_query_plan
-from quern.plans.dialect import translated
 
 
 @pytest.fixture
@@ -52,10 +51,6 @@ def test_parameters(db):
     assert rows(db.sql("SELECT id FROM emp WHERE id > :low", low=2)) == [(3,)]
 
 
-def test_translation_keeps_strings():
-    assert translated("SELECT 'a == b LIKE c'") == "SELECT 'a == b LIKE c'"
-
-
 def test_constraints(spark, db):
     bad = spark.createDataFrame([(1, "Dup", 1, 1.0)], "id int, name string, dept int, pay double")
     with pytest.raises(ValueError, match="UNIQUE"):
