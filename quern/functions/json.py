@@ -151,11 +151,20 @@ def json_pretty(x, indent: str = "    ") -> Column:
     return run(_c(x))
 
 
+def _bare(x: Column) -> Column:
+    """A document without white space, keys in their order."""
+    return F.regexp_replace(x, r'("(?:[^"\\]|\\.)*+")|[ \t\n\r]++', "$1")
+
+
+def _sound(x: Column) -> Column:
+    """Whether a text is a document. The parser refuses repeated keys; what a walk over it copies in full is one, too."""
+    return F.try_parse_json(x).isNotNull() | F.coalesce(F.get_json_object(x, "$") == _bare(x), F.lit(False))
+
+
 def json(x) -> Column:
     """The document without white space, keys in their order; what is no document raises."""
     x = _c(x)
-    bare = F.regexp_replace(x, r'("(?:[^"\\]|\\.)*+")|[ \t\n\r]++', "$1")
-    return F.when(x.isNull() | F.try_parse_json(x).isNotNull(), bare).otherwise(F.raise_error(F.lit("malformed JSON")).cast("string"))
+    return F.when(x.isNull() | _sound(x), _bare(x)).otherwise(F.raise_error(F.lit("malformed JSON")).cast("string"))
 
 
 def json_error_position(x) -> Column:
@@ -177,7 +186,7 @@ def json_error_position(x) -> Column:
 
 def json_valid(x) -> Column:
     x = _c(x)
-    return F.when(x.isNotNull(), F.try_parse_json(x).isNotNull().cast("int"))
+    return F.when(x.isNotNull(), _sound(x).cast("int"))
 
 
 def json_extract(x, *paths: str) -> Column:
