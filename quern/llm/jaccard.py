@@ -508,7 +508,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the lowest id that links reach.
 
-    Texts without words, and null ones, have no shingles and are linked with nothing. Rows of one id with
+    Texts without words, and null and empty ones, have no shingles and are linked with nothing. Very long texts are
+    compared whole. Repeated rows are one document, each row with its result. Rows of one id with
     different texts are different documents of that id. A null id is lower than all and stays null. Other
     columns are not looked at; an empty table gives none.
     """

@@ -148,7 +148,7 @@ SPEC = Spec(LENGTH, GRAM, by_words=True, keep_first=True, solve=repeated)
 def removals(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
-    Null texts have no words. Rows of equal id and text are one document, so neither is earlier; rows
+    Null and empty texts have no words; very long ones are treated whole. Rows of equal id and text are one document, so neither is earlier; rows
     of equal id and other text are ordered by a hash of the text; a null id is the lowest. Other columns are
     not looked at; an empty table gives none.
     """

@@ -184,7 +184,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
 def removals(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
-    Null texts count as empty; texts of fewer than 200 bytes lose nothing. Rows of equal id and text are
+    Null texts count as empty; texts of fewer than 200 bytes lose nothing; very long ones are treated whole. Rows of equal id and text are
     one document, each row with its result; rows of equal id and other text are others. A null id is
     an id. Other columns are not looked at; an empty table gives none.
     """

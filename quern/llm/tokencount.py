@@ -254,7 +254,7 @@ def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of each row's whole text.
 
-    Null and empty texts have no tokens. Equal ids and repeated rows are counted each on their own;
+    Null and empty texts have no tokens; very long ones are counted whole; limit tokens are not over it. Equal ids and repeated rows are counted each on their own;
     other columns are not looked at; an empty table gives none.
     """
 
