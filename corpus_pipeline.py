@@ -56,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over sf_dir's documents; each stage's result is a table in the shared folder."""
+    """The stages over sf_dir's documents; each stage's result is a table in the shared folder.
+
+    Null and empty texts pass all filters (unless nearly all labels are toxic) and are packed as their end id alone;
+    very long texts are treated whole; rows that repeat an id and text become one in the Jaccard stage, but those
+    without words; null ids are ids; other columns, whatever their names, come along up to packing. Empty documents
+    give an empty result, an empty benchmark or no labels take nothing away.
+    """
     rows = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
