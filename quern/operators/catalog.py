@@ -70,6 +70,9 @@ class Database:
         self.settings = dict(SETTINGS)
         self.saved: list[tuple[str, tuple]] = []
         self.started: tuple | None = None
+        #: Callables by event: update (event, table, rows), commit (), rollback (), authorize (statement) and trace (text).
+        self.hooks: dict[str, list[Callable]] = {n: [] for n in ("update", "commit", "rollback", "authorize", "trace")}
+        self.changed: list[DataFrame] = []  # the rows of each change, for changes() and total_changes()
 
     # names
 
@@ -364,6 +367,10 @@ class Database:
 
     def _fire(self, name: str, event: str, old: DataFrame | None, new: DataFrame | None, columns: set[str] | None = None, pairs: DataFrame | None = None) -> None:
         """The triggers of a change: each statement of a body runs once over all changed rows, as new and old."""
+        rows = new if new is not None else old
+        self.changed.append(rows)
+        for hook in self.hooks["update"]:
+            hook(event, name, rows)
         found = [g for g in self.triggers.values() if g.table == name and g.event == event and (g.columns is None or columns is None or set(g.columns) & columns)]
         if not found:
             return
@@ -427,6 +434,10 @@ class Database:
         if self.started is None:
             raise ValueError("cannot commit - no transaction is active")
         state, self.started = self.started, None
+        for hook in self.hooks["commit"]:
+            if hook():  # a true answer turns the commit into a rollback
+                self.started = state
+                return self.rollback()
         if self.settings["foreign_keys"]:
             for t in self.tables.values():
                 if any(not bad.isEmpty() for problem, bad in self.violations(t) if problem.startswith("FOREIGN")):
@@ -440,6 +451,18 @@ class Database:
         self._restore(self.started)
         self.started = None
         self.saved.clear()
+        for hook in self.hooks["rollback"]:
+            hook()
+
+    def state(self, name: str) -> Any:
+        """What changes(), total_changes(), last_insert_rowid() and is_autocommit() say; rows are counted when asked for."""
+        if name == "changes":
+            return self.changed[-1].count() if self.changed else 0
+        if name == "total_changes":
+            return sum(df.count() for df in self.changed)
+        if name == "is_autocommit":
+            return int(self.started is None)
+        return max((t.last for t in self.tables.values()), default=0)
 
     def dry(self, run: Callable[[], DataFrame]) -> DataFrame:
         """What a statement gives, without its effect."""
@@ -458,7 +481,12 @@ class Database:
 
         runner = Runner(self, {**{str(i + 1): v for i, v in enumerate(values)}, **args})
         out = runner.empty()
+        for hook in self.hooks["trace"]:
+            hook(text)
         for statement in statements(text):
+            for hook in self.hooks["authorize"]:
+                if not hook(statement):
+                    raise PermissionError("not authorized")
             out = runner.run(statement)
         return out
 

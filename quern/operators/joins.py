@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Estimated bytes up to which a side may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -30,19 +31,31 @@ def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, names, how) if names else left.crossJoin(right)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, columns: list[str], strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, columns: list[str], strict: bool = False, width: float | None = None) -> DataFrame:
     """Each left row with the given columns of the last right row of its keys before (or at) its time.
 
-    A union of both sides and one window over it: one shuffle, no row meets more than its predecessors.
+    A union of both sides and one window over it: one shuffle, no row meets more than its predecessors. With a width
+    (in seconds, or in the numbers that times are), a key's rows are dealt by buckets of time and each bucket takes what the ones before it end
+    with, so no task holds all rows of a key that has many.
     """
     payload = F.struct(*(F.col(c) for c in columns))
     a = left.withColumn("__at", F.col(at)).withColumn("__side", F.lit(0 if strict else 1)).withColumn("__row", F.struct(*(F.col(c) for c in left.columns)))
     b = right.withColumn("__at", F.col(since)).withColumn("__side", F.lit(1 if strict else 0)).withColumn("__hit", payload)
     both = a.select(*keys, "__at", "__side", "__row").unionByName(b.select(*keys, "__at", "__side", "__hit"), allowMissingColumns=True)
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    time = F.col("__at") if isinstance(both.schema["__at"].dataType, NumericType) else F.unix_micros(F.col("__at").cast("timestamp")) / 1e6
+    bucket = F.floor(time / width) if width else F.lit(0)
+    both = both.withColumn("__bucket", bucket)
+    window = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__found", F.last("__hit", ignorenulls=True).over(window)).where(F.col("__row").isNotNull())
+    if width:
+        ends = both.where("__hit is not null").groupBy(*keys, "__bucket").agg(F.max_by("__hit", "__at").alias("__end"))
+        known = ends.unionByName(found.select(*keys, "__bucket").distinct(), allowMissingColumns=True).groupBy(*keys, "__bucket").agg(F.max("__end").alias("__end"))
+        earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        known = known.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__bucket").alias("__b"), F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+        on = F.col("__bucket") == F.col("__b")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        found = found.join(known, on, "left").withColumn("__found", F.coalesce("__found", "__before"))
     return found.select("__row.*", *(F.col(f"__found.{c}").alias(f"asof_{c}") for c in columns))
 
 

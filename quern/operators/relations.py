@@ -64,7 +64,7 @@ def _nodes(text: str | None, where: str, deep: bool):
             stack += [(k, v, mine, name, full, False) for k, v, name in reversed(entries)]
 
 
-@udtf(returnType=JSON_COLUMNS)
+@udtf(returnType=JSON_COLUMNS, useArrow=True)
 class JsonEach:
     """json_each: the elements of the value at a path, or the value itself if it has none."""
 
@@ -72,7 +72,7 @@ class JsonEach:
         yield from _nodes(text, where, False)
 
 
-@udtf(returnType=JSON_COLUMNS)
+@udtf(returnType=JSON_COLUMNS, useArrow=True)
 class JsonTree:
     """json_tree: every node of the value at a path."""
 

@@ -31,13 +31,21 @@ def filtered(aggregate, value: Column, condition: Column, window) -> Column:
     return aggregate(F.when(condition, value)).over(window)
 
 
-def count_distinct(value: Column, window) -> Column:
-    """count(DISTINCT value) OVER window."""
-    return F.size(F.collect_set(value).over(window)).cast("bigint")
-
-
-def sum_distinct(value: Column, window) -> Column:
-    return F.aggregate(F.collect_set(value).over(window), F.lit(0).cast("double"), lambda a, x: a + x.cast("double"))
+def first_of_value(value: Column, partition: list[str], order: list[Column]) -> Column:
+    """Whether a row is the first of its partition with its (non-null) value: what DISTINCT counts, once, in frames that begin with the partition."""
+    window = Window.partitionBy(*partition, value).orderBy(*(order or [F.lit(1)]))
+    return (F.row_number().over(window) == 1) & value.isNotNull()
+
+
+def with_distinct(df: DataFrame, value: Column, partition: list[str], order: list[Column], count: str | None = None, total: str | None = None) -> DataFrame:
+    """count(DISTINCT value) and sum(DISTINCT value) OVER (PARTITION BY ... ORDER BY ...): a flag and a sum, so no row holds a set of values."""
+    window = Window.partitionBy(*partition).orderBy(*order) if order else Window.partitionBy(*partition)
+    rows = df.withColumn("__first", first_of_value(value, partition, order))
+    if count:
+        rows = rows.withColumn(count, F.count_if("__first").over(window))
+    if total:
+        rows = rows.withColumn(total, F.sum(F.when(F.col("__first"), value)).over(window))
+    return rows.drop("__first")
 
 
 def lag_by(value: Column, offset: Column, partition: list[str], order: list[Column], df: DataFrame, name: str) -> DataFrame:

@@ -95,6 +95,16 @@ def _(t: Tables):
     return J.as_of(clicks, bought, ["user_id"], "ts", "ts", ["value"], strict=True).select("event_id", "asof_value")
 
 
+@query("asof_by_buckets", """
+select e.event_id, (select p.value from events p where p.user_id = e.user_id and p.event_type = 'purchase' and p.ts < e.ts order by p.ts desc, p.event_id desc limit 1) as asof_value
+from events e where e.event_type = 'click'""")
+def _(t: Tables):
+    """The same with each key's rows dealt by days."""
+    clicks = t.events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = t.events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return J.as_of(clicks, bought, ["user_id"], "ts", "ts", ["value"], strict=True, width=86400).select("event_id", "asof_value")
+
+
 @query("join_interval", """
 select s_suppkey, count(*) as n from (select s_suppkey, s_acctbal as low, s_acctbal + 50 as high from supplier) s join customer on c_acctbal between low and high group by s_suppkey""")
 def _(t: Tables):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import dml
 from quern.plans.catalogue import Tables, query
-from quern.streaming.changes import changes, replayed
+from quern.streaming.changes import captured, changes, replayed
 
 C = F.col
 NEW = "(select r_regionkey + 3 as r_regionkey, r_name || ' 2' as r_name from region)"
@@ -102,6 +102,12 @@ def _(t: Tables):
     return replayed(t.orders, changes(t.orders, _after(t), ["o_orderkey"]), ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
+@query("cdc_modes", f"""select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'insert' when a.o_orderkey is null then 'delete' else 'update' end as change_type, b.o_totalprice as old_price
+from orders b full join {AFTER} a on a.o_orderkey = b.o_orderkey where b.o_orderkey is null or a.o_orderkey is null or a.o_totalprice is distinct from b.o_totalprice""")
+def _(t: Tables):
+    return captured(t.orders, _after(t), ["o_orderkey"], "before").select("o_orderkey", "change_type", C("before.o_totalprice").alias("old_price"))
+
+
 @query("event_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def _(t: Tables):
     """An extension: tumbling event-time windows, as a batch."""

@@ -84,7 +84,7 @@ def _(t: Tables):
 
 @query("win_distinct", "select o_orderkey, count(distinct o_orderpriority) over (partition by o_custkey) as kinds from orders")
 def _(t: Tables):
-    return t.orders.select("o_orderkey", W.count_distinct(F.col("o_orderpriority"), Window.partitionBy("o_custkey")).alias("kinds"))
+    return W.with_distinct(t.orders, F.col("o_orderpriority"), ["o_custkey"], [], count="kinds").select("o_orderkey", "kinds")
 
 
 @query("win_named_chain", "select o_orderkey, count(*) over (partition by o_custkey order by o_orderkey) as n, count(*) over (partition by o_custkey) as all_n from orders")

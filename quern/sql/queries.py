@@ -43,8 +43,8 @@ class Source:
 class Queries:
     """Compiles the queries of one statement; frames are put in by ``run``."""
 
-    def __init__(self, spark: SparkSession, frame_of: Callable[[str], DataFrame | None], parameters: dict[str, Any] | None = None, function_of: Callable | None = None, rowid_of: Callable[[str], str | None] = lambda name: None, collation_of: Callable[[str, str], str | None] = lambda t, c: None) -> None:
-        self.spark, self.frame_of, self.parameters, self.function_of, self.rowid_of, self.collation_of = spark, frame_of, parameters or {}, function_of, rowid_of, collation_of
+    def __init__(self, spark: SparkSession, frame_of: Callable[[str], DataFrame | None], parameters: dict[str, Any] | None = None, function_of: Callable | None = None, rowid_of: Callable[[str], str | None] = lambda name: None, collation_of: Callable[[str, str], str | None] = lambda t, c: None, state_of: Callable[[str], Any] | None = None) -> None:
+        self.spark, self.frame_of, self.parameters, self.function_of, self.rowid_of, self.collation_of, self.state_of = spark, frame_of, parameters or {}, function_of, rowid_of, collation_of, state_of
         self.frames: dict[str, DataFrame] = {}
         self.ctes: list[dict[str, Any]] = []
         self.made = 0
@@ -200,6 +200,7 @@ class Queries:
         order = order or []
         if c.rows is not None:
             return self.values(c.rows, outer)
+        c = _bound(c)
         source = self.source(c.source, outer) if c.source is not None else Source("", [])
         where = None
         scope = Scope(source.entries, outer)
@@ -441,10 +442,21 @@ class Queries:
                 texts += [f"row_number() OVER ({spec}) AS {row}", f"dense_rank() OVER ({spec}) AS {group}"]
                 known[spec] = (f"{alias}.{row}", f"{alias}.{group}")
             numbers[id(x)] = known[spec]
+            if x.distinct and self.from_start(w) and x.name in ("count", "sum", "avg", "total") and x.where is None:
+                value = plain(compile_(x.args[0]))
+                flag = f"f{len(numbers)}"
+                first = self.spec(Window(None, [*w.partition, x.args[0]], w.order), compile_)
+                texts.append(f"({value} IS NOT NULL AND row_number() OVER ({first}) = 1) AS {flag}")
+                numbers[id(x)] = (*known[spec], f"{alias}.{flag}")
         sql = f"(SELECT {', '.join(texts)} FROM {source.sql}{f' WHERE {where}' if where else ''}) AS {alias}"
         entries = [replace(e, value=replace(e.value, sql=f"{alias}.{names[e.value.sql]}")) for e in source.entries]
         return Source(sql, entries), None, numbers
 
+    @staticmethod
+    def from_start(w: Window) -> bool:
+        """Whether the frame begins with the partition and leaves out no row."""
+        return w.frame is None or w.frame[1][0] == "FIRST" and w.frame[3] == "NO OTHERS" and w.frame[0] != "GROUPS"
+
     def spec(self, w: Window, compile_: Expressions, order: str | None = None) -> str:
         """PARTITION BY and ORDER BY; without an order, all rows are peers."""
         parts = [f"PARTITION BY {', '.join(plain(compile_(p)) for p in w.partition)}"] if w.partition else []
@@ -468,6 +480,12 @@ class Queries:
 
     def windowed(self, x: Call, compile_: Expressions, c: Core, numbers: dict) -> Value:
         w = self.resolved(x.over, c)
+        if id(x) in numbers and len(numbers[id(x)]) == 3:
+            # each value counts on its first row
+            flagged = ("case", None, [(("raw", numbers[id(x)][2]), x.args[0])], None)
+            own = copy.copy(x)
+            own.distinct, own.args = False, [flagged]
+            return self.windowed(own, compile_, c, {})
         if id(x) in numbers:
             return self.listed(x, w, compile_, *numbers[id(x)])
         ranking = x.name in calls.RANKING
@@ -570,6 +588,32 @@ class Queries:
         raise SqlError(f"{x.name}() can't be used with this frame")
 
 
+def _bound(c: Core) -> Core:
+    """A table function without arguments takes them from WHERE: its hidden columns equal to something."""
+    hidden = {"generate_series": ("start", "stop", "step"), "json_each": ("json", "root"), "json_tree": ("json", "root")}
+    if c.source is None or c.source[0] != "table" or c.source[1].lower() not in hidden or c.where is None:
+        return c
+    names = hidden[c.source[1].lower()]
+    parts, rest, args = [c.where], [], {}
+    while parts:
+        x = parts.pop(0)
+        if x[0] == "binary" and x[1] == "AND":
+            parts = [x[2], x[3], *parts]
+            continue
+        one = x[2] if x[0] == "binary" and x[1] == "=" else None
+        if one is not None and one[0] == "col" and one[1][-1].lower() in names:
+            args[one[1][-1].lower()] = x[3]
+        else:
+            rest.append(x)
+    if names[0] not in args:
+        return c
+    given = [args[n] for n in names[: 1 + max(i for i, n in enumerate(names) if n in args)] if n in args]
+    where = None
+    for x in rest:
+        where = x if where is None else ("binary", "AND", where, x)
+    return replace(c, source=("function", c.source[1].lower(), given, c.source[2]), where=where)
+
+
 def replace_name(c: Call, name: str) -> Call:
     out = copy.copy(c)
     out.name = name

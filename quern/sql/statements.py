@@ -46,7 +46,7 @@ class Runner:
         def frame_of(name: str) -> DataFrame | None:
             return more.get(name.lower(), self.db.lookup(name))
 
-        return Queries(self.spark, frame_of, self.parameters, self.db.table_function, self.db.rowid, self.db.collation)
+        return Queries(self.spark, frame_of, self.parameters, self.db.table_function, self.db.rowid, self.db.collation, self.db.state)
 
     def run(self, statement: Any) -> DataFrame:
         if isinstance(statement, P.Select):

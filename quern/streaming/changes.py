@@ -18,6 +18,15 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "change_type", "before", "after", F.when(F.col("change_type") == "update", differs).otherwise(F.array().cast("array<string>")).alias("updated"))
 
 
+def captured(before: DataFrame, after: DataFrame, keys: list[str], mode: str = "full") -> DataFrame:
+    """changes() with what a capture mode keeps: id (keys and kind alone), before, after, or full (both, and updated)."""
+    if mode not in ("id", "before", "after", "full"):
+        raise ValueError("mode must be id, before, after or full")
+    feed = changes(before, after, keys)
+    kept = {"id": [], "before": ["before"], "after": ["after"], "full": ["before", "after", "updated"]}[mode]
+    return feed.select(*keys, "change_type", *kept)
+
+
 def replayed(table: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
     """The table after a change feed of changes()."""
     rest = [c for c in table.columns if c not in keys]

@@ -33,6 +33,8 @@ def test_as_of_ties(spark):
     right = spark.createDataFrame([("a", 5, 50), ("a", 2, 20)], "k string, at int, v int")
     assert rows(J.as_of(left, right, ["k"], "at", "at", ["v"])) == [("a", 1, None), ("a", 5, 50)]
     assert rows(J.as_of(left, right, ["k"], "at", "at", ["v"], strict=True)) == [("a", 1, None), ("a", 5, 20)]
+    for width in (1, 2, 100):
+        assert rows(J.as_of(left, right, ["k"], "at", "at", ["v"], strict=True, width=width)) == [("a", 1, None), ("a", 5, 20)]
 
 
 def test_chain_associates_left(spark):

@@ -248,5 +248,26 @@ def test_plans_do_not_grow(db):
     assert len(plan.splitlines()) <= 2 and rows(db.sql("SELECT sum(x) FROM t")) == [(4 + 4 + 4 + 4,)]
 
 
+def test_hooks_and_state(db):
+    seen = []
+    db.hooks["update"].append(lambda event, table, rows: seen.append((event, table, rows.count())))
+    db.hooks["rollback"].append(lambda: seen.append("rollback"))
+    db.hooks["trace"].append(lambda text: None)
+    db.sql("CREATE TABLE t(id INTEGER PRIMARY KEY, x INT); INSERT INTO t(x) VALUES (1), (2), (3); UPDATE t SET x = 0 WHERE id > 1")
+    assert rows(db.sql("SELECT changes(), total_changes(), last_insert_rowid(), is_autocommit()")) == [(2, 5, 3, 1)]
+    db.hooks["commit"].append(lambda: True)
+    db.sql("BEGIN; DELETE FROM t; COMMIT")
+    assert rows(db.sql("SELECT count(*) FROM t")) == [(3,)]
+    assert seen == [("INSERT", "t", 3), ("UPDATE", "t", 2), ("DELETE", "t", 3), "rollback"]
+    db.hooks["authorize"].append(lambda statement: type(statement).__name__ == "Select")
+    with pytest.raises(PermissionError):
+        db.sql("DELETE FROM t")
+
+
+def test_hidden_arguments(fixed):
+    assert rows(fixed.sql("SELECT value FROM generate_series WHERE start = 1 AND stop = 7 AND step = 3 AND value > 1")) == [(4,), (7,)]
+    assert rows(fixed.sql("SELECT key FROM json_each WHERE json = '{\"a\":1}'")) == [("a",)]
+
+
 def test_grammar():
     assert len(statements("SELECT 1; -- a remark\nSELECT ';' /* ; */;")) == 2
