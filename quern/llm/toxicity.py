@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from quern.llm.arrow import LOWER, Texts, Words, byte_sums, pieces, range_hash, texts
 from quern.llm.folds import held_out, labelled_sample, logistic
+from quern.llm.spread import neutral
 
 SAMPLE = 4000
 ONES = 0.25  # of the sample, at most
@@ -272,7 +273,9 @@ def tagged(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, th
     labels' smoothed share.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held, sample).values.astype("<f4"))
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
+    rows = neutral(docs)
+    own = {c: n for c, n in zip(rows.columns, docs.columns, strict=True) if n not in ("score", "predicted", "spans")}
+    kept = list(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(model.value)
@@ -296,9 +299,9 @@ def tagged(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, th
             new = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *new], names=[*kept, "score", "predicted", "spans"])
 
-    rows = docs.select(*kept)
+    rows = rows.select(*kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int, spans array<struct<start: bigint, end: bigint>>")
+    return rows.mapInArrow(run, f"{fields}, score double, predicted int, spans array<struct<start: bigint, end: bigint>>").toDF(*own.values(), "score", "predicted", "spans")
 
 
 def scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -321,4 +324,5 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
             w, p = field.tag(texts(piece.column("text")))
             yield piece.filter(pa.array(field.score(p, w) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = neutral(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
