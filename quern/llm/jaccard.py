@@ -40,8 +40,8 @@ NUMERATOR, DENOMINATOR = 4, 5  # linked: intersection / union >= 4/5
 BLOCK = 128
 LEAST_PARITIES = 512
 SHARD_ROWS = 1 << 15  # group members that a task compares
-BLOCK_BYTES = 2 << 20  # of elements in a block of a group
-SHARD_BYTES = 8 << 20  # of elements that a task compares
+BLOCK_BYTES = 1 << 20  # of elements in a block of a group
+SHARD_BYTES = 2 << 20  # of elements that are compared together
 WHOLE_GROUP = 2048  # members up to which a group is looked through at once
 ELEMENT = 5  # bytes
 FLUSH_SIGNATURES = 3 << 18
@@ -348,8 +348,13 @@ def _open(members: DataFrame, shards: int) -> DataFrame:
 
 def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
     """low, high: links between components, enough to join all that the units' members join. found: as _open gives it; elements: key, elements."""
-    shards = 1 + (found.agg(F.sum("n")).first()[0] or 0) * ELEMENT // SHARD_BYTES
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)))
+    size = found.groupBy("home").agg(F.sum("n").alias("total"))
+    shards = 1 + (size.agg(F.sum("total")).first()[0] or 0) * ELEMENT // SHARD_BYTES
+    # units of one home go together, but where they are too many they are dealt over parts
+    parts = (1 + F.col("total") * ELEMENT / SHARD_BYTES).cast("int")
+    wide = size.select(F.col("home").alias("of"), parts.alias("parts")).where("parts > 1")
+    dealt = found.join(wide, found["home"] == wide["of"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("unit"), F.col("parts")), F.lit(0)))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("home", "part"), F.lit(shards))).drop("of", "parts", "part", "home")
 
     def links(table: pa.Table, sets_of: pa.Table) -> pa.Table:
         place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
