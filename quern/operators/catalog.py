@@ -72,6 +72,8 @@ class Database:
         self.started: tuple | None = None
         #: Callables by event: update (event, table, rows), commit (), rollback (), authorize (statement) and trace (text).
         self.hooks: dict[str, list[Callable]] = {n: [] for n in ("update", "commit", "rollback", "authorize", "trace")}
+        self.functions: dict[str, str] = {}  # users' functions and the kinds that they return
+        self.attached: dict[str, str] = {}  # directories of Parquet tables by name
         self.changed: list[DataFrame] = []  # the rows of each change, for changes() and total_changes()
 
     # names
@@ -94,6 +96,10 @@ class Database:
             return self.frame(self.name(name))
         except KeyError:
             pass
+        schema, _, table = name.rpartition(".")
+        if schema:
+            path = self.attached.get(schema.lower())
+            return None if path is None else self.spark.read.parquet(f"{path}/{table}.parquet")
         if name.lower() in ("sqlite_schema", "sqlite_master"):
             return self.schema()
         if name.lower() == "sqlite_stat1":
@@ -474,6 +480,20 @@ class Database:
 
     # statements
 
+    def create_function(self, name: str, f: Callable, returns: str, deterministic: bool = True) -> None:
+        """A scalar function that statements can call; it runs in Arrow batches."""
+        from pyspark.sql.types import _parse_datatype_string
+
+        from quern.functions.udf import create_function
+        from quern.sql.expressions import kind_of
+
+        create_function(self.spark, name.lower(), f, returns, deterministic)
+        self.functions[name.lower()] = kind_of(_parse_datatype_string(returns))
+
+    def rows(self, text: str, *values, **args):
+        """A statement's rows one at a time: partitions are fetched as they are read, so a reader can stop and go on."""
+        return self.sql(text, *values, **args).toLocalIterator(prefetchPartitions=False)
+
     def sql(self, text: str, *values, **args) -> DataFrame:
         """Runs the statements of a text; the last one's rows. Parameters by place (?) or name (:name)."""
         from quern.sql.parser import statements
@@ -532,7 +552,7 @@ class Database:
         if name == "list_types":
             return make([(n,) for n in ("BLOB", "INTEGER", "NUMERIC", "REAL", "TEXT")], "name string")
         if name == "database_list":
-            return make([(0, "main", "")], "seq int, name string, file string")
+            return make([(0, "main", ""), *((i + 2, n, p) for i, (n, p) in enumerate(self.attached.items()))], "seq int, name string, file string")
         if name == "encoding":
             return make([("UTF-8",)], "encoding string")
         if name in self.settings:

@@ -43,8 +43,9 @@ class Source:
 class Queries:
     """Compiles the queries of one statement; frames are put in by ``run``."""
 
-    def __init__(self, spark: SparkSession, frame_of: Callable[[str], DataFrame | None], parameters: dict[str, Any] | None = None, function_of: Callable | None = None, rowid_of: Callable[[str], str | None] = lambda name: None, collation_of: Callable[[str, str], str | None] = lambda t, c: None, state_of: Callable[[str], Any] | None = None) -> None:
+    def __init__(self, spark: SparkSession, frame_of: Callable[[str], DataFrame | None], parameters: dict[str, Any] | None = None, function_of: Callable | None = None, rowid_of: Callable[[str], str | None] = lambda name: None, collation_of: Callable[[str, str], str | None] = lambda t, c: None, state_of: Callable[[str], Any] | None = None, functions: dict[str, str] | None = None) -> None:
         self.spark, self.frame_of, self.parameters, self.function_of, self.rowid_of, self.collation_of, self.state_of = spark, frame_of, parameters or {}, function_of, rowid_of, collation_of, state_of
+        self.functions = functions or {}
         self.frames: dict[str, DataFrame] = {}
         self.ctes: list[dict[str, Any]] = []
         self.made = 0

@@ -46,7 +46,7 @@ class Runner:
         def frame_of(name: str) -> DataFrame | None:
             return more.get(name.lower(), self.db.lookup(name))
 
-        return Queries(self.spark, frame_of, self.parameters, self.db.table_function, self.db.rowid, self.db.collation, self.db.state)
+        return Queries(self.spark, frame_of, self.parameters, self.db.table_function, self.db.rowid, self.db.collation, self.db.state, self.db.functions)
 
     def run(self, statement: Any) -> DataFrame:
         if isinstance(statement, P.Select):
@@ -248,6 +248,26 @@ class Runner:
         target = targets[0] if targets else (self.db.table(parent).key or ("id",))[0] if self.db.lookup(parent) is not None else "id"
         return ForeignKey(columns[0], parent, target, on_delete, on_update, deferred)
 
+    def do_create_virtual(self, name, module, columns, if_not_exists) -> None:
+        """fts5: a table of texts, which MATCH searches; rtree: an id and pairs of bounds, rtree_i32 with whole ones."""
+        if if_not_exists and self.db.lookup(name) is not None:
+            return
+        if module == "fts5":
+            schema = T.StructType([T.StructField(c.split()[0], T.StringType()) for c in columns])
+        elif module in ("rtree", "rtree_i32"):
+            number = T.DoubleType() if module == "rtree" else T.LongType()
+            schema = T.StructType([T.StructField(c.split()[0], number if i else T.LongType()) for i, c in enumerate(columns)])
+        else:
+            raise P.SqlError(f"no such module: {module}")
+        self.db.create(name, self.spark.createDataFrame([], schema), key=() if module == "fts5" else (schema[0].name,), counted=None if module == "fts5" else schema[0].name)
+
+    def do_attach(self, path, name) -> None:
+        self.db.attached[name.lower()] = path
+
+    def do_detach(self, name) -> None:
+        if self.db.attached.pop(name.lower(), None) is None:
+            raise P.SqlError(f"no such database: {name}")
+
     def do_create_table_as(self, name, select, if_not_exists) -> None:
         if not (if_not_exists and self.db.lookup(name) is not None):
             self.db.create(name, self.run(select))

@@ -60,7 +60,7 @@ def fire(db, trigger, changed: DataFrame) -> None:
 
     def queries(extra: dict[str, DataFrame] | None = None) -> Queries:
         more = {k.lower(): v for k, v in (extra or {}).items()}
-        return Changed(db.spark, lambda name: more.get(name.lower(), db.lookup(name)), {}, db.table_function, db.rowid, db.collation, db.state, changed=changed)
+        return Changed(db.spark, lambda name: more.get(name.lower(), db.lookup(name)), {}, db.table_function, db.rowid, db.collation, db.state, db.functions, changed=changed)
 
     runner.queries = queries
     if trigger.when is not None:

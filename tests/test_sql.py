@@ -269,5 +269,48 @@ def test_hidden_arguments(fixed):
     assert rows(fixed.sql("SELECT key FROM json_each WHERE json = '{\"a\":1}'")) == [("a",)]
 
 
+def test_search_tables(db):
+    db.sql("CREATE VIRTUAL TABLE f USING fts5(title, body, tokenize = 'unicode61')")
+    db.sql("INSERT INTO f VALUES ('Old ships', 'a harbour by the sea'), ('Trains', 'an old station'), ('Cars', 'new roads')")
+    assert sorted(rows(db.sql("SELECT title FROM f WHERE f MATCH 'old'"))) == [("Old ships",), ("Trains",)]
+    assert rows(db.sql("SELECT title FROM f WHERE f MATCH '\"old station\" OR harb*' AND body MATCH 'sea'")) == [("Old ships",)]
+    db.sql("CREATE VIRTUAL TABLE r USING rtree(id, x0, x1); INSERT INTO r VALUES (1, 0, 2), (2, 5, 7); INSERT INTO r(x0, x1) VALUES (6.5, 9)")
+    assert rows(db.sql("SELECT id FROM r WHERE x0 <= 6 AND x1 >= 6")) == [(2,)] and rows(db.sql("SELECT max(id) FROM r")) == [(3,)]
+
+
+def test_attached_directories(spark, db, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "n.parquet"))
+    db.sql(f"ATTACH '{tmp_path}' AS other; CREATE TABLE n AS SELECT id + 10 AS id FROM other.n WHERE n.id > 0")
+    assert sorted(rows(db.sql("SELECT a.id FROM main.n a JOIN other.n b ON a.id = b.id + 10"))) == [(11,), (12,)]
+    db.sql("DETACH other")
+    with pytest.raises(SqlError):
+        db.sql("SELECT * FROM other.n")
+
+
+def test_user_functions_in_text(fixed):
+    fixed.create_function("Twice", lambda x: None if x is None else 2 * x, "bigint")
+    assert rows(fixed.sql("SELECT sum(twice(x)) / 4 FROM t")) == [(6,)]
+    reader = fixed.rows("SELECT x FROM t ORDER BY x")
+    assert next(reader)[0] == 1 and [r[0] for r in reader] == [2, 2, 3, 5]
+
+
+def test_sqlite_files(spark, tmp_path):
+    from quern.sources.sqlite import read_sqlite, write_sqlite
+
+    path = str(tmp_path / "file.db")
+    df = spark.createDataFrame([(1, "a", 1.5, bytearray(b"x")), (2, None, None, None), (700, "é", -2.0, bytearray(b""))], "id bigint, s string, v double, b binary")
+    assert write_sqlite(df, path, "t") == 3
+    back = read_sqlite(spark, path, "t", parts=3)
+    assert back.schema.simpleString() == df.schema.simpleString() and sorted(rows(back), key=str) == sorted(rows(df), key=str)
+    with pytest.raises(Exception, match="exists"):
+        write_sqlite(df, path, "t")
+    import sqlite3
+
+    with sqlite3.connect(path) as own:
+        own.execute("CREATE TABLE w(k TEXT PRIMARY KEY, n INT) WITHOUT ROWID")
+        own.execute("INSERT INTO w VALUES ('q', 'no number')")
+    assert rows(read_sqlite(spark, path, "w")) == [("q", None)]
+
+
 def test_grammar():
     assert len(statements("SELECT 1; -- a remark\nSELECT ';' /* ; */;")) == 2
