@@ -41,7 +41,8 @@ BLOCK = 128
 LEAST_PARITIES = 512
 SHARD_ROWS = 1 << 15  # group members that a task compares
 BLOCK_BYTES = 1 << 20  # of elements in a block of a group
-SHARD_BYTES = 2 << 20  # of elements that are compared together
+HOME_BYTES = 2 << 20  # of elements of a home that stay together
+SHARD_BYTES = 8 << 20  # of elements that a task compares
 WHOLE_GROUP = 2048  # members up to which a group is looked through at once
 ELEMENT = 5  # bytes
 FLUSH_SIGNATURES = 3 << 18
@@ -313,7 +314,7 @@ def _open(members: DataFrame, shards: int) -> DataFrame:
     """unit, key, n, parity, root, second, mixed, home: the members that may be linked with another component's, as far as sizes and parities tell.
 
     members: grp, key, n, parity, root. A group's members are dealt by hash over as many blocks as their
-    elements fill; each block, and each pair of blocks, is a unit of work. home is the lowest of the unit's keys, as
+    elements fill; each block, and each pair of blocks, is a unit of work. home is the lowest of the unit's components, as
     groups of much the same sets have it in common, or the unit itself in a group of several blocks.
     """
     size = members.groupBy("grp").agg(F.sum("n").alias("total"))
@@ -339,7 +340,7 @@ def _open(members: DataFrame, shards: int) -> DataFrame:
                 keep[part[i + 1 :][ok]] = True
                 keep[part[i]] |= ok.any()
             if not split[part[0]] and keep[part].any():
-                home[part] = key[part[keep[part]][0]]
+                home[part] = root[part[keep[part]]].min()
         return table.drop_columns(["shard", "split"]).append_column("home", pa.array(home)).filter(pa.array(keep))
 
     fields = "unit bigint, key bigint, n bigint, parity binary, root bigint, second boolean, mixed boolean, home bigint"
@@ -351,7 +352,7 @@ def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
     size = found.groupBy("home").agg(F.sum("n").alias("total"))
     shards = 1 + (size.agg(F.sum("total")).first()[0] or 0) * ELEMENT // SHARD_BYTES
     # units of one home go together, but where they are too many they are dealt over parts
-    parts = (1 + F.col("total") * ELEMENT / SHARD_BYTES).cast("int")
+    parts = (1 + F.col("total") * ELEMENT / HOME_BYTES).cast("int")
     wide = size.select(F.col("home").alias("of"), parts.alias("parts")).where("parts > 1")
     dealt = found.join(wide, found["home"] == wide["of"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("unit"), F.col("parts")), F.lit(0)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("home", "part"), F.lit(shards))).drop("of", "parts", "part", "home")

@@ -92,6 +92,7 @@ def test_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "WHOLE_GROUP", 3)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(jaccard, "SHARD_BYTES", 8000)
+    monkeypatch.setattr(jaccard, "HOME_BYTES", 3000)
     assert sorted(map(tuple, jaccard.components(docs).collect())) == want
 
 
@@ -401,3 +402,69 @@ def test_very_long_texts(spark):
     pieces = packing.packed(short, TOKENIZER).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
     counted = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(short, TOKENIZER).collect()}
     assert all(r["n"] == r["all"] == counted[r["doc_id"]] + 1 for r in pieces)
+
+
+def test_quality_query_against_plain_sums(spark, tmp_path):
+    """Scores of the query, from its model, by plain sums over each text's n-grams."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.llm import queries
+    from quern.llm.arrow import texts
+
+    rows, labels = labelled_corpus()
+    rows += [(900, None), (901, ""), (902, "a"), rows[3]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels_frame(spark, labels).write.parquet(str(tmp_path / "labels.parquet"))
+    docs, marks = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    model = quality.train(docs, marks, 5, 0).astype(float)
+    weights, ratios = model[: quality.BUCKETS], model[quality.BUCKETS : 2 * quality.BUCKETS]
+    bias, slope, level = model[-3:]
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        found = set(next(quality.Indicators().of(texts(pa.array([t or ""], pa.large_string())))).tolist())
+        length = math.sqrt(sum(ratios[k] ** 2 for k in found)) or 1
+        margin = sum(weights[k] * ratios[k] for k in found) / length + bias
+        want[i].append(1 / (1 + np.exp(-(slope * margin + level))))
+    got = queries.op2_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r["score"], want[r["doc_id"]][0], rel_tol=1e-6) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_toxicity_query_against_plain_recursion(spark, tmp_path):
+    """Scores of the query, from its model, by the plain forward-backward recursion over each text's tokens."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.llm import queries
+    from quern.llm.arrow import texts
+
+    rows, labels = labelled_corpus()
+    rows = rows[:200] + [(900, None), (901, "..."), (902, "scum"), rows[3]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels_frame(spark, labels).write.parquet(str(tmp_path / "labels.parquet"))
+    docs, marks = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    values = toxicity.train(docs, marks, 3, 1).values.astype("<f4").astype(float)
+    trans, start = values[toxicity.BUCKETS : toxicity.BUCKETS + 4].reshape(2, 2), values[toxicity.BUCKETS + 4]
+    got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        own = texts(pa.array([t or ""], pa.large_string()))
+        f = toxicity.features(own, toxicity.tokens(own))
+        n = f.shape[1]
+        assert n == len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode()))
+        score = [(0.0, sum(values[b] for b in f[:, k])) for k in range(n)]
+        alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+        for k in range(n):
+            for s in (0, 1):
+                alpha[k, s] = score[k][s] + ((start if s else 0.0) if k == 0 else np.logaddexp(alpha[k - 1, 0] + trans[0, s], alpha[k - 1, 1] + trans[1, s]))
+        for k in range(n - 2, -1, -1):
+            for s in (0, 1):
+                beta[k, s] = np.logaddexp(*(trans[s, u] + score[k + 1][u] + beta[k + 1, u] for u in (0, 1)))
+        z = alpha + beta
+        p = 1 / (1 + np.exp(z[:, 0] - z[:, 1])) if n else np.zeros(0)
+        expected, high = p.sum() + 1e-3, min(max(p.max(initial=0), 1e-6), 1 - 1e-6)
+        evidence = (math.log(expected), math.log(expected / (n + toxicity.PRIOR_TOKENS)), math.log(high / (1 - high)), 1.0)
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(evidence, values[-toxicity.EVIDENCE :], strict=True))))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-4, abs_tol=1e-6), i
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.7)
