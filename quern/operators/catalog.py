@@ -244,21 +244,22 @@ class Database:
         made = dml.generated(made, t.generated)
         made = made.select(*(F.col(f.name).cast(f.dataType) for f in t.frame.schema.fields))
         if t.counted and t.counted in made.columns:
-            made = written(made)
-            if not made.where(F.col(t.counted).isNull()).isEmpty():
+            # rows keep the order that they come in
+            made = written(made.withColumn("__at", F.monotonically_increasing_id()))
+            bare = made.where(F.col(t.counted).isNull()).withColumn("__part", F.shiftright("__at", 33))
+            sizes = {r["__part"]: r["count"] for r in bare.groupBy("__part").count().collect()}  # a row a partition
+            if sizes:
                 top = max(t.last if t.autoincrement else 0, t.frame.agg(F.max(t.counted)).first()[0] or 0, made.agg(F.max(t.counted)).first()[0] or 0)
-                bare = made.where(F.col(t.counted).isNull())
-                # numbers by partition first, so that no window holds all rows
-                marked = written(bare.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
-                ranks = Window.partitionBy("__part").orderBy("__at")
-                sizes = {r["__part"]: r["count"] for r in marked.groupBy("__part").count().collect()}  # a row a partition
-                before, total = {}, top
+                before = {}
                 for part in sorted(sizes):
-                    before[part] = total
-                    total += sizes[part]
+                    before[part] = top
+                    top += sizes[part]
+                # numbers by partition, so that no window holds all rows
+                ranks = Window.partitionBy("__part").orderBy("__at")
                 start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-                numbered = marked.withColumn(t.counted, (F.row_number().over(ranks) + start[F.col("__part")]).cast(t.frame.schema[t.counted].dataType)).drop("__part", "__at")
+                numbered = bare.withColumn(t.counted, (F.row_number().over(ranks) + start[F.col("__part")]).cast(t.frame.schema[t.counted].dataType)).drop("__part")
                 made = made.where(F.col(t.counted).isNotNull()).unionByName(numbered)
+            made = made.drop("__at")
         return made
 
     def remove(self, name: str, marked: DataFrame) -> DataFrame:

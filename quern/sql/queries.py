@@ -188,10 +188,13 @@ class Queries:
         if node[0] == "lit" and isinstance(node[1], int) and not isinstance(node[1], bool):
             if not 1 <= node[1] <= len(columns):
                 raise SqlError("ORDER BY term out of range")
-            v = columns[node[1] - 1].value
+            place = node[1] - 1
         else:
-            alias = next((o.value for o in columns if node[0] == "col" and len(node[1]) == 1 and o.name.lower() == node[1][0].lower()), None)
-            v = alias or compile_(node)
+            place = next((i for i, o in enumerate(columns) if node[0] == "col" and len(node[1]) == 1 and o.name.lower() == node[1][0].lower()), None)
+        v = compile_(node) if place is None else columns[place].value
+        if place is not None and (name or v.collation) in (None, "BINARY", "JSON"):
+            # by place, as names needn't be unique
+            return f"{place + 1}" + (" DESC" if down else "") + (f" NULLS {nulls}" if nulls else "")
         v = _collated(v, name or v.collation)
         return plain(v) + (" DESC" if down else "") + (f" NULLS {nulls}" if nulls else "")
 
@@ -206,7 +209,10 @@ class Queries:
         where = None
         scope = Scope(source.entries, outer)
         if c.where is not None:
-            where = truth(self.expressions(scope, c)(c.where))
+            compile_ = self.expressions(scope, c)
+            scope.aliases = {alias.lower(): lambda node=node: compile_(node) for node, alias, _ in c.items if alias}
+            where = truth(compile_(c.where))
+            scope.aliases = None
         calls_ = [x for x in _calls([i[0] for i in c.items] + [c.having] + [o[0] for o in order])]
         grouped = bool(c.group) or c.having is not None or any(x.over is None and calls.is_aggregate(x) for x in calls_)
         special = [x for x in calls_ if x.over is not None and self.needs_numbers(x, c)]
@@ -242,9 +248,26 @@ class Queries:
         if grouped and groups:
             sql += f" GROUP BY {', '.join(groups)}"
         sql += having
-        if order:
-            seen = [self.order_term(t, compile_, columns) for t in order]
-            sql += f" ORDER BY {', '.join(seen)}"
+        if order and c.distinct:
+            # only the result's columns are left to order by
+            own = Expressions(Scope([Entry("", o.name, o.value) for o in columns], outer), self)
+            sql = f"SELECT * FROM ({sql}) ORDER BY {', '.join(self.order_term(t, own, columns) for t in order)}"
+        elif order:
+            terms = [self.order_term(t, compile_, columns) for t in order]
+            if grouped and any(not re.match(r"\d+\b", t) for t in terms):
+                # aggregates to order by are columns of the query within
+                inner = [re.sub(r" AS `(?:[^`]|``)*`$", f" AS c{i}", x) for i, x in enumerate(texts)]
+                outside = []
+                for i, t in enumerate(terms):
+                    place, tail = re.match(r"(\d+)\b(.*)", t, re.DOTALL).groups() if re.match(r"\d+\b", t) else (None, "")
+                    if place is None:
+                        body, tail = re.match(r"(.*?)((?: DESC)?(?: NULLS (?:FIRST|LAST))?)$", t, re.DOTALL).groups()
+                        inner.append(f"{body} AS o{i}")
+                    outside.append((f"c{int(place) - 1}" if place else f"o{i}") + tail)
+                sql = f"SELECT {', '.join(inner)}{sql[len('SELECT ') + len(', '.join(texts)) :]}"
+                sql = f"SELECT {', '.join(f'c{i} AS {quoted(o.name)}' for i, o in enumerate(columns))} FROM ({sql}) ORDER BY {', '.join(outside)}"
+            else:
+                sql += f" ORDER BY {', '.join(terms)}"
         return Query(sql, columns, single=grouped and not c.group)
 
     def expressions(self, scope: Scope, c: Core, numbers: dict | None = None) -> Expressions:
