@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.sql import calls
-from quern.sql.expressions import Entry, Expressions, Scope, Value, _collated, compare, integer, kind_of, literal, number, plain, quoted, real, text, text_of, truth
+from quern.sql.expressions import Entry, Expressions, Scope, Value, _collated, integer, kind_of, literal, number, plain, quoted, real, text, text_of, truth
 from quern.sql.parser import Call, Core, Select, SqlError, Window
 
 
@@ -575,7 +575,7 @@ class Queries:
         if plain_sum and x.name in ("sum", "count", "avg", "min", "max", "total"):
             own = copy.copy(x)
             own.over = None
-            v = calls.aggregate(replace_name(own, "sum" if x.name == "total" else x.name), compile_)
+            v = calls.aggregate(_renamed_call(own, "sum" if x.name == "total" else x.name), compile_)
             return Value(f"coalesce(CAST({v.sql} {over} AS DOUBLE), 0.0D)" if x.name == "total" else f"{v.sql} {over}", "real" if x.name == "total" else v.kind)
         rows = f"collect_list({_when(x, compile_, f'STRUCT({parts})')}) {over}"
         keep = {"NO OTHERS": None, "CURRENT ROW": f"x.r <> {row}", "GROUP": f"x.g <> {group}", "TIES": f"(x.g <> {group} OR x.r = {row})"}[exclude]
@@ -638,7 +638,7 @@ def _bound(c: Core) -> Core:
     return replace(c, source=("function", c.source[1].lower(), given, c.source[2]), where=where)
 
 
-def replace_name(c: Call, name: str) -> Call:
+def _renamed_call(c: Call, name: str) -> Call:
     out = copy.copy(c)
     out.name = name
     return out
@@ -694,6 +694,3 @@ def _mentions(x: Any, name: str) -> bool:
     if isinstance(x, (Core, Select)):
         return any(_mentions(y, name) for y in vars(x).values())
     return isinstance(x, Call) and any(_mentions(y, name) for y in (x.args, x.where))
-
-
-__all__ = ["Output", "Queries", "Query", "Source", "compare"]

@@ -17,7 +17,7 @@ from quern.functions import json as json_functions
 from quern.functions import text as text_functions
 from quern.sql import parser as P
 from quern.sql.expressions import Entry, Expressions, Scope, Value, affinity_of, kind_of, plain, quoted, truth
-from quern.sql.queries import Queries, Query
+from quern.sql.queries import Queries
 
 #: Spark's types for the affinities of declared types.
 TYPES = {"integer": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "blob": T.BinaryType(), "numeric": T.DoubleType()}
@@ -172,7 +172,7 @@ class Runner:
             source = q.table(alias, alias)
             compile_ = Expressions(Scope(source.entries), q)
             new = self._assigned(s, t, compile_, q)
-            texts = ["*", *(f"{plain_(v)} AS {quoted('__new_' + c)}" for c, v in new.items())]
+            texts = ["*", *(f"{_typed(v)} AS {quoted('__new_' + c)}" for c, v in new.items())]
             marked = q.frame(f"{head}SELECT {', '.join(texts)} FROM {source.sql}")
         sets = {c: self.stored(Value(quoted(f"__new_{c}"), kind_of(marked.schema[f"__new_{c}"].dataType)), schema[c].dataType) for c in (c[6:] for c in marked.columns if c.startswith("__new_"))}
         after = self.db.change(s.table, marked, sets, s.conflict)
@@ -206,7 +206,7 @@ class Runner:
         compile_ = Expressions(scope, q)
         condition = "true" if s.where is None else truth(compile_(s.where))
         new = self._assigned(s, t, compile_, q)
-        texts = [f"{quoted(alias)}.`__id` AS `__id`", *(f"{plain_(v)} AS {quoted('__new_' + c)}" for c, v in new.items())]
+        texts = [f"{quoted(alias)}.`__id` AS `__id`", *(f"{_typed(v)} AS {quoted('__new_' + c)}" for c, v in new.items())]
         found = q.frame(f"{head}SELECT {', '.join(texts)} FROM {own.sql}, {other.sql} WHERE {condition}")
         first = found.groupBy("__id").agg(F.min(F.struct(*(F.col(f"__new_{c}") for c in new))).alias("x")).select("__id", "x.*", F.lit(True).alias("__hit"))
         return keyed.join(first, "__id", "left").drop("__id").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
@@ -344,8 +344,6 @@ class Runner:
         """Frames have no pages to give back."""
 
 
-def plain_(v: Value) -> str:
+def _typed(v: Value) -> str:
+    """A value's text; a null has a type, as it becomes a column."""
     return "CAST(NULL AS STRING)" if v.sql == "NULL" else plain(v)
-
-
-__all__ = ["Query", "Runner", "prepare"]
