@@ -10,8 +10,8 @@ their shares differ by a two-proportion test. A template's purity is its share o
 towards its host's, which is smoothed towards the share among all labelled pages; templates with
 labelled pages of their own and a purity of ``PURITY`` or more are rejected.
 
-Everything is joins and sums of DataFrames. Where a key (a url, a branch) has more than 1 / ``HOT`` of all rows,
-its rows are dealt over ``SALTS`` parts; the list of these keys, fewer than ``HOT``, and that of
+Everything is joins and sums of DataFrames. Where a key (a url, a branch) has more than 1 / ``HOT`` of all rows
+and more than ``HOT_ROWS``, its rows are dealt over ``SALTS`` parts; the list of these keys, fewer than ``HOT``, and that of
 the rules are all that is broadcast.
 """
 
@@ -32,6 +32,7 @@ Z = 1.96
 WEIGHT = 4.0  # pages that the prior counts as
 PURITY = 0.8
 HOT = 1000
+HOT_ROWS = 1000  # rows of a key up to which they stay together
 SALTS = 32
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,9 +72,9 @@ def _segment(path: Column, level: int) -> Column:
 def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """rows with the facts of their keys (one row a key, without its weight, the number of its rows): shuffled by key, hot keys in parts."""
     facts = written(facts)
-    total = facts.agg(F.sum(weight)).first()[0] or 0
-    hot = facts.where(F.col(weight) * HOT > total).select(*keys, F.lit(True).alias("__hot"))
-    if hot.isEmpty():
+    total, most = (x or 0 for x in facts.agg(F.sum(weight), F.max(weight)).first())
+    hot = facts.where((F.col(weight) * HOT > total) & (F.col(weight) > HOT_ROWS)).select(*keys, F.lit(True).alias("__hot"))
+    if most * HOT <= total or most <= HOT_ROWS:
         return rows.join(facts.drop(weight).hint("merge"), keys, "left")
     hot = F.broadcast(hot)  # fewer than HOT rows
     parts = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))

@@ -235,6 +235,7 @@ def test_url_tree_against_brute_force(spark, monkeypatch, hot):
         rows.append((i, f"http://{host}{path}{'?q' if i % 7 == 0 else ''}"))
     rows += [(1000 + i, "http://hot.net/de/same") for i in range(300)] + [(2000 + i, None) for i in range(50)]
     monkeypatch.setattr(url_filter, "HOT", hot)
+    monkeypatch.setattr(url_filter, "HOT_ROWS", 1000 if hot == 1000 else 20)
     got = url_filter.judged(spark.createDataFrame(rows, "page_id bigint, url string").repartition(3)).collect()
     assert len(got) == len(rows) and got[0].asDict().keys() == dict.fromkeys(["page_id", "host", "path", "rule", "verdict", "template", "purity"]).keys()
     counts = collections.defaultdict(lambda: [0, 0, 0])
