@@ -27,13 +27,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.anchors import NO_ID
 from quern.llm.arrow import ODD, mix, pieces, shingle_hashes, texts, word_hashes, words
-from quern.llm.repeats import compressed, identity, unpackable, unpacked
-from quern.llm.spread import neutral, partitions, written
+from quern.llm.repeats import Sieve, compressed, identity, unpackable, unpacked
+from quern.llm.spread import freed as written
+from quern.llm.spread import neutral, partitions
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # linked: intersection / union >= 4/5
@@ -41,6 +42,7 @@ BLOCK = 128
 LEAST_PARITIES = 512
 SHARD_ROWS = 1 << 15  # group members that a task compares
 BLOCK_BYTES = 1 << 20  # of elements in a block of a group
+HOME_ROWS = 1 << 13  # members of a home that stay together
 HOME_BYTES = 2 << 20  # of elements of a home that stay together
 SHARD_BYTES = 8 << 20  # of elements that a task compares
 WHOLE_GROUP = 2048  # members up to which a group is looked through at once
@@ -166,7 +168,7 @@ def folded(parity: bytes, size: int) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, shards: int) -> DataFrame:
-    """grp, key: the sets that share a signature, where several do; groups of the same sets are one. rows: text."""
+    """grp, low, size, key: the sets that share a signature, where several do, with the lowest of them and their number; groups of the same sets are one. rows: text."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys: list[np.ndarray] = []
@@ -179,13 +181,13 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
                 return
             sig, owner = (np.concatenate(x) for x in zip(*held, strict=True))
             names = np.concatenate(held_keys)
-            shard = (sig % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
+            shard = (sig % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard * len(names) + owner, kind="stable")
             rest = ((sig // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype("<u4")
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                own, local = np.unique(owner[part], return_inverse=True)
-                packed = (names[own].astype("<i8"), local.astype("<u2"), rest[part])
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["shard", "keys", "owner", "sig"])
+                own, count = np.unique(owner[part], return_counts=True)
+                packed = (names[own].astype("<i8"), count.astype("u1" if count.max() < 256 else "<u4"), rest[part])
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["shard", "keys", "count", "sig"])
 
         for piece in pieces(batches, "text", 1 << 19):
             h, at = sets(piece.column("text"))
@@ -211,7 +213,7 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(x.as_py() for x in table.column("sig")), "<u4")
-        key = np.concatenate([np.frombuffer(k.as_py(), "<i8")[np.frombuffer(o.as_py(), "<u2")] for k, o in zip(table.column("keys"), table.column("owner"), strict=True)])
+        key = np.concatenate([np.repeat(np.frombuffer(k, "<i8"), np.frombuffer(n, f"<u{8 * len(n) // len(k)}")) for k, n in zip(table.column("keys").to_pylist(), table.column("count").to_pylist(), strict=True)])
         order = np.argsort(sig, kind="stable")
         twice = np.zeros(len(sig), bool)
         same = np.diff(sig[order]) == 0
@@ -238,10 +240,12 @@ def _candidates(rows: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             parts = [np.frombuffer(x.as_py(), "<i8") for x in batch.column("members")]
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("grp").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["grp", "key"])
+                size = np.array([len(x) for x in parts])
+                of = (batch.column("grp").to_numpy(), np.array([x[0] for x in parts]), size)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, size)) for x in of), pa.array(np.concatenate(parts))], names=["grp", "low", "size", "key"])
 
-    blobs = rows.mapInArrow(ship, "shard int, keys binary, owner binary, sig binary")
-    return blobs.groupBy("shard").applyInArrow(meet, "grp bigint, members binary").dropDuplicates(["grp"]).mapInArrow(spread, "grp bigint, key bigint")
+    blobs = rows.mapInArrow(ship, "shard int, keys binary, count binary, sig binary")
+    return blobs.groupBy("shard").applyInArrow(meet, "grp bigint, members binary").dropDuplicates(["grp"]).mapInArrow(spread, "grp bigint, low bigint, size bigint, key bigint")
 
 
 def _allowed(size: np.ndarray, root: np.ndarray, parity: np.ndarray, i: int) -> np.ndarray:
@@ -259,23 +263,33 @@ def _parities(column: list[bytes]) -> np.ndarray:
     return np.stack([folded(x, width) for x in column])
 
 
+def _dealt(rows: DataFrame, weight: Column, most: int, shards: int) -> DataFrame:
+    """The rows with a shard: those of one home go together, but where they weigh more than most they are dealt by unit over parts."""
+    parts = (1 + F.sum(weight) / most).cast("int")
+    wide = rows.groupBy(F.col("home").alias("of")).agg(parts.alias("parts")).where("parts > 1")  # at most a row for each most that all rows weigh
+    part = F.coalesce(F.pmod(F.xxhash64("unit"), F.col("parts")), F.lit(0))
+    return rows.join(F.broadcast(wide), rows["home"] == wide["of"], "left").withColumn("shard", F.pmod(F.xxhash64("home", part), F.lit(shards)).cast("int")).drop("of", "parts")
+
+
 def _stars(groups: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """a, b (a < b): each group's lowest member with those that size and parities allow; or grp, if others may be linked as well.
 
-    groups: grp, key; known: key, n, parity. A group of more than WHOLE_GROUP is dealt by hash, its lowest member to all its parts.
+    groups: grp, low, size, key; known: key, n, parity. A group of more than WHOLE_GROUP is dealt by hash, its lowest member to all its parts.
+    Groups of one lowest member go to one task, which gets the parities of a set once.
     """
-    facts = known.select("key", "n", "parity")
-    size = F.count("*").alias("size")
-    big = written(groups.groupBy("grp").agg(F.min("key").alias("low"), size).where(F.col("size") > WHOLE_GROUP))
-    low = facts.select(F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("parity").alias("low_parity"))
-    big = big.join(low, "low").withColumn("parts", (1 + F.col("size") / WHOLE_GROUP).cast("int")).drop("size")
-    dealt = groups.join(facts, "key").join(big, "grp", "left").where("low is null or key <> low")
-    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        grp, part, key, size = (table.column(c).to_numpy() for c in ("grp", "part", "key", "n"))
-        low, low_size = (table.column(c).to_pylist() for c in ("low", "low_n"))
-        raw, low_raw = table.column("parity").to_pylist(), table.column("low_parity").to_pylist()
+    split = F.col("size") > WHOLE_GROUP
+    part = F.when(split, F.pmod(F.xxhash64("key"), (1 + F.col("size") / WHOLE_GROUP).cast("int"))).otherwise(0)
+    dealt = groups.where(~(split & (F.col("key") == F.col("low")))).select("grp", "key", "low", split.alias("split"), part.cast("int").alias("part"))
+    dealt = dealt.withColumn("unit", F.xxhash64("grp", "part")).withColumn("home", F.when(F.col("split"), F.col("unit")).otherwise(F.col("low")))
+    dealt = _dealt(dealt, F.lit(1), HOME_ROWS, shards).select("shard", "grp", "part", "key", F.when(F.col("split"), F.col("low")).alias("low"))
+    needed = dealt.select(F.col("shard").alias("to"), F.col("key").alias("set")).unionAll(dealt.where("low is not null").select("shard", "low")).distinct()
+    needed = needed.join(known.select(F.col("key").alias("set"), "n", "parity"), "set")
+
+    def pairs(table: pa.Table, sets_of: pa.Table) -> pa.Table:
+        place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
+        size, raw = sets_of.column("n").to_numpy(), sets_of.column("parity").to_pylist()
+        grp, part, key = (table.column(c).to_numpy() for c in ("grp", "part", "key"))
+        low = table.column("low").to_pylist()
         order = np.lexsort((key, part, grp))
         cut = (np.diff(grp[order]) != 0) | (np.diff(part[order]) != 0)
         out: list[np.ndarray] = []
@@ -287,10 +301,9 @@ def _stars(groups: DataFrame, known: DataFrame, shards: int) -> DataFrame:
             dealt_out = low[first] is not None
             if not dealt_out and len(rows) < 2:
                 continue
-            sizes, keys, own = size[rows], key[rows], [raw[i] for i in rows]
-            if dealt_out:
-                sizes, keys, own = np.append(low_size[first], sizes), np.append(low[first], keys), [low_raw[first], *own]
-            parity = _parities(own)
+            keys = np.append(low[first], key[rows]) if dealt_out else key[rows]
+            at = [place[k] for k in keys.tolist()]
+            sizes, parity = size[at], _parities([raw[i] for i in at])
             ok = _allowed(sizes, keys, parity, 0)
             if ok.any():
                 out.append(np.stack((np.full(int(ok.sum()), keys[0]), keys[1:][ok])))
@@ -302,7 +315,7 @@ def _stars(groups: DataFrame, known: DataFrame, shards: int) -> DataFrame:
         columns = [pa.array(np.concatenate((x, np.zeros(k, np.int64))), mask=lone) for x in found]
         return pa.table({"a": columns[0], "b": columns[1], "grp": pa.array(np.concatenate((np.zeros(n, np.int64), np.array(more, np.int64))), mask=~lone)})
 
-    return dealt.withColumn("shard", F.pmod(F.xxhash64("grp", "part"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, "a bigint, b bigint, grp bigint").distinct()
+    return dealt.groupBy("shard").cogroup(needed.groupBy("to")).applyInArrow(pairs, "a bigint, b bigint, grp bigint").distinct()
 
 
 def _like(x: np.ndarray, y: np.ndarray) -> bool:
@@ -310,29 +323,31 @@ def _like(x: np.ndarray, y: np.ndarray) -> bool:
     return both * DENOMINATOR >= NUMERATOR * (len(x) + len(y) - both)
 
 
-def _open(members: DataFrame, shards: int) -> DataFrame:
-    """unit, key, n, parity, root, second, mixed, home: the members that may be linked with another component's, as far as sizes and parities tell.
+def _open(members: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """unit, key, n, root, second, mixed, home: the members that may be linked with another component's, as far as sizes and parities tell.
 
-    members: grp, key, n, parity, root. A group's members are dealt by hash over as many blocks as their
-    elements fill; each block, and each pair of blocks, is a unit of work. home is the lowest of the unit's components, as
-    groups of much the same sets have it in common, or the unit itself in a group of several blocks.
+    members: grp, key, n, root, low (its lowest root), total (its elements); known: key, parity. A group's members are dealt by hash over as many
+    blocks as their elements fill; each block, and each pair of blocks, is a unit of work. Units of much the same sets have their lowest component
+    in common and go to one task, which gets the parities of a set once. home is the lowest of the components that are left in the unit, or the unit
+    itself in a group of several blocks.
     """
-    size = members.groupBy("grp").agg(F.sum("n").alias("total"))
     blocks = (1 + F.col("total") * ELEMENT / BLOCK_BYTES).cast("int")
-    dealt = members.join(size.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(unit.alias("unit"), "key", "n", "parity", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"), (F.col("blocks") > 1).alias("split"))
+    unit, split = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")), F.col("blocks") > 1
+    dealt = dealt.select(unit.alias("unit"), "key", "n", "root", (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("mixed"), split.alias("split"), F.when(split, unit).otherwise(F.col("low")).alias("home"))
+    dealt = written(_dealt(dealt, F.lit(1), HOME_ROWS, shards).drop("home"))
 
-    def involved(table: pa.Table) -> pa.Table:
+    def involved(table: pa.Table, sets_of: pa.Table) -> pa.Table:
+        place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
+        raw = sets_of.column("parity").to_pylist()
         unit, key, size, root, second, mixed, split = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed", "split"))
-        raw = table.column("parity").to_pylist()
         order = np.lexsort((key, unit))
         keep, home = np.zeros(len(order), bool), unit.copy()
         for part in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
             if (root[part] == root[part[0]]).all():
                 continue
-            parity = _parities([raw[i] for i in part])
+            parity = _parities([raw[place[k]] for k in key[part].tolist()])
             for i in range(len(part) - 1):
                 ok = _allowed(size[part], root[part], parity, i)
                 if mixed[part[0]]:
@@ -343,24 +358,21 @@ def _open(members: DataFrame, shards: int) -> DataFrame:
                 home[part] = root[part[keep[part]]].min()
         return table.drop_columns(["shard", "split"]).append_column("home", pa.array(home)).filter(pa.array(keep))
 
-    fields = "unit bigint, key bigint, n bigint, parity binary, root bigint, second boolean, mixed boolean, home bigint"
-    return dealt.withColumn("shard", F.pmod("unit", F.lit(shards))).groupBy("shard").applyInArrow(involved, fields)
+    needed = dealt.select(F.col("shard").alias("to"), F.col("key").alias("set")).distinct()
+    needed = needed.join(known.select(F.col("key").alias("set"), "parity"), "set")
+    fields = "unit bigint, key bigint, n bigint, root bigint, second boolean, mixed boolean, home bigint"
+    return dealt.groupBy("shard").cogroup(needed.groupBy("to")).applyInArrow(involved, fields)
 
 
-def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
-    """low, high: links between components, enough to join all that the units' members join. found: as _open gives it; elements: key, elements."""
-    size = found.groupBy("home").agg(F.sum("n").alias("total"))
-    shards = 1 + (size.agg(F.sum("total")).first()[0] or 0) * ELEMENT // SHARD_BYTES
-    # units of one home go together, but where they are too many they are dealt over parts
-    parts = (1 + F.col("total") * ELEMENT / HOME_BYTES).cast("int")
-    wide = size.select(F.col("home").alias("of"), parts.alias("parts")).where("parts > 1")
-    dealt = found.join(wide, found["home"] == wide["of"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("unit"), F.col("parts")), F.lit(0)))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("home", "part"), F.lit(shards))).drop("of", "parts", "part", "home")
+def _rest(found: DataFrame, known: DataFrame, elements: DataFrame) -> DataFrame:
+    """low, high: links between components, enough to join all that the units' members join. found: as _open gives it; known: key, parity; elements: key, elements."""
+    shards = 1 + (found.agg(F.sum("n")).first()[0] or 0) * ELEMENT // SHARD_BYTES
+    dealt = _dealt(found, F.col("n") * ELEMENT, HOME_BYTES, shards).drop("home")
 
     def links(table: pa.Table, sets_of: pa.Table) -> pa.Table:
         place = {k: i for i, k in enumerate(sets_of.column("set").to_pylist())}
         unit, key, size, root, second, mixed = (table.column(c).to_numpy() for c in ("unit", "key", "n", "root", "second", "mixed"))
-        raw, held = table.column("parity").to_pylist(), sets_of.column("elements")
+        raw, held = sets_of.column("parity").to_pylist(), sets_of.column("elements")
         read = lru_cache(maxsize=None)(lambda k: _unpacked(held[place[k]]))
         alike = lru_cache(maxsize=1 << 18)(lambda a, b: _like(read(a), read(b)))
         order = np.lexsort((key, unit))
@@ -370,7 +382,7 @@ def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
             if (comp == comp[0]).all():
                 continue
             own = key[part].tolist()
-            parity, sizes, side = _parities([raw[i] for i in part]), size[part], second[part]
+            parity, sizes, side = _parities([raw[place[k]] for k in own]), size[part], second[part]
             for i in range(len(part) - 1):
                 ok = _allowed(sizes, comp, parity, i)
                 if mixed[part[0]]:
@@ -385,7 +397,7 @@ def _rest(found: DataFrame, elements: DataFrame) -> DataFrame:
 
     # a set that several units of a shard need goes there once
     needed = dealt.select(F.col("shard").alias("to"), F.col("key").alias("set")).distinct()
-    needed = needed.join(elements.select(F.col("key").alias("set"), "elements"), "set")
+    needed = needed.join(known.select(F.col("key").alias("set"), "parity"), "set").join(elements.select(F.col("key").alias("set"), "elements"), "set")
     return dealt.groupBy("shard").cogroup(needed.groupBy("to")).applyInArrow(links, "low bigint, high bigint").distinct()
 
 
@@ -414,7 +426,9 @@ def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 
     x = elements.select(F.col("key").alias("a"), F.col("elements").alias("x"))
     y = elements.select(F.col("key").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select(*kept, "x", "y").mapInArrow(compare, pairs.schema)
+    # joined apart, so that where the pairs are few no side moves sets that aren't in them
+    both = pairs.join(x, "a").join(pairs.select("a", "b").join(y, "b"), ["a", "b"])
+    return both.select(*kept, "x", "y").mapInArrow(compare, pairs.schema)
 
 
 def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -483,8 +497,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def elements_of(wanted: DataFrame) -> DataFrame:
         """key, elements of the sets wanted, read from a document of each."""
-        chosen = known.join(wanted, "key", "left_semi").select("key", "__id", "__th")
-        return written(compressed(docs, []).join(chosen, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).mapInArrow(read, "key bigint, elements binary"))
+        chosen = written(known.join(wanted, "key", "left_semi").select("key", "__id", "__th"))
+        return written(compressed(docs, [], Sieve(chosen)).join(chosen, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).mapInArrow(read, "key bigint, elements binary"))
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -498,16 +512,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     elements = elements_of(ends(pairs))
     roots = _grown(roots, pairs, elements)
     # groups whose members may have further links, and are still of several components
-    members = groups.join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(roots, "key")
-    several = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
-    members = members.join(several, "grp", "left_semi").join(known.select("key", "n", "parity"), "key")
-    found = written(_open(members, parts))
+    named = roots.join(known.select("key", "n"), "key")
+    members = groups.select("grp", "key").join(stars.where("grp is not null").select("grp"), "grp", "left_semi").join(named, "key")
+    several = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).where("low <> high").drop("high")
+    found = written(_open(members.join(several, "grp"), known, parts))
     if found.isEmpty():
         return info.drop("parity"), roots
     missing = written(found.select("key").distinct().join(elements.select("key"), "key", "left_anti"))
     if not missing.isEmpty():
         elements = elements.unionAll(elements_of(missing))
-    edges = written(_rest(found, elements))
+    edges = written(_rest(found, known, elements))
     return info.drop("parity"), roots if edges.isEmpty() else _merged(roots, edges)
 
 

@@ -33,6 +33,7 @@ from quern.llm.spread import partitions, written
 FLUSH = 1 << 18  # runs that a task holds before it ships them
 PIECE = 1 << 19  # bytes of text whose runs are cut at once
 FINE = 4  # indexes that a shard's runs are split into
+SIEVE_BITS = 26  # the most that a bitmap of identities has, as a power of two: 8 MB
 PLAIN, SEVERAL, DONE = 0, 1, 2  # an entry; one that stands for several; one that is a copy of such
 
 
@@ -164,19 +165,39 @@ def _settle(table: pa.Table, spec: Spec) -> pa.Table:
     return pa.table({**columns, "anchor": np.concatenate((np.zeros(known, np.int32), marked)), "asked": ask})
 
 
-def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, the identity and the text, compressed."""
+class Sieve:
+    """A bitmap that the identities of some rows pass, and few others: sixteen bits a row up to a bound, beyond which more others pass."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.spots = 1 << min(SIEVE_BITS, max(15, (16 * rows.count()).bit_length()))
+        spot = self.spot(F.col("__id"), F.col("__th"))
+        blocks = rows.groupBy(F.shiftright(spot, 15).alias("block")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+        self.bits = np.zeros((self.spots >> 15, 1 << 12), np.uint8)
+        for r in blocks:
+            self.bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+
+    def spot(self, id: Column, hash: Column) -> Column:
+        return F.xxhash64(id, hash).bitwiseAND(F.lit(self.spots - 1))
+
+    def passes(self, spot: np.ndarray) -> np.ndarray:
+        return (self.bits.ravel()[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def compressed(docs: DataFrame, keep: list[str], sieve: Sieve | None = None) -> DataFrame:
+    """The kept columns, the identity and the text, compressed, of the rows that pass the sieve."""
     rows = docs.select(*identity(docs), *(docs[c] for c in keep), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    sent = rows.withColumn("__spot", sieve.spot(rows["__id"], rows["__th"])) if sieve else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for piece in pieces(batches, "text"):
+        passed = (b.filter(pa.array(sieve.passes(b.column("__spot").to_numpy()))) for b in batches) if sieve else batches
+        for piece in pieces(passed, "text"):
             t = texts(piece.column("text"))
             z = pa.array([pack(t.text(i)) for i in range(piece.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("__id", "__th", *keep)), z], names=["__id", "__th", *keep, "__z"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, `__z` binary")
+    return sent.mapInArrow(run, f"{fields}, `__z` binary")
 
 
 def unpacked(column: pa.Array) -> list[bytes]:

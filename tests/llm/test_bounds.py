@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import collections
 import math
+import pathlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, fingerprint, folds, jaccard, packing, quality, substring, suffix, tokencount, toxicity, url_filter
+from quern.llm import decontam, fingerprint, folds, jaccard, packing, quality, repeats, substring, suffix, tokencount, toxicity, url_filter
 from tests.llm.test_corpus import TOKENIZER, labelled_corpus, labels_frame, sentence
 
 CLASHING = ["__id", "__th", "__z", "__spans", "__null", "__hit", "hit", "c0", "C1", "__salt", "shard", "key", "score", "n", "w", "h", "a.b", "tier"]
@@ -96,6 +97,70 @@ def test_groups_are_split(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.components(docs).collect())) == want
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_open_groups_move_a_set_once(spark, monkeypatch):
+    """Many groups of the same sets don't move their parities and elements again and again."""
+    rows = list(near_misses(120))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "SHARD_ROWS", 1 << 8)
+    groups = []
+    plain = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: groups.append(plain(*a)) or groups[0])
+    before = shuffled(spark)
+    jaccard.components(docs).collect()
+    moved = shuffled(spark) - before
+    members = groups[0].count()
+    assert moved < 170 * members  # 208 when each membership took its set's parities along, 131 since
+
+
+def test_texts_that_nothing_is_compared_with_stay(spark, monkeypatch):
+    """Only documents whose elements are asked for are compressed and shuffled."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(400)]
+    rows += [(1000 + i, f"{rows[i][1]} more{i}") for i in range(3)]
+    counts = []
+    plain = jaccard.compressed
+
+    def spy(*args):
+        out = plain(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "compressed", spy)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert counts and 6 <= max(counts) < 40
+
+
+def test_sieve(spark):
+    rows = spark.range(20000).select(F.col("id").alias("__id"), F.xxhash64(F.col("id").cast("string")).alias("__th"))
+    sieve = repeats.Sieve(rows.where("__id < 2000"))
+    spots = rows.select("__id", sieve.spot(F.col("__id"), F.col("__th")).alias("spot")).orderBy("__id").toPandas()["spot"].to_numpy()
+    passed = sieve.passes(spots)
+    assert passed[:2000].all() and passed[2000:].mean() < 0.1
+    assert not repeats.Sieve(rows.limit(0)).passes(spots).any()
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    out = jaccard.written(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    assert out.count() == 10 and not {f for f in files() - before if f.stat().st_size > 500}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_likeness_against_exact_sets(spark):
     rng = random.Random(21)
     base = [f"w{rng.randrange(5000)}" for _ in range(3000)]
